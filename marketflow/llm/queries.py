@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketflow.llm import fingerprints, mixing
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -12,6 +13,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -19,9 +28,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op6_quality_rules]
+    found = [op6_quality_rules, op8_mixing, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.SQL, "op10_fingerprints": fingerprints.SQL}
