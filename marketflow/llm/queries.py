@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketflow.llm import fingerprints, mixing
+from marketflow.llm import fingerprints, mixing, near_dedup
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.NearConfig(width=2))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
@@ -28,7 +32,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op6_quality_rules, op8_mixing, op10_fingerprints]
+    found = [op1_near_dedup, op6_quality_rules, op8_mixing, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
