@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketflow.llm import fingerprints, mixing, near_dedup
+from marketflow.llm import fingerprints, language_id, mixing, near_dedup, quality_model
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -13,6 +13,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.NearConfig(width=2))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
@@ -32,7 +42,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op6_quality_rules, op8_mixing, op10_fingerprints]
+    found = [op1_near_dedup, op2_quality_model, op4_language_id, op6_quality_rules, op8_mixing, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
