@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketflow.llm import fingerprints, language_id, mixing, near_dedup, quality_model
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -23,6 +24,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeats(documents(spark, sf_dir))
+    left = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.length(left).cast("long").alias("kept_chars"), F.sha2(left, 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
@@ -42,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op2_quality_model, op4_language_id, op6_quality_rules, op8_mixing, op10_fingerprints]
+    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op8_mixing, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
