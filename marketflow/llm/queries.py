@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model, suffix_dedup
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -38,6 +38,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op8_mixing, op10_fingerprints]
+    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op8_mixing, op9_suffix_dedup, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 

@@ -44,3 +44,20 @@ def near_components(texts: dict[int, str | None], width: int = 2, percent: int =
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: find(i) for i in sets}
+
+
+def repeated_bytes(texts: dict[int, str | None], length: int = 100) -> dict[int, tuple[int, int, bytes]]:
+    """n_removed, n_spans and the bytes left, by id."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        b = (texts[i] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone[p : p + length] = b"\1" * length
+            else:
+                seen.add(w)
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out[i] = sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    return out
