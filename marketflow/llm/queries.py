@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model, suffix_dedup
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model, suffix_dedup, token_files
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -34,6 +35,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = token_files.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
+    path = token_files.folder(spark)
+    token_files.write(documents(spark, sf_dir), path, config)
+    return token_files.digests(token_files.read(spark, path, config.stride))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -53,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op8_mixing, op9_suffix_dedup, op10_fingerprints]
+    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op7_token_files, op8_mixing, op9_suffix_dedup, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
