@@ -14,6 +14,10 @@ from marketflow.llm.common import documents, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
+    ("near_dedup", stages.near_duplicates),
+    ("mixing", stages.mix_sources),
+    ("sentencepiece", stages.piece_ids),
 ]
 
 #: Hash functions, signatures and Viterbi search have no SQL form; tests hold run() against a brute-force version.

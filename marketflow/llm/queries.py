@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, quality_model, suffix_dedup, token_files
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, suffix_dedup, token_files
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -20,6 +20,10 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.fit(docs))
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op2_quality_model, op4_language_id, op5_line_dedup, op6_quality_rules, op7_token_files, op8_mixing, op9_suffix_dedup, op10_fingerprints]
+    found = [op1_near_dedup, op2_quality_model, op3_sentencepiece, op4_language_id, op5_line_dedup, op6_quality_rules, op7_token_files, op8_mixing, op9_suffix_dedup, op10_fingerprints]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 

@@ -65,7 +65,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = classes()
-        self.memo = Memo()
+        self.memo = Memo(bits=21)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
