@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: li
                         parts.append(data[offsets[i] + a[k] : offsets[i] + b[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "bytes"])
 
-    originals = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(fetch, "key long, bytes binary")
+    originals = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(fetch, "key long, bytes binary")
     originals = written(first.join(originals, "key"), "originals")  # a table of its own, so that hot keys below can be split
     marks = (
         found.join(originals, "key")
@@ -146,4 +146,4 @@ def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: li
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_chunks long", "n_removed long", "n_removed_lines long", "text string"])
-    return docs.select("doc_id", "text", *carry).join(marks, "doc_id", "left").mapInArrow(drop, schema)
+    return docs.select("doc_id", "text", *carry).join(marks.hint("merge"), "doc_id", "left").mapInArrow(drop, schema)
