@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marketflow.llm.memo import Memo, spread
-from marketflow.llm.textarrays import mix, powers, slices
+from marketflow.llm.textarrays import mix, powers, raw, slices
 
 MARK = 0x2581
 _state: dict = {}
@@ -232,7 +232,7 @@ class Pieces:
     """Encodes and decodes texts with a model that keeps every space and adds one before a text."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.lattice, self.memo = model, Lattice(model), Memo(bits=21)
+        self.model, self.lattice, self.memo = model, Lattice(model), Memo(bits=20, room=3_000_000)
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(chr(MARK), " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
 
     def encode_words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,15 +312,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sizes = np.append(0, np.cumsum([len(t) for t in texts]))
-            for i, j in slices(sizes):
-                found = own.encode(texts[i:j])
-                same = [own.decode(x) == t for x, t in zip(found, texts[i:j], strict=True)]
+            column = batch.column("text")
+            for i, j in slices(raw(column)[1], 1 << 19):
+                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+                found = own.encode(texts)
+                same = [own.decode(x) == t for x, t in zip(found, texts, strict=True)]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 flat = np.concatenate(found).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(sizes[i : j + 1])), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)],
+                    [batch.column("doc_id").slice(i, j - i), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)],
                     ["doc_id", "n_chars", "ids", "round_trip"],
                 )
 

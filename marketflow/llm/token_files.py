@@ -65,7 +65,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = classes()
-        self.memo = Memo(bits=21)
+        self.memo = Memo(bits=20, room=3_000_000)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -144,10 +144,10 @@ def token_table(docs: DataFrame, config: TokenConfig) -> DataFrame:
         own = encoder(config.path)
         end = np.array([config.end_id], np.uint16).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sizes = np.append(0, np.cumsum([len(t) for t in texts]))
-            for i, j in slices(sizes):
-                rows = [ids.astype(np.uint16).tobytes() + end for ids in own.encode(texts[i:j])]
+            column = batch.column("text")
+            for i, j in slices(raw(column)[1], 1 << 19):
+                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+                rows = [ids.astype(np.uint16).tobytes() + end for ids in own.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, ids binary")
