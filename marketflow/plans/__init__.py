@@ -1,0 +1 @@
+"""Registered queries; importing a module registers its queries."""
