@@ -194,7 +194,7 @@ def order_flow(spark, sf_dir):
 
 @query(
     "kyle_lambda",
-    f"""select symbol, session, snap_id, case when count(d) over (w50) = 20 then coalesce(covar_samp(d, ofi) over (w50) / nullif(var_samp(case when d is not null then ofi end) over (w50), 0), 0) else 0 end * 1e6 as lambda_e6 from
+    f"""select symbol, session, snap_id, case when count(d) over w50 = 20 then coalesce(covar_samp(d, ofi) over w50 / nullif(var_samp(case when d is not null then ofi end) over w50, 0), 0) else 0 end * 1e6 as lambda_e6 from
     (select *, mid - lag(mid) over ({WB}) as d from (select *, (bid1_price + ask1_price) / 2 as mid from flow)) window w50 as ({WB} rows between 19 preceding and current row)""",
     ["flow"],
     "lambda_e6",
@@ -291,7 +291,7 @@ def _sweep_sql(size):
     select l.*, ask * ask_qty as px, coalesce(sum(ask * ask_qty) over (partition by l.snap_id order by i rows between unbounded preceding and 1 preceding), 0) as before, m.mid from levels l join mids m using (snap_id)) group by symbol, snap_id"""
 
 
-@query("book_sweep", _sweep_sql(5000), ["levels", "mids"], "avg_price slip_bps")
+@query("book_sweep", _sweep_sql(5000), ["levels", "mids"], "avg_price slip_bps", digits=4)
 def book_sweep(spark, sf_dir):
     """P5: cost of sweeping 5,000 from the asks."""
     b = a.book(spark, sf_dir).withColumn("mid", (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2)

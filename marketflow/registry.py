@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NUDGE = 2e-8
+NUDGE = 2.3717e-8
 FLAGSHIP = "governor_summary"
 #: Named subqueries that SQL texts may use: name -> (names it uses, text).
 VIEWS: dict[str, tuple[list[str], str]] = {}

@@ -20,7 +20,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("k", k).withColumn("event_ts_ms", F.expr("unix_micros(cast(ts as timestamp)) div 1000"))
 
 
-view("ev", """select *, cast(regexp_extract(props, '"k": (\\d+)', 1) as bigint) as k, epoch_ms(ts::timestamp) as event_ts_ms from events""")
+view("ev", """select *, cast(regexp_extract(props, '"k": (\\d+)', 1) as bigint) as k, epoch_us(ts::timestamp) // 1000 as event_ts_ms from events""")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ view(
 def book(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
     """Order-book snapshots with nested levels: an order is a snapshot, its lines the levels."""
     o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    level = lambda sign, qty: F.struct(F.col("l_linenumber").alias("i"), (F.col("o_totalprice") / 1000 * (1 + sign * 0.0005 * F.col("l_linenumber"))).alias("price"), qty.alias("qty"))
+    level = lambda sign, qty: F.struct(F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"), (F.col("o_totalprice") / 1000 * (1 + sign * 0.0005 * F.col("l_linenumber"))).alias("price"), qty.alias("qty"))
     side = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: F.struct(s["price"].alias("price"), s["qty"].alias("qty")))
     return (
         o.join(x.where(f"l_linenumber <= {depth}"), o["o_orderkey"] == x["l_orderkey"])
@@ -161,7 +161,7 @@ def book(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
 view(
     "levels",
     """select 'P' || (o_orderkey % 8) as symbol, year(o_orderdate) as session, epoch_ms(o_orderdate::timestamp) + (o_orderkey % 86400) * 1000 as ts_ms, o_orderkey as snap_id,
-    l_linenumber as lvl, row_number() over (partition by o_orderkey order by l_linenumber, o_totalprice) as i, o_totalprice / 1000 * (1 - 0.0005::double * l_linenumber) as bid, l_quantity as bid_qty,
+    l_linenumber as lvl, row_number() over (partition by o_orderkey order by l_linenumber, l_quantity, l_tax) as i, o_totalprice / 1000 * (1 - 0.0005::double * l_linenumber) as bid, l_quantity as bid_qty,
     o_totalprice / 1000 * (1 + 0.0005::double * l_linenumber) as ask, l_quantity * (1 + l_tax) as ask_qty
     from orders join lineitem on o_orderkey = l_orderkey where l_linenumber <= 10""",
 )
