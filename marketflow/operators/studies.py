@@ -37,7 +37,7 @@ def event_risk(buckets: DataFrame, calendar: DataFrame, cell_ms: int = 3_600_000
     hit = interval_join(points, calendar.withColumn("rank", rank), "bucket_start_ms", "start_ms", "end_ms", cell_ms)
     active = hit.groupBy("bucket_start_ms").agg(F.count("*").alias("n_active"), F.max("rank").alias("r"), F.array_join(F.sort_array(F.collect_set("event_type")), ";").alias("types"))
     out = points.join(active, "bucket_start_ms", "left")
-    return out.select("bucket_start_ms", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("r").cast("int")).alias("max_severity"), F.coalesce("types", F.lit("")).alias("types"))
+    return out.select("bucket_start_ms", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.get(F.array(*map(F.lit, SEVERITIES)), (F.col("r") - 1).cast("int")).alias("max_severity"), F.coalesce("types", F.lit("")).alias("types"))
 
 
 def manifest_diff(previous: DataFrame, current: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -91,17 +91,14 @@ def walk_forward_windows(returns: DataFrame, train: int, purge: int, test: int,
     dates = returns.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
     n = dates.agg(F.count("*").alias("n"))
     starts = n.where(F.col("n") >= train + purge + test).select(F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - (train + purge + test), F.lit(step))).alias("window", "s"))
-    at = lambda name, k: dates.select(F.col("i").alias(f"__{name}"), F.col("date").alias(name)), k
-    out = starts
-    for frame, k in (at("train_start", 0), at("test_start", train + purge), at("test_end", train + purge + test - 1)):
-        name = frame.columns[1]
-        out = out.join(F.broadcast(frame), F.col("s") + k == F.col(f"__{name}")).drop(f"__{name}")
-    return out.drop("s")
+    for name, k in (("train_start", 0), ("test_start", train + purge), ("test_end", train + purge + test - 1)):
+        starts = starts.join(dates.select((F.col("i") - k).alias("s"), F.col("date").alias(name)), "s")
+    return starts.drop("s")
 
 
 def walk_forward_scorecard(returns: DataFrame, windows: DataFrame) -> DataFrame:
     """Per test window: pnl, baseline, excess, mean, Sortino (infinite without a loss), largest day's share of rows."""
-    x = returns.join(F.broadcast(windows), returns["date"].between(F.col("test_start"), F.col("test_end")))
+    x = returns.join(windows, returns["date"].between(F.col("test_start"), F.col("test_end")))
     days = x.groupBy("window", "date").agg(F.count("*").alias("n")).groupBy("window").agg((F.max("n") / F.sum("n")).alias("max_day_share"))
     s = F.col("strategy_return_bps")
     down = F.sqrt(F.avg(F.pow(F.least(s, F.lit(0.0)), 2)))

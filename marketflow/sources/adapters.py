@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
     return e.withColumn("k", k).withColumn("event_ts_ms", F.expr("unix_micros(cast(ts as timestamp)) div 1000"))
@@ -25,8 +25,8 @@ view("ev", """select *, cast(regexp_extract(props, '"k": (\\d+)', 1) as bigint)
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver trades: a row per event, symbol = event type."""
-    e = _events(spark, sf_dir)
-    sign = F.when(F.col("event_type").isin("click", "signup"), 1).when(F.col("event_type").isin("view", "purchase"), -1).otherwise(1)
+    e = events(spark, sf_dir)
+    sign = F.when(F.col("event_type").isin("purchase", "signup"), -1).otherwise(1)
     side = F.create_map(*[F.lit(x) for p in SIDES.items() for x in p])
     return e.select(
         F.col("event_type").alias("symbol"),
@@ -47,7 +47,7 @@ SIDES = {"click": "open_long", "view": "close_short", "purchase": "open_short",
 view(
     "trades",
     """select event_type as symbol, event_ts_ms, event_ts_ms + event_id % 50 as recv_ms, 1 + value as price, 1.0::double + k as qty,
-    case when event_type in ('view', 'purchase') then -1 else 1 end * (1.0::double + k) as signed_qty, (1 + value) * (1.0::double + k) as notional,
+    case when event_type in ('purchase', 'signup') then -1 else 1 end * (1.0::double + k) as signed_qty, (1 + value) * (1.0::double + k) as notional,
     case event_type when 'click' then 'open_long' when 'view' then 'close_short' when 'purchase' then 'open_short' when 'signup' then 'close_long' else 'open_long' end as direction,
     case when event_type = 'error' then 'liquidation' else 'normal' end as trade_class, event_id as history_id, user_id from ev""",
     ["ev"],
@@ -56,7 +56,7 @@ view(
 
 def bbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver best quotes: a row per event."""
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     bid, ask = (1 + F.col("value")) * (1 - (F.col("k") + 1) / 1e4), (1 + F.col("value")) * (1 + (F.col("k") + 1) / 1e4)
     mid = (bid + ask) / 2
     return e.select(
@@ -85,7 +85,7 @@ view(
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver mark and oracle prices: the `view` events."""
-    e = _events(spark, sf_dir).where("event_type = 'view'")
+    e = events(spark, sf_dir).where("event_type = 'view'")
     mark, oracle = 1 + F.col("value"), 1 + F.col("value") + (F.col("k") - 50) / 1000
     return e.select(
         F.col("event_type").alias("symbol"),
