@@ -15,29 +15,23 @@ def bin_of(value: Column, bounds: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(edges, at + s - 1) <= value, at + s).otherwise(at))
 
 
-def average_rank_share(df: DataFrame, metrics: list[str], bins: int = 256) -> DataFrame:
-    """Adds `<metric>__rank`: (average rank among all rows, ties shared) / rows; 0 for a constant metric. No nulls.
+def mean_rank_share(df: DataFrame, key: list[str], metrics: list[str], name: str, bins: int = 256) -> DataFrame:
+    """df with column `name`: the mean over the metrics of (average rank among all rows, ties shared) / rows, or 0 for a
+    constant metric. key tells rows apart; metrics are not null. Use it on a table that is cheap to read again.
 
-    Counts by value, then prefix sums in two levels: values fall into bins by approximate quantiles, whose number is
-    fixed; whole bins are summed first, then the values inside each bin.
+    Counts by (metric, value), then prefix sums in two levels: values fall into bins by approximate quantiles, whose
+    number is fixed; whole bins are summed first, then the values inside each bin.
     """
     bounds = df.agg(*[F.percentile_approx(m, [k / bins for k in range(1, bins)], 10 * bins).alias(m) for m in metrics]).first()
-    out = df
-    for m in metrics:
-        edges = sorted(set(bounds[m] or []))
-        counts = df.groupBy(F.col(m).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__bin", bin_of(F.col("__v"), edges))
-        totals = counts.groupBy("__bin").agg(F.sum("__n").alias("__t"))
-        every = Window.partitionBy(F.lit(0))
-        before = totals.select(
-            "__bin",
-            F.coalesce(F.sum("__t").over(every.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-            F.sum("__t").over(every).alias("__all"),
-        )  # a row a bin
-        inside = Window.partitionBy("__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-        ranks = (
-            counts.join(F.broadcast(before), "__bin")
-            .withColumn("__first", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-            .select("__v", F.when(F.col("__n") == F.col("__all"), 0.0).otherwise((F.col("__first") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(f"{m}__rank"))
-        )
-        out = out.join(ranks, out[m].eqNullSafe(ranks["__v"]), "left").drop("__v")
-    return out
+    long = df.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).alias("v")) for i, m in enumerate(metrics)])).alias("x")).select(*key, "x.m", "x.v")
+    place = F.coalesce(*[F.when(F.col("m") == i, bin_of(F.col("v"), sorted(set(bounds[m] or [])))) for i, m in enumerate(metrics)])
+    counts = long.groupBy("m", "v").agg(F.count("*").alias("n")).withColumn("bin", place)
+    each = Window.partitionBy("m")
+    before = counts.groupBy("m", "bin").agg(F.sum("n").alias("t")).select(
+        "m", "bin", F.coalesce(F.sum("t").over(each.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(each).alias("every"),
+    )
+    inside = Window.partitionBy("m", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    share = F.when(F.col("n") == F.col("every"), 0.0).otherwise((first + (F.col("n") + 1) / 2) / F.col("every"))
+    ranks = counts.join(F.broadcast(before), ["m", "bin"]).select("m", "v", share.alias("share"))  # before: at most bins rows a metric
+    return df.join(long.join(ranks, ["m", "v"]).groupBy(*key).agg((F.sum("share") / len(metrics)).alias(name)), key)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketflow.functions.ranks import average_rank_share
+from marketflow.functions.ranks import mean_rank_share
+from marketflow.sources.shared import written
 
 KEY = ["symbol", "bucket_start_ms"]
 
@@ -103,12 +104,12 @@ TOXICITY_METRICS = ["avg_spread_bps", "bbo_churn_per_min", "abs_trade_imbalance"
 def toxicity(state: DataFrame) -> DataFrame:
     """Mean over the metrics of each row's rank share, ties averaged; a null metric counts as 0, a constant one as 0.
 
-    Metrics are rounded to 8 decimals first, so that what is equal but for the order of a sum ties.
+    Metrics are rounded to 8 decimals first, so that what is equal but for the order of a sum ties. The bars are
+    written to the shared folder once, as the ranks read them again.
     """
     named = {f"__{m}": F.round(F.coalesce(F.col(m), F.lit(0.0)).cast("double"), 8) for m in TOXICITY_METRICS}
-    ranked = average_rank_share(state.withColumns(named), list(named))
-    total = sum((F.col(f"{m}__rank") for m in named), F.lit(0.0)) / len(named)
-    return ranked.withColumn("toxicity_score", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))).drop(*named, *[f"{m}__rank" for m in named])
+    ranked = mean_rank_share(written(state.withColumns(named)), KEY, list(named), "toxicity_score")
+    return ranked.withColumn("toxicity_score", F.least(F.greatest("toxicity_score", F.lit(0.0)), F.lit(1.0))).drop(*named)
 
 
 def regime_state(bbo: DataFrame, trades: DataFrame, prices: DataFrame, size_ms: int = 60_000) -> DataFrame:

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from marketflow.operators import regime as r
 from marketflow.operators import studies as s
-from marketflow.plans.regime_queries import state
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
 from marketflow.sources import raw
+from marketflow.sources.shared import shared
 from marketflow.streaming import bars as st
 
 
-def shared(spark) -> str:
-    """A new folder that all executors share; a temporary one where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="marketflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marketflow/{uuid.uuid4().hex}"
-
-
 view("refbars", "select symbol, event_ts_ms // 3600000 * 3600000 as bucket_start_ms, arg_max(price, (event_ts_ms, history_id)) as reference_mid, avg(qty) / 1e6 as reference_funding from trades where user_id % 2 = 1 group by all", ["trades"])
 
 

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from marketflow.functions.ranks import average_rank_share
+from marketflow.functions.ranks import mean_rank_share
 from marketflow.operators import asof
 from marketflow.operators import order_events as o
 from marketflow.operators import regime as r
@@ -28,10 +28,10 @@ def test_interval_join_includes_both_bounds(spark):
     assert sorted((x.t, x.n) for x in asof.interval_join(points, spans, "t", "a", "b", 7).collect()) == [(10, "x"), (25, "x"), (25, "y")]
 
 
-def test_average_rank_share_shares_ties_and_zeroes_constants(spark):
+def test_mean_rank_share_shares_ties_and_zeroes_constants(spark):
     df = spark.createDataFrame([(1, 5.0, 2.0), (2, 5.0, 2.0), (3, 9.0, 2.0), (4, 1.0, 2.0)], "id int, m double, c double")
-    got = {x.id: (x.m__rank, x.c__rank) for x in average_rank_share(df, ["m", "c"]).collect()}
-    assert got == {1: (2.5 / 4, 0.0), 2: (2.5 / 4, 0.0), 3: (1.0, 0.0), 4: (0.25, 0.0)}
+    got = {x.id: (x.r, x.q) for x in mean_rank_share(mean_rank_share(df, ["id"], ["m"], "r"), ["id"], ["m", "c"], "q").collect()}
+    assert got == {1: (2.5 / 4, 2.5 / 8), 2: (2.5 / 4, 2.5 / 8), 3: (1.0, 0.5), 4: (0.25, 0.125)}
 
 
 def test_governor_fails_closed_on_null(spark):
