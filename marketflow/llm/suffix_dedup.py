@@ -9,7 +9,8 @@ Equal windows have it at the same offset, so no match is lost. An array is sorte
    shard keeps a logarithmic family of levels: a new batch is merge-scanned against every level, then levels of about
    equal size are merged. The keys met twice set bits of a filter of fixed size.
 2. Suffixes that pass the filter are grouped by key and span. Copies of a span after the first are wholly covered.
-3. Where a key has several spans, their first copies are compared window by window.
+3. Where a key has several spans, their first copies are compared: up to `few` of them by their common bytes to the
+   left and right of the suffix's start, more of them window by window, so that no group meets in one task.
 Filter bits that are set by chance only add candidates to step 2, which is exact.
 """
 
@@ -26,16 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import written
-from marketflow.llm.textarrays import Hashes, mix, raw, slices
+from marketflow.llm.textarrays import Hashes, raw, slices
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """filter_bits: log2 of the filter's bits (26: 8 MB, whatever the corpus)."""
+    """filter_bits: log2 of the filter's bits (26: 8 MB, whatever the corpus). few: spans of a key compared in pairs."""
 
     length: int = 100
     gram: int = 24
     filter_bits: int = 26
+    few: int = 16
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -57,8 +59,8 @@ class Spans:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, config: SuffixConfig):
         self.hashes = h = Hashes(data)
         g = config.gram
-        n = max(0, len(data) - g + 1)
-        grams = mix((h.sums[g : g + n] - h.sums[:n]) * h.back[:n])
+        grams = h.grams(g)
+        n = len(grams)
         low = np.uint64(0xFFFFFFFF)
         least = sliding_min((grams & ~low) | np.arange(n, dtype=np.uint64), config.length - g + 1)
         at = (least & low).astype(np.int64)
@@ -165,6 +167,18 @@ def candidates(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, "key long, span long, doc_id long, start long, windows long")
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        middle = (low + n) // 2
+        low, n = (middle, n) if a[:middle] == b[:middle] else (low, middle)
+    return low
+
+
 def covered(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     """doc_id, spans (start and end of bytes to remove, unordered, overlapping) of documents that have any."""
     found = written(candidates(docs, config), "suffixes")
@@ -173,23 +187,64 @@ def covered(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (config.length - 1)).alias("b"))
     whole = found.join(classes, same).where("doc_id <> home.doc_id or start <> home.start").select("doc_id", span.alias("cut"))
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    firsts = written(classes.join(several, "key").select("home.doc_id", "home.start", "windows"), "edges")
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
+    firsts = classes.join(several, "key").select("key", "n", "home.doc_id", "home.start", "windows")
+    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "start", "windows")).alias("wanted"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
             for i in range(len(batch)):
-                spans = batch.column("wanted")[i].as_py()
+                spans = batch.column("wanted")[i].values
                 text = data[offsets[i] : offsets[i + 1]]
-                starts = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["windows"]) for s in spans]))
-                starts = starts[starts + config.length <= len(text)]
-                key = Hashes(text).of(starts, starts + config.length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(starts), batch.column("doc_id")[i].as_py())), pa.array(starts)], ["window", "doc_id", "start"])
+                starts, n = spans.field("start").to_numpy(), spans.field("windows").to_numpy() + (config.length - 1)
+                grams = Hashes(text).grams(config.gram)
+                # of equal keys in a span the first is its suffix
+                keys = spans.field("key").to_numpy().view(np.uint64)
+                off = [int(np.argmax(grams[a : a + m - config.gram + 1] == k)) for a, m, k in zip(starts, n, keys, strict=True)]
+                rows = [text[a : a + m].tobytes() for a, m in zip(starts, n, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [spans.field("key"), spans.field("n"), pa.array(np.full(len(starts), batch.column("doc_id")[i].as_py())), pa.array(starts), pa.array(off, pa.int32()), pa.array(rows, pa.binary())],
+                    ["key", "n", "doc_id", "start", "off", "bytes"],
+                )
 
-    each = written(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(windows, "window long, doc_id long, start long"), "windows")
+    edges = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").mapInArrow(fetch, "key long, n long, doc_id long, start long, off int, bytes binary")
+    edges = written(edges, "edges")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, a, b = [], [], []
+            for group in batch.column("group").to_pylist():
+                group.sort(key=lambda g: (g["doc_id"], g["start"]))
+                for k, mine in enumerate(group):
+                    for other in group[:k]:
+                        left = common(mine["bytes"][: mine["off"]][::-1], other["bytes"][: other["off"]][::-1])
+                        right = common(mine["bytes"][mine["off"] :], other["bytes"][other["off"] :])
+                        if left + right >= config.length:
+                            at = mine["start"] + mine["off"]
+                            ids.append(mine["doc_id"])
+                            a.append(at - left)
+                            b.append(at + right)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "a", "b"])
+
+    small = edges.where(F.col("n") <= config.few).groupBy("key").agg(F.collect_list(F.struct("doc_id", "start", "off", "bytes")).alias("group"))
+    paired = small.select("group").mapInArrow(pairs, "doc_id long, a long, b long").select("doc_id", F.struct("a", "b").alias("cut"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(batch.column("bytes"))
+            size = np.diff(offsets) - config.length + 1
+            row = np.repeat(np.arange(len(batch)), size)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = offsets[:-1][row] + inside
+            key = Hashes(data).of(at, at + config.length)
+            take = lambda c: batch.column(c).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(take("doc_id")), pa.array(take("start") + inside)], ["window", "doc_id", "start"])
+
+    large = edges.where(F.col("n") > config.few).select("doc_id", "start", "bytes")
+    each = written(large.mapInArrow(windows, "window long, doc_id long, start long"), "windows")
     first = each.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("home"), F.max(F.struct("doc_id", "start")).alias("last")).where("home <> last").select("window", "home")
     single = each.join(first, "window").where("doc_id <> home.doc_id or start <> home.start").select("doc_id", F.struct(F.col("start").alias("a"), (F.col("start") + config.length).alias("b")).alias("cut"))
+    whole = whole.unionByName(paired)
     return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("cut").alias("cuts"))
 
 

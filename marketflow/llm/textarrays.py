@@ -54,6 +54,12 @@ class Hashes:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+    def grams(self, width: int) -> np.ndarray:
+        """Hashes of all spans of one width."""
+        n = max(0, len(self.sums) - width)
+        return mix((self.sums[width : width + n] - self.sums[:n]) * self.back[:n])
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and n + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
