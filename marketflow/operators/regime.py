@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketflow.functions.ranks import mean_rank_share
+from marketflow.functions.ranks import bin_of, mean_rank_share
 from marketflow.sources.shared import written
 
 KEY = ["symbol", "bucket_start_ms"]
@@ -253,18 +253,20 @@ def forward_paths(state: DataFrame, horizons: dict[str, int]) -> DataFrame:
     return state.withColumns(cols)
 
 
-def toxicity_deciles(state: DataFrame, n: int = 10) -> DataFrame:
-    """toxicity_decile 1..n by rank; ties go by symbol and bucket, or by symbol groups of equal rows.
+def toxicity_deciles(state: DataFrame, n: int = 10, bins: int = 1024) -> DataFrame:
+    """toxicity_decile 1..n by rank; ties go by symbol and bucket.
 
-    Ranks come from counts by (score, symbol) and a sort inside each of them, so no task sees the whole table's rows.
+    Rows are ranked inside bins of scores, whose bounds are approximate quantiles, and the bins before are added. Only
+    rows of equal score share a bin for sure, so a score that a large part of the rows have makes a large task.
     """
-    counts = state.groupBy("toxicity_score", "symbol").agg(F.count("*").alias("__n"))
-    every = Window.partitionBy(F.lit(0)).orderBy("toxicity_score", "symbol").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(every), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(F.lit(0)))).drop("__n")
-    inside = Window.partitionBy("toxicity_score", "symbol").orderBy("bucket_start_ms")
-    ranked = state.join(before, ["toxicity_score", "symbol"]).withColumn("__r", F.col("__before") + F.row_number().over(inside))
-    share = F.ceil(F.col("__r") / F.col("__all") * n).cast("long")
-    return ranked.withColumn("toxicity_decile", F.least(F.greatest(share, F.lit(1)), F.lit(n)).cast("long")).drop("__r", "__before", "__all")
+    bounds = state.agg(F.percentile_approx("toxicity_score", [k / bins for k in range(1, bins)], 10 * bins).alias("b")).first().b
+    placed = state.withColumn("__bin", bin_of(F.col("toxicity_score"), sorted(set(bounds or []))))
+    every = Window.partitionBy(F.lit(0))
+    totals = placed.groupBy("__bin").agg(F.count("*").alias("__n"))
+    before = totals.select("__bin", F.coalesce(F.sum("__n").over(every.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__all"))  # a row a bin
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__bin").orderBy("toxicity_score", *KEY))
+    decile = F.least(F.greatest(F.ceil(rank / F.col("__all") * n), F.lit(1)), F.lit(n)).cast("long")
+    return placed.join(F.broadcast(before), "__bin").withColumn("toxicity_decile", decile).drop("__bin", "__before", "__all")
 
 
 def long_horizons(state: DataFrame, horizons: list[str]) -> DataFrame:
