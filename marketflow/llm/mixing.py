@@ -153,9 +153,10 @@ def texts(mixed: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     b = config.block_words
     part = F.filter("__w", lambda w, i: chosen(F.expr(f"first div {b}") * 0 + F.floor((F.col("first") + i) / b)))
     rest = F.col("taken") - F.col("full") * F.col("size")
-    whole = mixed.where("size > 0 and full > 0").withColumn("text", F.explode(F.array_repeat("text", F.col("full").cast("int"))))
-    pieces = mixed.where(rest > 0).withColumn("__w", words(F.col("text"))).withColumn("text", F.array_join(part, " ")).drop("__w")
-    return whole.unionByName(pieces)
+    copies = F.array_repeat("text", F.when(F.col("size") > 0, F.col("full").cast("int")).otherwise(0))
+    staged = mixed.withColumn("__w", F.when(rest > 0, words(F.col("text"))))
+    pieces = F.when(rest > 0, F.array(F.array_join(part, " "))).otherwise(F.array().cast("array<string>"))
+    return staged.withColumn("text", F.explode(F.concat(copies, pieces))).drop("__w")
 
 
 #: DuckDB SQL for mix() with the default configuration.
