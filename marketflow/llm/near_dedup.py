@@ -7,10 +7,13 @@ a pair at similarity s shares a band with probability 1 - (1 - s ** rows) ** ban
 Texts with equal shingle sets are one class, so copies cost one row each. A band's classes are linked through one
 class, its lead, not in pairs: each is compared with it on full sets. Then, round by round, the bands that still hold
 several components draw another lead at random, by the hash of band, id and round, and what is in other components is
-compared with it; more than `patience` rounds without a new link end this. A class meets about `bands` leads a
-round, all of them alike enough to share a band, and a round costs rows in proportion to the classes, however large a
-group of near copies is. (Comparing all classes of a band across components is exact, but its rows grow with the
-square of such a group; the README has figures of both.)
+compared with it; more than `patience` rounds without a new link end the draws. A round costs rows in proportion to
+the classes, however large a group of near copies is, but may miss links, so what is left is then finished exactly.
+
+The rest are the classes of bands that still hold several components. Sort a set's shingles by their number of sets,
+rarest first: two sets at the threshold share one among their first n - ceil(percent * n) + 1 (prefix filter). Of the
+classes that have such a shingle, those outside its largest component are compared with all of other components, unless
+sizes or places in the order show that too few shingles are common. So no link that shares a band is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from marketflow.llm.textarrays import mix, shingle_sets
 
 @dataclass(frozen=True)
 class NearConfig:
-    """width: words a shingle. percent: least similarity, of 100. patience: rounds in a row without a new link that are borne."""
+    """width: words a shingle. percent: least similarity, of 100. patience: rounds in a row without a new link that are borne before the exact finish."""
 
     width: int = 5
     percent: int = 80
@@ -139,6 +142,45 @@ def next_pairs(members: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     return far.select(F.least("id", "d.lead").alias("a"), F.greatest("id", "d.lead").alias("b")).distinct()
 
 
+def shingle_rows(texts: DataFrame, config: NearConfig) -> DataFrame:
+    """id, component, n, token: a row per distinct shingle. texts: id, component, text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), config.width))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            tokens = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("component").take(row), pa.array(np.repeat(sizes, sizes)), pa.array(tokens)], ["id", "component", "n", "token"])
+
+    return texts.select("id", "component", "text").mapInArrow(of, "id long, component long, n long, token long")
+
+
+def rest_pairs(members: DataFrame, parts: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
+    """Pairs (a, b) across components, among them all at the threshold that share a band."""
+    placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    left = placed.join(mixed.select("band"), "band").select(F.col("id").alias("doc_id"), "component").distinct()
+    rows = written(shingle_rows(left.join(texts, "doc_id").withColumnRenamed("doc_id", "id"), config), "shingles")
+    often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    # shingles of one set alone come first in the order and match nothing
+    sets = rows.join(often, "token").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    ahead = F.col("n") - F.expr(f"({config.percent} * n + 99) div 100") + 1
+    first = sets.withColumn("alone", alone).withColumn("ahead", F.greatest(F.lit(0), ahead - alone).cast("int"))
+    first = first.select("id", "component", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("ahead"))).alias("k", "x"))
+    first = written(first.select("id", "component", "n", "x.token", (F.col("alone") + F.col("k")).alias("place")), "first")
+    most = first.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
+    most = most.agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("several")).where("several > 1").select("token", F.col("m.component").alias("major"))
+    ours = first.join(most, "token").where("component <> major").drop("major")
+    near = F.expr(
+        f"l.component <> r.component and 100 * least(l.n, r.n) >= {config.percent} * greatest(l.n, r.n)"
+        f" and {100 + config.percent} * least(l.n - l.place, r.n - r.place) >= {config.percent} * (l.n + r.n)"
+    )
+    found = ours.alias("l").join(first.alias("r"), (F.col("l.token") == F.col("r.token")) & near)
+    return found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
@@ -164,6 +206,11 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
             idle = 0
             known = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             parts = written(components(known.unionByName(more)), "parts")
+    pairs = written(rest_pairs(members, parts, texts, config).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = written(links(pairs, texts, config), "links")
+    if not more.isEmpty():
+        known = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        parts = written(components(known.unionByName(more)), "parts")
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("bands").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

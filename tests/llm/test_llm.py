@@ -65,6 +65,28 @@ def test_near_dedup_with_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_near_dedup_finds_pairs_whose_bands_hold_a_large_component(spark):
+    rng = random.Random(7)
+    base, fresh, texts = [f"w{i}" for i in range(120)], iter(range(10**6)), {}
+
+    def edited(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"x{next(fresh)}"
+        return words
+
+    for i in range(300):
+        texts[i] = " ".join(edited(base, 2))
+    for i in range(300, 340, 2):  # at about 0.7 with the 300, and at 0.9 with each other
+        one = edited(base, 10)
+        texts[i], texts[i + 1] = " ".join(one), " ".join(edited(one, 2))
+    config = near_dedup.NearConfig(width=2, bands=6, rows=1)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), config).collect()
+    want = brute.near_components(texts, 2)
+    assert len(set(want.values())) == 21
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_suffix_dedup_matches_all_windows(table, empty):
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table).collect()}
     for i, (removed, spans, left) in brute.repeated_bytes(texts()).items():
