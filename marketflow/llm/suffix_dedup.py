@@ -2,16 +2,18 @@
 
 Whole suffix arrays need eight bytes and more for each byte of text, beyond the disk budget, so the arrays are sparse: of
 every window of `length` bytes the suffix at its minimizer is indexed, the place in it whose `gram` bytes hash least.
-Equal windows have it at the same offset, so no match is lost. An array is sorted by the hash of the suffix's first
-`gram` bytes; what is found equal there is then compared on the whole span that the windows of one minimizer cover.
-
-1. Each task is a batch: it makes the sorted array of its suffixes. Arrays are cut into shards by key range, and each
-   shard keeps a logarithmic family of levels: a new batch is merge-scanned against every level, then levels of about
-   equal size are merged. The keys met twice set bits of a filter of fixed size.
-2. Suffixes that pass the filter are grouped by key and span. Copies of a span after the first are wholly covered.
-3. Where a key has several spans, their first copies are compared: up to `few` of them by their common bytes to the
-   left and right of the suffix's start, more of them window by window, so that no group meets in one task.
-Filter bits that are set by chance only add candidates to step 2, which is exact.
+Equal windows have it at the same offset, so no match is lost. The windows of one minimizer cover a span of up to about
+2 * length bytes. An entry of an array is: key (hash of the suffix's first `gram` bytes), span (hash of the span's bytes, by
+another polynomial), the span's document and start, and its number of windows; arrays are sorted by key, then span.
+
+1. Each task makes the sorted array of its documents, in batches of bounded size. What repeats inside a batch is settled
+   there, as one row per long match; the first copies go to shards by ranges of keys.
+2. A shard keeps a logarithmic family of levels. A new batch is merge-scanned against every level: equal spans are
+   matches of length or more bytes, of which the earliest stays in the levels and the others are wholly covered. Then levels
+   of about equal size are merged.
+3. What is left of a key with several spans is compared window by window on its bytes, and runs of equal windows are
+   removed after a comparison of their bytes. Keys with very many spans ("crowds") do so in one join of windows over all
+   tasks, so that no key has to fit in one of them.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import written
-from marketflow.llm.textarrays import Hashes, raw, slices
+from marketflow.llm.textarrays import Hashes, mix, raw, slices
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """filter_bits: log2 of the filter's bits (26: 8 MB, whatever the corpus). few: spans of a key compared in pairs."""
+    """batch_rows: entries of a batch; shard_rows: entries of a shard, on average; crowd: spans of a key, in a batch or in a
+    shard, from which on it is compared by a join of windows. They bound memory and change no result."""
 
     length: int = 100
     gram: int = 24
-    filter_bits: int = 26
-    few: int = 16
+    batch_rows: int = 1 << 21
+    shard_rows: int = 1 << 20
+    crowd: int = 1 << 13
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,12 +58,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Spans:
-    """The minimizers of some texts: for each its key, row, first window's start, number of windows."""
+    """The minimizers of some texts: for each its key, row, first window's start, number of windows, span hash."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, config: SuffixConfig):
-        self.hashes = h = Hashes(data)
+        hashes = Hashes(data)
         g = config.gram
-        grams = h.grams(g)
+        grams = hashes.grams(g)
         n = len(grams)
         low = np.uint64(0xFFFFFFFF)
         least = sliding_min((grams & ~low) | np.arange(n, dtype=np.uint64), config.length - g + 1)
@@ -72,187 +76,384 @@ class Spans:
         ends = np.flatnonzero(np.append(new[1:], True) | ~np.append(inside[1:], False)) if len(at) else begin
         ends = ends[inside[ends]]
         self.row, self.start, self.windows = row[begin], begin, ends - begin + 1
-        self.key = grams[at[begin]]
+        self.key = mix(grams[at[begin]])  # the least hashes are small: mixed, their upper bits are even
+        self.span = hashes.of(begin, ends + config.length)
 
-    def span_keys(self, length: int) -> np.ndarray:
-        return self.hashes.of(self.start, self.start + self.windows + (length - 1))
 
+FIELDS = {"key": np.uint64, "span": np.uint64, "doc": np.int64, "row": np.int64, "start": np.int64, "windows": np.int64}
 
-def _spans(column: pa.Array, config: SuffixConfig) -> Iterator[tuple[int, np.ndarray, Spans]]:
-    """First row, offsets and spans of each slice of a column."""
-    data, offsets = raw(column)
-    for i, j in slices(offsets):
-        at = offsets[i : j + 1] - offsets[i]
-        yield i, at, Spans(data[offsets[i] : offsets[j]], at, config)
+
+class Entries:
+    """Columns of entries, as an array sorted by (key, span) or any part of one."""
+
+    def __init__(self, **columns: np.ndarray):
+        self.columns = columns
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def __len__(self) -> int:
+        return len(self.columns["key"])
+
+    def take(self, rows: np.ndarray) -> Entries:
+        return Entries(**{k: v[rows] for k, v in self.columns.items()})
+
+    @staticmethod
+    def join(parts: list[Entries]) -> Entries:
+        return Entries(**{k: np.concatenate([np.zeros(0, kind), *(p.columns[k] for p in parts)]) for k, kind in FIELDS.items()})
+
+    def in_order(self) -> Entries:
+        return self.take(np.lexsort((self.start, self.row, self.doc, self.span, self.key)))
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the row before it in any column; true for the first."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def first_of(e: Entries) -> np.ndarray:
+    """Whether a row of entries in order is the first of its key and span."""
+    return heads(e.key, e.span)
+
+
+def spans_per_key(keys: np.ndarray) -> np.ndarray:
+    """For each of some sorted keys how many there are of it."""
+    sizes = np.diff(np.append(np.flatnonzero(heads(keys)), len(keys)))
+    return np.repeat(sizes, sizes)
+
+
+def search(level: Entries, batch: Entries) -> np.ndarray:
+    """Place in level of the entry with the same key and span, or -1."""
+    low, high = np.searchsorted(level.key, batch.key), np.searchsorted(level.key, batch.key, "right")
+    there = low < high
+    open_ = np.flatnonzero(high - low > 1)
+    a, b = low[open_], high[open_] - 1
+    while len(open_):  # all still open ranges are halved at once
+        half = (a + b) // 2
+        right = level.span[half] < batch.span[open_]
+        a, b = np.where(right, half + 1, a), np.where(right, b, half)
+        done = a >= b
+        low[open_[done]] = a[done]
+        open_, a, b = open_[~done], a[~done], b[~done]
+    low = np.minimum(low, max(len(level) - 1, 0))
+    same = there & (level.key[low] == batch.key) & (level.span[low] == batch.span) if len(level) else there & False
+    return np.where(same, low, -1)
 
 
 class LevelFamily:
-    """Sorted key arrays of geometric sizes, and the keys that were met in two batches."""
+    """Sorted arrays of geometric sizes, together with at most one entry for each key and span: its earliest."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
-        self.met: list[np.ndarray] = []
+        self.levels: list[Entries] = []
 
-    def add(self, batch: np.ndarray) -> None:
-        """batch: sorted distinct keys."""
+    def add(self, batch: Entries) -> Entries:
+        """Scan a batch against all levels, keep what is new; the entries that turn out to be later copies."""
+        copies = []
         for level in self.levels:
-            at = np.searchsorted(level, batch)
-            self.met.append(batch[level[np.minimum(at, len(level) - 1)] == batch])
-        self.levels.append(batch)
+            at = search(level, batch)
+            hit = np.flatnonzero(at >= 0)
+            mine, theirs = batch.take(hit), level.take(at[hit])
+            early = (mine.doc < theirs.doc) | (mine.doc == theirs.doc) & ((mine.row < theirs.row) | (mine.row == theirs.row) & (mine.start < theirs.start))
+            same = (mine.doc == theirs.doc) & (mine.row == theirs.row) & (mine.start == theirs.start)
+            copies += [mine.take(~early & ~same), theirs.take(early)]
+            for name in ("doc", "row", "start"):
+                level.columns[name][at[hit[early]]] = mine.columns[name][early]
+            batch = batch.take(at < 0)
+        self.levels.append(batch.take(np.arange(len(batch))))
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([a, b])
-            both.sort(kind="stable")
-            self.levels.append(both[np.append(True, both[1:] != both[:-1])] if len(both) else both)
-
-
-def batch_arrays(docs: DataFrame, shard_bits: int, config: SuffixConfig) -> DataFrame:
-    """shard, batch, keys (sorted distinct), twice (keys met twice inside the batch): a row per task and shard."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [s.key for batch in batches for _, _, s in _spans(batch.column("text"), config)]
-        keys, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        edges = np.searchsorted(keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)) if shard_bits else np.zeros(1, int)
-        edges = np.append(edges, len(keys))
-        full = np.flatnonzero(np.diff(edges))
-        parts = [(keys[edges[s] : edges[s + 1]], count[edges[s] : edges[s + 1]]) for s in full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), TaskContext.get().partitionId(), np.int32)), pa.array([k.tobytes() for k, _ in parts], pa.binary()), pa.array([k[c > 1].tobytes() for k, c in parts], pa.binary())],
-            ["shard", "batch", "keys", "twice"],
-        )
-
-    return docs.select("text").mapInArrow(of, "shard int, batch int, keys binary, twice binary")
-
-
-def repeat_filter(docs: DataFrame, config: SuffixConfig) -> np.ndarray:
-    """2 ** filter_bits bits, set at the top bits of every key that occurs twice or more."""
-    bits = config.filter_bits
-    # four shards a shuffle partition, so that partitions get about equal shares
-    shard_bits = min(bits - 3, max(4, 2 + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()))
-
-    def of(key, table):
-        family = LevelFamily()
-        for keys, twice in zip(table.column("keys").to_pylist(), table.column("twice").to_pylist(), strict=True):
-            family.met.append(np.frombuffer(twice, np.uint64))
-            family.add(np.frombuffer(keys, np.uint64))
-        met = np.concatenate(family.met)
-        mine = np.zeros(1 << (bits - shard_bits), bool)
-        mine[(met >> np.uint64(64 - bits)).astype(np.int64) & (len(mine) - 1)] = True
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], ["shard", "bits"])
-
-    rows = batch_arrays(docs, shard_bits, config).groupBy("shard").applyInArrow(of, "shard int, bits binary").collect()
-    size = (1 << bits - shard_bits) // 8
-    out = np.zeros((1 << shard_bits, size), np.uint8)
-    for r in rows:
-        out[r.shard] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
-def candidates(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """key, span, doc_id, start, windows of the minimizers whose key passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, config))
-    shift = np.uint64(64 - config.filter_bits)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            for i, at, s in _spans(batch.column("text"), config):
-                place = (s.key >> shift).astype(np.int64)
-                k = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.key[k].view(np.int64)), pa.array(s.span_keys(config.length)[k].view(np.int64)), batch.column("doc_id").take(pa.array(s.row[k] + i)), pa.array((s.start - at[s.row])[k]), pa.array(s.windows[k])],
-                    ["key", "span", "doc_id", "start", "windows"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(of, "key long, span long, doc_id long, start long, windows long")
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low = 0
-    while n - low > 1:
-        middle = (low + n) // 2
-        low, n = (middle, n) if a[:middle] == b[:middle] else (low, middle)
-    return low
-
-
-def covered(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """doc_id, spans (start and end of bytes to remove, unordered, overlapping) of documents that have any."""
-    found = written(candidates(docs, config), "suffixes")
-    same = ["key", "span", "windows"]
-    classes = written(found.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("home")), "spans")
-    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (config.length - 1)).alias("b"))
-    whole = found.join(classes, same).where("doc_id <> home.doc_id or start <> home.start").select("doc_id", span.alias("cut"))
-    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    firsts = classes.join(several, "key").select("key", "n", "home.doc_id", "home.start", "windows")
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "start", "windows")).alias("wanted"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+            self.levels[-2:] = [Entries.join(self.levels[-2:]).in_order()]
+        return Entries.join(copies)
+
+    def whole(self) -> Entries:
+        return Entries.join(self.levels).in_order()
+
+
+def long_matches(e: Entries, length: int) -> tuple[np.ndarray, ...]:
+    """doc, row, a, b of the runs of bytes that some spans cover together."""
+    order = np.lexsort((e.start, e.row, e.doc))
+    doc, row, a = e.doc[order], e.row[order], e.start[order]
+    b = a + e.windows[order] + (length - 1)
+    # ends of a document's spans never decrease, so a span that starts beyond the last end starts a run
+    new = heads(doc, row)
+    new[1:] |= a[1:] > b[:-1]
+    first = np.flatnonzero(new)
+    return doc[first], row[first], a[first], b[np.append(first, len(a))[1:] - 1]
+
+
+#: Rows on their way to a shard: entries of its keys, keys of it that are a crowd, entries of a crowd, settled matches.
+ENTRIES, CROWDS, CROWDED, MATCHES = range(4)
+BATCH = "shard int, batch long, kind int, n int, " + ", ".join(f"{k} binary" for k in FIELDS)
+FOUND = "doc long, row long, start long, size int, key long, crowd boolean"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers as bytes of the least width that holds them."""
+    if not len(x) or not x.any():
+        return b""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if x.min() >= 0 and x.max() <= np.iinfo(kind).max:
+            return x.astype(kind).tobytes()
+    return x.tobytes()
+
+
+def _wide(data: bytes, n: int, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(n, kind)
+    width = len(data) // n
+    return np.frombuffer(data, kind if width == 8 else f"u{width}").astype(kind)
+
+
+def _packed(shards: np.ndarray, batch: int, kind: int, e: Entries) -> pa.RecordBatch:
+    """A row for each run of equal shards."""
+    edges = np.flatnonzero(heads(shards))
+    ends = np.append(edges, len(shards))[1:]
+    columns = [pa.array(shards[edges].astype(np.int32)), pa.array(np.full(len(edges), batch)), pa.array(np.full(len(edges), kind, np.int32)), pa.array((ends - edges).astype(np.int32))]
+    for name in FIELDS:
+        x = e.columns.get(name, np.zeros(len(shards), np.int64))
+        columns.append(pa.array([_narrow(x[a:b]) for a, b in zip(edges, ends, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["shard", "batch", "kind", "n", *FIELDS])
+
+
+def batch_rows(e: Entries, batch: int, shards: int, config: SuffixConfig) -> Iterator[pa.RecordBatch]:
+    """The array of a batch, cut into shards, and the matches inside it."""
+    e = e.in_order()
+    e = e.take(heads(e.key, e.span, e.doc, e.row, e.start))  # rows of one id and text are one document
+    first = first_of(e)
+    doc, row, a, b = long_matches(e.take(~first), config.length)
+    e = e.take(first)
+    # ranges of keys, by their upper 32 bits
+    shard = ((e.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    crowded = spans_per_key(e.key) > config.crowd
+    yield _packed(shard[~crowded], batch, ENTRIES, e.take(~crowded))
+    if crowded.any():
+        keys, at = np.unique(e.key[crowded], return_index=True)
+        yield _packed(shard[crowded][at], batch, CROWDS, Entries(key=keys))
+        spread = ((e.span >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        order = np.flatnonzero(crowded)[np.argsort(spread[crowded], kind="stable")]
+        yield _packed(spread[order], batch, CROWDED, e.take(order))
+    if len(doc):
+        yield _packed(np.full(len(doc), batch % shards), batch, MATCHES, Entries(key=doc[:0], doc=doc, row=row, start=a, windows=b - a))
+
+
+def batches(docs: DataFrame, shards: int, config: SuffixConfig) -> DataFrame:
+    """The arrays of all batches. docs: doc, row, text."""
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in found:
             data, offsets = raw(batch.column("text"))
-            for i in range(len(batch)):
-                spans = batch.column("wanted")[i].values
-                text = data[offsets[i] : offsets[i + 1]]
-                starts, n = spans.field("start").to_numpy(), spans.field("windows").to_numpy() + (config.length - 1)
-                grams = Hashes(text).grams(config.gram)
-                # of equal keys in a span the first is its suffix
-                keys = spans.field("key").to_numpy().view(np.uint64)
-                off = [int(np.argmax(grams[a : a + m - config.gram + 1] == k)) for a, m, k in zip(starts, n, keys, strict=True)]
-                rows = [text[a : a + m].tobytes() for a, m in zip(starts, n, strict=True)]
+            doc, own = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            for i, j in slices(offsets):
+                at = offsets[i : j + 1] - offsets[i]
+                s = Spans(data[offsets[i] : offsets[j]], at, config)
+                parts.append(Entries(key=s.key, span=s.span, doc=doc[i:j][s.row], row=own[i:j][s.row], start=s.start - at[s.row], windows=s.windows))
+                size += len(s.key)
+                if size >= config.batch_rows:
+                    yield from batch_rows(Entries.join(parts), number, shards, config)
+                    parts, size, number = [], 0, number + 1
+        yield from batch_rows(Entries.join(parts), number, shards, config)
+
+    return docs.select("doc", "row", "text").mapInArrow(of, BATCH)
+
+
+def scan(arrays: DataFrame, config: SuffixConfig) -> DataFrame:
+    """The families of all shards. doc, row, start, size, key, crowd: bytes to remove where key is null, else the first copy
+    of a span, `size` windows, whose key has other spans too; crowd: very many."""
+
+    def rows(e: Entries, keyed: bool, crowd: np.ndarray | bool = False) -> pa.RecordBatch:
+        n = len(e.doc)
+        size = e.windows if keyed else e.windows + (config.length - 1)
+        key = pa.array(e.key.view(np.int64)) if keyed else pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(e.doc), pa.array(e.row), pa.array(e.start), pa.array(size.astype(np.int32)), key, pa.array(np.broadcast_to(crowd, n))], ["doc", "row", "start", "size", "key", "crowd"])
+
+    def matched(e: Entries) -> pa.RecordBatch:
+        doc, row, a, b = long_matches(e, config.length)
+        return rows(Entries(doc=doc, row=row, start=a, windows=b - a - (config.length - 1)), False)
+
+    def ended(family: LevelFamily, crowds: list[np.ndarray]) -> pa.RecordBatch:
+        e = family.whole()
+        n = spans_per_key(e.key)
+        crowd = np.isin(e.key, np.concatenate([np.zeros(0, np.uint64), *crowds])) | (n > config.crowd)
+        keep = (n > 1) | crowd
+        return rows(e.take(keep), True, crowd[keep])
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, family, crowds = None, LevelFamily(), []
+        for batch in found:
+            for k in range(len(batch)):
+                kind, n = batch.column("kind")[k].as_py(), batch.column("n")[k].as_py()
+                if batch.column("shard")[k].as_py() != shard:
+                    yield ended(family, crowds)
+                    shard, family, crowds = batch.column("shard")[k].as_py(), LevelFamily(), []
+                e = Entries(**{f: _wide(batch.column(f)[k].as_py(), n, t) for f, t in FIELDS.items()})
+                if kind == ENTRIES:
+                    yield matched(family.add(e))
+                elif kind == CROWDS:
+                    crowds.append(e.key)
+                elif kind == CROWDED:
+                    yield rows(e, True, True)
+                else:
+                    e.columns["windows"] = e.windows - (config.length - 1)
+                    yield rows(e, False)
+        yield ended(family, crowds)
+
+    return arrays.mapInArrow(of, FOUND)
+
+
+def fetched(docs: DataFrame, homes: DataFrame, config: SuffixConfig) -> DataFrame:
+    """key, doc, row, start, bytes of some spans."""
+    wanted = homes.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "size")).alias("wanted"))
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            data, offsets = raw(batch.column("text"))
+            wanted = batch.column("wanted")
+            spans = wanted.flatten()
+            row = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
+            start, n = spans.field("start").to_numpy(), spans.field("size").to_numpy() + (config.length - 1)
+            size = 20_000
+            for i in range(0, len(row), size):
+                k = slice(i, i + size)
+                at = offsets[row[k]] + start[k]
+                parts = [data[a : a + m].tobytes() for a, m in zip(at.tolist(), n[k].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [spans.field("key"), spans.field("n"), pa.array(np.full(len(starts), batch.column("doc_id")[i].as_py())), pa.array(starts), pa.array(off, pa.int32()), pa.array(rows, pa.binary())],
-                    ["key", "n", "doc_id", "start", "off", "bytes"],
+                    [spans.field("key").slice(i, size), *(batch.column(c).take(pa.array(row[k])) for c in ("doc", "row")), pa.array(start[k]), pa.array(parts, pa.binary())],
+                    ["key", "doc", "row", "start", "bytes"],
                 )
 
-    edges = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").mapInArrow(fetch, "key long, n long, doc_id long, start long, off int, bytes binary")
-    edges = written(edges, "edges")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, a, b = [], [], []
-            for group in batch.column("group").to_pylist():
-                group.sort(key=lambda g: (g["doc_id"], g["start"]))
-                for k, mine in enumerate(group):
-                    for other in group[:k]:
-                        left = common(mine["bytes"][: mine["off"]][::-1], other["bytes"][: other["off"]][::-1])
-                        right = common(mine["bytes"][mine["off"] :], other["bytes"][other["off"] :])
-                        if left + right >= config.length:
-                            at = mine["start"] + mine["off"]
-                            ids.append(mine["doc_id"])
-                            a.append(at - left)
-                            b.append(at + right)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "a", "b"])
-
-    small = edges.where(F.col("n") <= config.few).groupBy("key").agg(F.collect_list(F.struct("doc_id", "start", "off", "bytes")).alias("group"))
-    paired = small.select("group").mapInArrow(pairs, "doc_id long, a long, b long").select("doc_id", F.struct("a", "b").alias("cut"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = raw(batch.column("bytes"))
-            size = np.diff(offsets) - config.length + 1
-            row = np.repeat(np.arange(len(batch)), size)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = offsets[:-1][row] + inside
-            key = Hashes(data).of(at, at + config.length)
-            take = lambda c: batch.column(c).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(take("doc_id")), pa.array(take("start") + inside)], ["window", "doc_id", "start"])
-
-    large = edges.where(F.col("n") > config.few).select("doc_id", "start", "bytes")
-    each = written(large.mapInArrow(windows, "window long, doc_id long, start long"), "windows")
-    first = each.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("home"), F.max(F.struct("doc_id", "start")).alias("last")).where("home <> last").select("window", "home")
-    single = each.join(first, "window").where("doc_id <> home.doc_id or start <> home.start").select("doc_id", F.struct(F.col("start").alias("a"), (F.col("start") + config.length).alias("b")).alias("cut"))
-    whole = whole.unionByName(paired)
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("cut").alias("cuts"))
+    return docs.join(wanted.hint("merge"), ["doc", "row"]).mapInArrow(of, "key long, doc long, row long, start long, bytes binary")
+
+
+def equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + n] equals data[b : b + n], for each row."""
+    ends = np.cumsum(n)
+    step = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
+    same = data[np.repeat(a, n) + step] == data[np.repeat(b, n) + step]
+    return np.logical_and.reduceat(same, ends - n) if len(n) else np.zeros(0, bool)
+
+
+def repeated_windows(group: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of spans in order inside their groups: row, first and last byte's end of the runs of windows that an earlier span of the group has."""
+    size = np.diff(offsets) - length + 1
+    entry = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
+    at = offsets[:-1][entry] + inside
+    window = Hashes(data).of(at, at + length)
+    order = np.lexsort((window, group[entry]))
+    g, w = group[entry][order], window[order]
+    home = np.empty(len(order), np.int64)
+    home[order] = order[np.maximum.accumulate(np.where(heads(g, w), np.arange(len(order)), 0))]
+    later = np.flatnonzero(home != np.arange(len(home)))
+    here, there = at[later], at[home[later]]
+    step = np.arange(len(later))
+    first = np.flatnonzero(heads(later - step, entry[later], there - step, entry[home[later]]))
+    n = np.diff(np.append(first, len(later))) + (length - 1)
+    good = equal_runs(data, here[first], there[first], n)
+    first, n = first[good], n[good]
+    begin = inside[later[first]]
+    return entry[later[first]], begin, begin + n
+
+
+def compared(spans: DataFrame, config: SuffixConfig) -> DataFrame:
+    """doc, row, a, b: bytes of spans that an earlier span of the same key has as well; whole keys are compared in a task."""
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({"key": pa.array([], pa.int64())})
+        for batch in found:
+            more = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, more]) if len(held) else more
+            if len(held) < 4096:
+                continue
+            keys = held.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if whole:
+                yield settle(held.slice(0, whole))
+                held = held.slice(whole)
+        if len(held):
+            yield settle(held)
+
+    def settle(held: pa.Table) -> pa.RecordBatch:
+        batch = held.combine_chunks().to_batches()[0]
+        # a document that is there twice, under one id, was fetched twice
+        batch = batch.filter(pa.array(heads(*(batch.column(c).to_numpy() for c in ("key", "doc", "row", "start")))))
+        keys = batch.column("key").to_numpy()
+        data, offsets = raw(batch.column("bytes"))
+        k, a, b = repeated_windows(np.cumsum(heads(keys)), data, offsets, config.length)
+        start = batch.column("start").to_numpy()[k]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(k)) for c in ("doc", "row")), pa.array(start + a), pa.array(start + b)], ["doc", "row", "a", "b"])
+
+    order = ["key", "doc", "row", "start"]
+    return spans.repartition("key").sortWithinPartitions(*order).mapInArrow(of, "doc long, row long, a long, b long")
+
+
+def window_rows(spans: DataFrame, config: SuffixConfig) -> DataFrame:
+    """key, window (hash), doc, row, start of every window of some spans."""
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in found:
+            for i in range(0, len(whole), 10_000):
+                batch = whole.slice(i, 10_000)
+                data, offsets = raw(batch.column("bytes"))
+                size = np.diff(offsets) - config.length + 1
+                entry = np.repeat(np.arange(len(batch)), size)
+                inside = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
+                at = offsets[:-1][entry] + inside
+                take = lambda c: batch.column(c).to_numpy()[entry]  # noqa: E731, B023
+                key = Hashes(data).of(at, at + config.length)
+                yield pa.RecordBatch.from_arrays([pa.array(take("key")), pa.array(key.view(np.int64)), pa.array(take("doc")), pa.array(take("row")), pa.array(take("start") + inside)], ["key", "window", "doc", "row", "start"])
+
+    return spans.mapInArrow(of, "key long, window long, doc long, row long, start long")
+
+
+def crowded_windows(spans: DataFrame, config: SuffixConfig) -> DataFrame:
+    """As compared(), for keys of any number of spans: a join of windows with their first places."""
+    each = written(window_rows(spans, config), "windows")
+    place = F.struct("doc", "row", "start")
+    first = each.groupBy("key", "window").agg(F.min(place).alias("home"), F.max(place).alias("last")).where("home <> last").select("key", "window", "home")
+    later = each.join(first, ["key", "window"]).where(place != F.col("home"))
+    return later.select("doc", "row", F.col("start").alias("a"), (F.col("start") + config.length).alias("b"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, doc, row, text, in whose order of (doc, row) documents come, and the number of bytes of all texts.
+
+    doc is doc_id, and the largest long where that is null. row tells the texts of one id apart: 0 where every row has an
+    id of its own, else a hash of the text.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    ids = docs.select(doc.alias("doc"), F.octet_length("text").alias("n")).groupBy("doc").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most, size = ids.agg(F.max("rows"), F.sum("n")).first()
+    row = F.lit(0) if (most or 0) < 2 else F.xxhash64("text")
+    return docs.select("doc_id", doc.alias("doc"), row.cast("long").alias("row"), "text"), size or 0
+
+
+def covered(docs: DataFrame, size: int, config: SuffixConfig) -> DataFrame:
+    """doc, row, cuts (start and end of bytes to remove, unordered, overlapping) of documents that have any."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = 2 * size // (config.length - config.gram + 2)
+    shards = max(partitions, -(-entries // config.shard_rows))
+    arrays = batches(docs, shards, config).repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
+    found = written(scan(arrays, config), "suffixes")
+    homes = found.where("key is not null")
+    cuts = found.where("key is null").select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    texts = docs.select("doc", "row", "text")
+    cuts = cuts.unionByName(compared(fetched(texts, homes.where("not crowd"), config), config))
+    crowds = homes.where("crowd")
+    if not crowds.isEmpty():
+        cuts = cuts.unionByName(crowded_windows(fetched(texts, crowds, config), config))
+    return cuts.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): a row per row of docs.
 
-    Null texts are empty. Rows of one id with equal texts are one document: neither makes the other's bytes a repeat.
-    Texts shorter than `length` lose nothing. Other columns are ignored; an empty table gives an empty result.
+    Null texts are empty. Null ids come after all others. Rows of one id with equal texts are one document: neither makes the
+    other's bytes a repeat; with different texts they are documents in the order of a hash of their texts. Texts
+    shorter than `length` lose nothing. Other columns are ignored; an empty table gives an empty result.
     """
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,5 +474,6 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    marked = docs.select("doc_id", "text").join(covered(docs, config), "doc_id", "left")
+    rows, size = numbered(docs)
+    marked = rows.join(covered(rows, size, config).hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "cuts")
     return marked.mapInArrow(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

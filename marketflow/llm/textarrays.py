@@ -1,11 +1,11 @@
 """Numpy views of Arrow text columns: bytes and offsets, words, and polynomial hashes of any span.
 
-A span's hash is a difference of prefix sums of table[byte] * BASE ** place (mod 2 ** 64), brought back to place 0
-and mixed. Work goes slice by slice, so memory follows the slice (or one long text), not the batch.
+Work goes slice by slice, so memory follows the slice (or one long text), not the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +13,10 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+_PRIME_INVERSE = pow(BASE % PRIME, -1, PRIME)
+_PRIME, _LOW, _HALF = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64(31)
+_prime_powers: dict[int, np.ndarray] = {}
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
@@ -41,23 +45,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b mod PRIME, for values below PRIME, in parts of 31 bits."""
+    a1, a0, b1, b0 = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle = a0 * b1 + a1 * b0
+    return _fold(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << _HALF) + a0 * b0)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) mod PRIME; kept, and doubled when too short."""
+    have = _prime_powers.get(base, np.ones(1, np.uint64))
+    while len(have) < max(n, 1 << 16):
+        have = np.concatenate([have, _times(have, np.uint64(pow(base, len(have), PRIME)))])
+    _prime_powers[base] = have
+    return have[:n]
+
+
 class Hashes:
-    """Prefix sums over some bytes; of() hashes spans of them."""
+    """Prefix sums over some bytes; of() hashes spans of them.
+
+    A span's hash is the sum of (byte + 1) * BASE ** place modulo the prime 2 ** 61 - 1, brought back to place 0 and mixed with
+    its length. No power of two is the modulus: there the Thue-Morse words of 1,024 letters collide for every base. The
+    sums are kept as two parts of 31 bits; spans too long for them are hashed by themselves.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLE[data] * powers(BASE, n), out=self.sums[1:])
-        self.back = powers(_INVERSE, n + 1)
+        self.data = data
+        x, p = data.astype(np.uint64) + np.uint64(1), prime_powers(BASE % PRIME, n)
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(x * (p & _LOW), out=self.low[1:])
+        np.cumsum(x * (p >> _HALF), out=self.high[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
+        high = _fold(self.high[end] - self.high[start])
+        total = _fold(((high & np.uint64(0x3FFFFFFF)) << _HALF) + (high >> np.uint64(30)) + _fold(self.low[end] - self.low[start]))
+        total = _times(total, prime_powers(_PRIME_INVERSE, len(self.data) + 1)[start])
+        out = mix(total ^ mix((end - start).astype(np.uint64)))
+        for k in np.flatnonzero(end - start >= 1 << 23):
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def grams(self, width: int) -> np.ndarray:
-        """Hashes of all spans of one width."""
-        n = max(0, len(self.sums) - width)
-        return mix((self.sums[width : width + n] - self.sums[:n]) * self.back[:n])
+        """Hashes of all spans of one small width, by another polynomial, modulo 2 ** 64."""
+        n = len(self.data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(TABLE[self.data] * powers(BASE, n), out=sums[1:])
+        n = max(0, n + 1 - width)
+        return mix((sums[width : width + n] - sums[:n]) * powers(_INVERSE, n))
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +117,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about limit bytes each, or one row alone where it is longer."""
+def slices(offsets: np.ndarray, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows and of about limit bytes each, or one row alone where it is longer."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -61,3 +61,8 @@ def repeated_bytes(texts: dict[int, str | None], length: int = 100) -> dict[int,
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         out[i] = sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)
     return out
+
+
+def thue_morse(n: int) -> str:
+    """A word of n letters whose complement has the same hash under any polynomial modulo a power of two."""
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, suffix_dedup, token_files
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, suffix_dedup, textarrays, token_files
 from marketflow.llm import quality_rules as rules
 from tests.llm import brute
 
@@ -95,18 +95,49 @@ def test_suffix_dedup_matches_all_windows(table, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_level_family_finds_keys_of_two_batches():
+def test_suffix_dedup_in_small_batches_and_crowds(table):
+    want = brute.repeated_bytes(texts())
+    for config in (suffix_dedup.SuffixConfig(batch_rows=40), suffix_dedup.SuffixConfig(batch_rows=500, crowd=1), suffix_dedup.SuffixConfig(crowd=3)):
+        got = suffix_dedup.remove_repeats(table, config).collect()
+        assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
+def test_suffix_dedup_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = word(40)
+    rows = [(1, shared), (1, shared), (2, shared + "1" + word(5)), (None, shared), (None, None), (3, word(30)), (3, word(9) + shared + "2" + word(60)), (4, word(3))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(shared)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted((-1 if i is None else i, len(t or ""), n if t and shared in t and i != 1 else 0) for i, t in rows)
+
+
+def test_level_family_keeps_the_earliest_of_every_span():
     rng = np.random.default_rng(1)
-    family, seen, twice = suffix_dedup.LevelFamily(), set(), set()
-    for _ in range(20):
-        batch = np.unique(rng.integers(0, 5000, rng.integers(1, 400)).astype(np.uint64))
-        twice |= seen & set(batch.tolist())
-        seen |= set(batch.tolist())
-        family.add(batch)
-    assert set(np.concatenate(family.met).tolist()) == twice
+    family, first, refs, copies = suffix_dedup.LevelFamily(), {}, set(), []
+    for _ in range(30):
+        n = rng.integers(1, 300)
+        key, span = rng.integers(0, 60, n).astype(np.uint64), rng.integers(0, 40, n).astype(np.uint64)
+        e = suffix_dedup.Entries(key=key, span=span, doc=rng.integers(0, 10**6, n), row=np.zeros(n, np.int64), start=rng.integers(0, 50, n), windows=np.ones(n, np.int64)).in_order()
+        e = e.take(suffix_dedup.first_of(e))
+        copies.append(family.add(e))
+        for k, s, d, p in zip(e.key, e.span, e.doc, e.start, strict=True):
+            refs.add((k, s, d, p))
+            first[k, s] = min(first.get((k, s), (d, p)), (d, p))
+    whole, lost = family.whole(), suffix_dedup.Entries.join(copies)
+    left = set(zip(whole.key, whole.span, whole.doc, whole.start, strict=True))
+    assert left == {(k, s, *at) for (k, s), at in first.items()}
+    assert refs - left == set(zip(lost.key, lost.span, lost.doc, lost.start, strict=True)) and len(lost) == len(refs - left)
     assert [len(x) for x in family.levels] == sorted((len(x) for x in family.levels), reverse=True)
 
 
+def test_span_hashes_tell_the_thue_morse_words_apart():
+    word = brute.thue_morse(1024)
+    data = np.frombuffer((word + word.translate(str.maketrans("ab", "ba")) + word).encode(), np.uint8)
+    a, b, c = textarrays.Hashes(data).of(np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    assert a == c != b
+
+
 def test_line_dedup_keeps_the_first_and_forgets_nothing_else(table, empty):
     config = line_dedup.LineConfig()
     got = {r.doc_id: r for r in line_dedup.remove_repeats(table, config, carry=["lang", "score"]).collect()}
