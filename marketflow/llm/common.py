@@ -24,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where that is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marketflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/marketflow"
@@ -40,6 +42,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, carry: list[str] = ()) -> tuple[DataFrame, int]:
+    """doc_id, doc, row, text and carry, in whose order of (doc, row) documents come, and the number of bytes of all texts.
+
+    doc is doc_id, and the largest long where that is null. row tells the texts of one id apart: 0 where every row has an
+    id of its own, else a hash of the text. The names doc and row must not be carried.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    ids = docs.select(doc.alias("doc"), F.octet_length("text").alias("n")).groupBy("doc").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most, size = ids.agg(F.max("rows"), F.sum("n")).first()
+    row = F.lit(0) if (most or 0) < 2 else F.xxhash64("text")
+    return docs.select("doc_id", doc.alias("doc"), row.cast("long").alias("row"), "text", *carry), size or 0
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -12,8 +12,8 @@ another polynomial), the span's document and start, and its number of windows; a
    matches of length or more bytes, of which the earliest stays in the levels and the others are wholly covered. Then levels
    of about equal size are merged.
 3. What is left of a key with several spans is compared window by window on its bytes, and runs of equal windows are
-   removed after a comparison of their bytes. Keys with very many spans ("crowds") do so in one join of windows over all
-   tasks, so that no key has to fit in one of them.
+   removed after a comparison of their bytes. Keys with very many spans ("crowds") are dealt out window by window instead, in
+   the same shuffle, so that no key has to fit in one task.
 """
 
 from __future__ import annotations
@@ -28,20 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import written
+from marketflow.llm.common import numbered, written
 from marketflow.llm.textarrays import Hashes, mix, raw, slices
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
     """batch_rows: entries of a batch; shard_rows: entries of a shard, on average; crowd: spans of a key, in a batch or in a
-    shard, from which on it is compared by a join of windows. They bound memory and change no result."""
+    shard, above which it is dealt out by windows. They bound memory and change no result."""
 
     length: int = 100
     gram: int = 24
     batch_rows: int = 1 << 21
     shard_rows: int = 1 << 20
-    crowd: int = 1 << 13
+    crowd: int = 1 << 14
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -304,28 +304,58 @@ def scan(arrays: DataFrame, config: SuffixConfig) -> DataFrame:
     return arrays.mapInArrow(of, FOUND)
 
 
+def window_hashes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Span, place inside it and hash of every window of some spans."""
+    size = np.diff(offsets) - length + 1
+    entry = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
+    at = offsets[:-1][entry] + inside
+    return entry, inside, Hashes(data).of(at, at + length)
+
+
+FETCHED = "key long, window long, doc long, row long, start long, size int, bytes binary"
+
+
 def fetched(docs: DataFrame, homes: DataFrame, config: SuffixConfig) -> DataFrame:
-    """key, doc, row, start, bytes of some spans."""
-    wanted = homes.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "size")).alias("wanted"))
+    """key, window, doc, row, start, size, bytes: a span with its bytes; or a window of a crowd, by its hash, without bytes; or,
+    with neither window nor bytes, `size` bytes that are settled: windows of a crowd that come again in a batch."""
+    wanted = homes.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "size", "crowd")).alias("wanted"))
+
+    def rows(e: dict[str, np.ndarray], window: np.ndarray | None, size: np.ndarray | int, parts: list[bytes] | None) -> pa.RecordBatch:
+        n = len(e["doc"])
+        blank = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x, kind)
+        columns = [pa.array(e["key"]), blank(window, pa.int64()), pa.array(e["doc"]), pa.array(e["row"]), pa.array(e["start"]), pa.array(np.broadcast_to(size, n).astype(np.int32)), blank(parts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "window", "doc", "row", "start", "size", "bytes"])
+
+    def dealt(e: dict[str, np.ndarray], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entry, inside, window = window_hashes(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), config.length)
+        e = {k: v[entry] for k, v in e.items()}
+        e["start"] = e["start"] + inside
+        order = np.lexsort((e["start"], e["row"], e["doc"], window, e["key"]))
+        e, window = {k: v[order] for k, v in e.items()}, window[order]
+        new, other = heads(e["key"], window), heads(e["key"], window, e["doc"], e["row"], e["start"])
+        yield rows({k: v[new] for k, v in e.items()}, window[new].view(np.int64), 0, None)
+        late = {k: v[~new & other] for k, v in e.items()}
+        doc, row, a, b = long_matches(Entries(windows=np.ones(len(late["doc"]), np.int64), **late), config.length)
+        yield rows({"key": doc, "doc": doc, "row": row, "start": a}, None, b - a, None)
 
     def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             data, offsets = raw(batch.column("text"))
             wanted = batch.column("wanted")
             spans = wanted.flatten()
-            row = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
-            start, n = spans.field("start").to_numpy(), spans.field("size").to_numpy() + (config.length - 1)
-            size = 20_000
-            for i in range(0, len(row), size):
-                k = slice(i, i + size)
-                at = offsets[row[k]] + start[k]
-                parts = [data[a : a + m].tobytes() for a, m in zip(at.tolist(), n[k].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [spans.field("key").slice(i, size), *(batch.column(c).take(pa.array(row[k])) for c in ("doc", "row")), pa.array(start[k]), pa.array(parts, pa.binary())],
-                    ["key", "doc", "row", "start", "bytes"],
-                )
+            at = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
+            e = {"key": spans.field("key").to_numpy(), "start": spans.field("start").to_numpy(), **{c: batch.column(c).to_numpy()[at] for c in ("doc", "row")}}
+            n, crowd = spans.field("size").to_numpy() + (config.length - 1), np.asarray(spans.field("crowd"))
+            for i in range(0, len(at), 20_000):
+                for some, send in ((np.flatnonzero(~crowd[i : i + 20_000]) + i, False), (np.flatnonzero(crowd[i : i + 20_000]) + i, True)):
+                    if len(some):
+                        begin = offsets[at[some]] + e["start"][some]
+                        parts = [data[a : a + m].tobytes() for a, m in zip(begin.tolist(), n[some].tolist(), strict=True)]
+                        own = {k: v[some] for k, v in e.items()}
+                        yield from dealt(own, parts) if send else [rows(own, None, 0, parts)]
 
-    return docs.join(wanted.hint("merge"), ["doc", "row"]).mapInArrow(of, "key long, doc long, row long, start long, bytes binary")
+    return docs.join(wanted.hint("merge"), ["doc", "row"]).mapInArrow(of, FETCHED)
 
 
 def equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -338,15 +368,14 @@ def equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
 
 def repeated_windows(group: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of spans in order inside their groups: row, first and last byte's end of the runs of windows that an earlier span of the group has."""
-    size = np.diff(offsets) - length + 1
-    entry = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
+    entry, inside, window = window_hashes(data, offsets, length)
     at = offsets[:-1][entry] + inside
-    window = Hashes(data).of(at, at + length)
-    order = np.lexsort((window, group[entry]))
-    g, w = group[entry][order], window[order]
-    home = np.empty(len(order), np.int64)
-    home[order] = order[np.maximum.accumulate(np.where(heads(g, w), np.arange(len(order)), 0))]
+    home = np.empty(len(window), np.int64)
+    parts = len(window) // 2_000_000 + 1
+    for part in range(parts):  # equal windows are in one part
+        mine = np.flatnonzero(window % np.uint64(parts) == part) if parts > 1 else np.arange(len(window))
+        order = mine[np.lexsort((window[mine], group[entry[mine]]))]
+        home[order] = order[np.maximum.accumulate(np.where(heads(group[entry[order]], window[order]), np.arange(len(order)), 0))]
     later = np.flatnonzero(home != np.arange(len(home)))
     here, there = at[later], at[home[later]]
     step = np.arange(len(later))
@@ -358,77 +387,50 @@ def repeated_windows(group: np.ndarray, data: np.ndarray, offsets: np.ndarray, l
     return entry[later[first]], begin, begin + n
 
 
-def compared(spans: DataFrame, config: SuffixConfig) -> DataFrame:
-    """doc, row, a, b: bytes of spans that an earlier span of the same key has as well; whole keys are compared in a task."""
+def compared(found: DataFrame, config: SuffixConfig) -> DataFrame:
+    """doc, row, a, b: bytes that an earlier span of the same key has as well, of the rows of fetched()."""
 
-    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"key": pa.array([], pa.int64())})
-        for batch in found:
+        for batch in batches:
             more = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, more]) if len(held) else more
             if len(held) < 4096:
                 continue
-            keys = held.column("key").to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            keys, windows = held.column("key").to_numpy(), held.column("window").fill_null(0).to_numpy()
+            other = np.flatnonzero((keys != keys[-1]) | (windows != windows[-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
             if whole:
                 yield settle(held.slice(0, whole))
                 held = held.slice(whole)
+            elif held.column("bytes").null_count == len(held):
+                # a window of a crowd: its first place is all that must be kept
+                yield settle(held)
+                held = held.slice(0, 1)
         if len(held):
             yield settle(held)
 
     def settle(held: pa.Table) -> pa.RecordBatch:
-        batch = held.combine_chunks().to_batches()[0]
+        whole = held.combine_chunks().to_batches()[0]
         # a document that is there twice, under one id, was fetched twice
-        batch = batch.filter(pa.array(heads(*(batch.column(c).to_numpy() for c in ("key", "doc", "row", "start")))))
-        keys = batch.column("key").to_numpy()
+        place = ("key", "doc", "row", "start")
+        whole = whole.filter(pa.array(heads(*(whole.column(c).to_numpy() for c in place), whole.column("window").fill_null(0).to_numpy())))
+        spans, windows = np.asarray(whole.column("bytes").is_valid()), np.asarray(whole.column("window").is_valid())
+        done = whole.filter(pa.array(~spans & ~windows))
+        out = [[done.column(c).to_numpy() for c in ("doc", "row", "start")], [done.column("start").to_numpy() + done.column("size").to_numpy()]]
+        batch = whole.filter(pa.array(spans))
         data, offsets = raw(batch.column("bytes"))
-        k, a, b = repeated_windows(np.cumsum(heads(keys)), data, offsets, config.length)
+        k, a, b = repeated_windows(np.cumsum(heads(batch.column("key").to_numpy())), data, offsets, config.length)
         start = batch.column("start").to_numpy()[k]
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(k)) for c in ("doc", "row")), pa.array(start + a), pa.array(start + b)], ["doc", "row", "a", "b"])
-
-    order = ["key", "doc", "row", "start"]
-    return spans.repartition("key").sortWithinPartitions(*order).mapInArrow(of, "doc long, row long, a long, b long")
+        parts = [(*out[0], *out[1]), (batch.column("doc").to_numpy()[k], batch.column("row").to_numpy()[k], start + a, start + b)]
+        batch = whole.filter(pa.array(windows))
+        late = batch.filter(pa.array(~heads(batch.column("key").to_numpy(), batch.column("window").to_numpy())))
+        start = late.column("start").to_numpy()
+        parts.append((late.column("doc").to_numpy(), late.column("row").to_numpy(), start, start + config.length))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["doc", "row", "a", "b"])
 
-
-def window_rows(spans: DataFrame, config: SuffixConfig) -> DataFrame:
-    """key, window (hash), doc, row, start of every window of some spans."""
-
-    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in found:
-            for i in range(0, len(whole), 10_000):
-                batch = whole.slice(i, 10_000)
-                data, offsets = raw(batch.column("bytes"))
-                size = np.diff(offsets) - config.length + 1
-                entry = np.repeat(np.arange(len(batch)), size)
-                inside = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
-                at = offsets[:-1][entry] + inside
-                take = lambda c: batch.column(c).to_numpy()[entry]  # noqa: E731, B023
-                key = Hashes(data).of(at, at + config.length)
-                yield pa.RecordBatch.from_arrays([pa.array(take("key")), pa.array(key.view(np.int64)), pa.array(take("doc")), pa.array(take("row")), pa.array(take("start") + inside)], ["key", "window", "doc", "row", "start"])
-
-    return spans.mapInArrow(of, "key long, window long, doc long, row long, start long")
-
-
-def crowded_windows(spans: DataFrame, config: SuffixConfig) -> DataFrame:
-    """As compared(), for keys of any number of spans: a join of windows with their first places."""
-    each = written(window_rows(spans, config), "windows")
-    place = F.struct("doc", "row", "start")
-    first = each.groupBy("key", "window").agg(F.min(place).alias("home"), F.max(place).alias("last")).where("home <> last").select("key", "window", "home")
-    later = each.join(first, ["key", "window"]).where(place != F.col("home"))
-    return later.select("doc", "row", F.col("start").alias("a"), (F.col("start") + config.length).alias("b"))
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, doc, row, text, in whose order of (doc, row) documents come, and the number of bytes of all texts.
-
-    doc is doc_id, and the largest long where that is null. row tells the texts of one id apart: 0 where every row has an
-    id of its own, else a hash of the text.
-    """
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    ids = docs.select(doc.alias("doc"), F.octet_length("text").alias("n")).groupBy("doc").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    most, size = ids.agg(F.max("rows"), F.sum("n")).first()
-    row = F.lit(0) if (most or 0) < 2 else F.xxhash64("text")
-    return docs.select("doc_id", doc.alias("doc"), row.cast("long").alias("row"), "text"), size or 0
+    order = ["key", "window", "doc", "row", "start"]
+    return found.repartition("key", "window").sortWithinPartitions(*order).mapInArrow(of, "doc long, row long, a long, b long")
 
 
 def covered(docs: DataFrame, size: int, config: SuffixConfig) -> DataFrame:
@@ -438,13 +440,8 @@ def covered(docs: DataFrame, size: int, config: SuffixConfig) -> DataFrame:
     shards = max(partitions, -(-entries // config.shard_rows))
     arrays = batches(docs, shards, config).repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
     found = written(scan(arrays, config), "suffixes")
-    homes = found.where("key is not null")
     cuts = found.where("key is null").select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    texts = docs.select("doc", "row", "text")
-    cuts = cuts.unionByName(compared(fetched(texts, homes.where("not crowd"), config), config))
-    crowds = homes.where("crowd")
-    if not crowds.isEmpty():
-        cuts = cuts.unionByName(crowded_windows(fetched(texts, crowds, config), config))
+    cuts = cuts.unionByName(compared(fetched(docs.select("doc", "row", "text"), found.where("key is not null"), config), config))
     return cuts.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
 
 
