@@ -1,9 +1,11 @@
 """Line dedup (5): content-defined chunks of lines; chunks of several lines that repeat anywhere lose all but the first.
 
 A line ends after its line feed. A chunk ends after a line at which the mixed hash of the last `window` line hashes
-falls on one of 1 / `mean` of its values, or after `most` lines; so an inserted line moves only the bounds near it. A
-chunk of at least `least` lines and `words` words that equals an earlier one - smaller (doc_id, place) - is removed.
-Equality is that of the bytes: keys only choose what is compared.
+falls on one of 1 / `mean` of its values, or after `most` lines; so an inserted line moves only the bounds near it. With
+a window of one line the bounds inside a repeated passage are the same in all its copies. `rules` independent such
+cuts of each text are made, as a short passage has a chunk of its own under some of them only. A chunk of at least
+`least` lines and `words` words that equals an earlier one of its rule - smaller (document, place) - is removed; every line
+that goes this way is still in the document in which it came first. Equality is that of the bytes: keys only choose what is compared.
 
 Keys are shuffled first. Only the first copy of each repeated chunk then fetches its bytes, and each document with
 repeats gets those bytes to compare with its own; the text itself is shuffled twice.
@@ -19,21 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import written
+from marketflow.llm.common import numbered, written
 from marketflow.llm.textarrays import Hashes, mix, raw, slices, word_spans
 
 
 @dataclass(frozen=True)
 class LineConfig:
-    window: int = 2
-    mean: int = 3
+    window: int = 1
+    mean: int = 2
+    rules: int = 6
     most: int = 32
     least: int = 2
     words: int = 10
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[np.ndarray, ...]:
-    """row, start, end, number of lines, words and key of every chunk of some texts."""
+    """row, start, end, number of lines, words and key of every chunk of some texts, under every rule, by row."""
     ends = np.flatnonzero(data == 10) + 1
     ends = np.union1d(ends, offsets[1:][np.diff(offsets) > 0])
     starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
@@ -47,17 +50,27 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
         roll[k:] = np.where(near[k:], mix(roll[k:] * np.uint64(31) + lines[:-k]), roll[k:])
     last = np.ones(len(lines), bool)
     last[:-1] = row[1:] != row[:-1]
-    cut = last | (mix(roll) % np.uint64(config.mean) == 0)
-    # no chunk passes `most` lines
-    at = np.flatnonzero(cut)
-    begin = np.concatenate([[0], at[:-1] + 1])[: len(at)]
-    for a, b in zip(begin[at - begin >= config.most], at[at - begin >= config.most], strict=True):
-        cut[np.arange(a + config.most - 1, b, config.most)] = True
+    first_word = np.searchsorted(word_spans(data, offsets)[0], np.append(starts, len(data)))
+    found = [_cut(last | (mix(roll + np.uint64(rule)) % np.uint64(config.mean) == 0), config.most) for rule in range(config.rules)]
+    begin, at = np.concatenate([b for b, _ in found]), np.concatenate([a for _, a in found])
+    key = mix(hashes.of(starts[begin], ends[at]) + np.repeat(np.arange(config.rules, dtype=np.uint64), [len(b) for b, _ in found]))
+    order = np.argsort(row[begin], kind="stable")
+    begin, at, key = begin[order], at[order], key[order]
+    return row[begin], starts[begin], ends[at], at - begin + 1, first_word[at + 1] - first_word[begin], key
+
+
+def _cut(cut: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the chunks that end where cut says so; none passes `most` lines."""
     at = np.flatnonzero(cut)
     begin = np.concatenate([[0], at[:-1] + 1])[: len(at)]
-    a, b = starts[begin], ends[at]
-    words = np.searchsorted(word_spans(data, offsets)[0], [a, b])
-    return row[begin], a, b, at - begin + 1, words[1] - words[0], hashes.of(a, b)
+    long = at - begin >= most
+    if long.any():
+        cut = cut.copy()
+        for a, b in zip(begin[long], at[long], strict=True):
+            cut[np.arange(a + most - 1, b, most)] = True
+        at = np.flatnonzero(cut)
+        begin = np.concatenate([[0], at[:-1] + 1])[: len(at)]
+    return begin, at
 
 
 def _of_batch(column: pa.Array, config: LineConfig) -> tuple[np.ndarray, ...]:
@@ -75,58 +88,59 @@ def _of_batch(column: pa.Array, config: LineConfig) -> tuple[np.ndarray, ...]:
 
 
 def chunk_table(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """doc_id, place, key of every chunk that may be removed."""
+    """doc, row, place, key of every chunk that may be removed."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, a, b, n, words, key, place = _of_batch(batch.column("text"), config)
             k = (n >= config.least) & (words >= config.words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row[k])), pa.array(place[k].astype(np.int32)), pa.array(key[k].astype(np.uint64).view(np.int64))], ["doc_id", "place", "key"]
-            )
+            ids = [batch.column(c).take(pa.array(row[k])) for c in ("doc", "row")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(place[k].astype(np.int32)), pa.array(key[k].astype(np.uint64).view(np.int64))], ["doc", "row", "place", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, place int, key long")
+    return docs.select("doc", "row", "text").mapInArrow(of, "doc long, row long, place int, key long")
 
 
 def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: list[str] = ()) -> DataFrame:
-    """doc_id, carry, n_chunks, n_removed (chunks), n_removed_lines, text (what is left; null stays null).
+    """doc_id, carry, n_chunks, n_removed (chunks, of all rules), n_removed_lines, text (what is left; null stays null).
 
-    A row per row of docs. Null and empty texts have no chunks. doc_id must tell rows apart: rows that share an id
-    with equal texts are treated alike. Ties in doc_id go by place. Extra columns are ignored unless carried.
+    A row per row of docs. Null and empty texts have no chunks. Null ids come after all others. Rows of one id with equal
+    texts are one document and treated alike; with different texts they are documents in the order of a hash of their
+    texts. Ties go by place. Extra columns are ignored unless carried.
     """
+    docs, _ = numbered(docs, carry)
     found = written(chunk_table(docs, config), "chunks")
-    spot = F.struct("doc_id", "place")
+    spot = F.struct("doc", "row", "place")
     first = found.groupBy("key").agg(F.min(spot).alias("at"), F.max(spot).alias("last")).where("at <> last")
-    first = written(first.select("key", F.col("at.doc_id").alias("home"), F.col("at.place").alias("spot")), "first")
-    wanted = first.groupBy(F.col("home").alias("doc_id")).agg(F.collect_list(F.struct("spot", "key")).alias("wanted"))
+    first = written(first.select("key", F.col("at.doc").alias("home"), F.col("at.row").alias("home_row"), F.col("at.place").alias("spot")), "first")
+    wanted = first.groupBy(F.col("home").alias("doc"), F.col("home_row").alias("row")).agg(F.collect_list(F.struct("spot", "key")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
-            row, a, b, *_, place = _of_batch(batch.column("text"), config)
+            row, a, b, *_ = _of_batch(batch.column("text"), config)
             begin = np.searchsorted(row, np.arange(len(batch) + 1))
             keys, parts = [], []
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 for w in wanted:
                     k = begin[i] + w["spot"]
-                    if k < begin[i + 1]:
-                        keys.append(w["key"])
-                        parts.append(data[offsets[i] + a[k] : offsets[i] + b[k]].tobytes())
+                    keys.append(w["key"])
+                    parts.append(data[offsets[i] + a[k] : offsets[i] + b[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "bytes"])
 
-    originals = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(fetch, "key long, bytes binary")
-    originals = written(first.join(originals, "key"), "originals")  # a table of its own, so that hot keys below can be split
+    originals = docs.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"]).select("text", "wanted").mapInArrow(fetch, "key long, bytes binary")
+    # a table of its own, so that hot keys below can be split; a document that is there twice was fetched twice
+    originals = written(first.join(originals.dropDuplicates(["key"]), "key"), "originals")
     marks = (
         found.join(originals, "key")
-        .where("doc_id <> home or place <> spot")
-        .groupBy("doc_id")
+        .where("doc <> home or row <> home_row or place <> spot")
+        .groupBy("doc", "row")
         .agg(F.collect_list(F.struct("place", "bytes")).alias("marks"))
     )
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
-            row, a, b, n, *_, place = _of_batch(batch.column("text"), config)
+            row, a, b, *_ = _of_batch(batch.column("text"), config)
             begin = np.searchsorted(row, np.arange(len(batch) + 1))
             gone = np.zeros(len(row), bool)
             marks = batch.column("marks")
@@ -135,15 +149,22 @@ def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: li
                     k = begin[i] + m["place"]
                     gone[k] = gone[k] or data[offsets[i] + a[k] : offsets[i] + b[k]].tobytes() == m["bytes"]
             texts = batch.column("text").to_pylist()
+            lost = np.zeros(len(batch))
             for i in np.unique(row[gone]):
-                own = np.arange(begin[i], begin[i + 1])
-                texts[i] = b"".join(data[offsets[i] + a[k] : offsets[i] + b[k]].tobytes() for k in own if not gone[k]).decode("utf-8")
+                whole = data[offsets[i] : offsets[i + 1]]
+                kept = np.ones(len(whole), bool)
+                for k in range(begin[i], begin[i + 1]):
+                    if gone[k]:
+                        kept[a[k] : b[k]] = False
+                feeds = np.append(np.flatnonzero(whole[:-1] == 10), len(whole) - 1)
+                lost[i] = np.count_nonzero(~kept[feeds])
+                texts[i] = whole[kept].tobytes().decode("utf-8")
             count = lambda x: pa.array(np.bincount(row, x, len(batch)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", *carry)), count(np.ones(len(row))), count(gone), count(n * gone), pa.array(texts, batch.schema.field("text").type)],
+                [*(batch.column(c) for c in ("doc_id", *carry)), count(np.ones(len(row))), count(gone), pa.array(lost.astype(np.int64)), pa.array(texts, batch.schema.field("text").type)],
                 ["doc_id", *carry, "n_chunks", "n_removed", "n_removed_lines", "text"],
             )
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_chunks long", "n_removed long", "n_removed_lines long", "text string"])
-    return docs.select("doc_id", "text", *carry).join(marks.hint("merge"), "doc_id", "left").mapInArrow(drop, schema)
+    return docs.join(marks.hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "marks", *carry).mapInArrow(drop, schema)
