@@ -37,7 +37,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cuts = np.quantile(p, np.linspace(0.05, 0.9, 60))
     above_p = 1 - np.searchsorted(p, cuts) / len(p)
     above_u = 1 - np.searchsorted(u, cuts) / len(u)
-    slack = 0.5 * (np.sqrt(1 / len(p)) + np.sqrt(1 / len(u)))
+    # the bound by which both empirical shares hold at once with 90 %
+    slack = np.sqrt(np.log(40) / 2) * (np.sqrt(1 / len(p)) + np.sqrt(1 / len(u)))
     best = np.argmin((above_u + slack) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 

@@ -1,12 +1,13 @@
 """Quality classifier (2): positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are training documents labelled 1, unlabelled are training documents without a label. The class
-prior is estimated from the scores of a positive-against-unlabelled model on the half of the sample that it has not
-seen. Features are taken from the text alone: frequencies of trigrams of character classes, and shares of repeats.
+prior is estimated from the scores of positive-against-unlabelled models, each on the half of the sample that it has not
+seen; copies share a half. Features are taken from the text alone: frequencies of trigrams of character classes, and shares of repeats.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,17 +28,18 @@ CLASSES[97:123], CLASSES[65:91], CLASSES[48:58], CLASSES[128:] = 1, 2, 3, 4
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """positives, unlabelled: bounds on the documents of either kind that the model is fitted on (lowest hash of id first)."""
+    """positives, unlabelled: bounds on the documents of either kind that the model is fitted on (lowest hash of id first). least: rows of either kind that a model needs."""
 
     buckets: int = 2048
     positives: int = 5000
     unlabelled: int = 8000
+    least: int = 4
 
 
 def features(column: pa.Array, buckets: int) -> Iterator[np.ndarray]:
     """Matrices of buckets + 6 columns, rows in the texts' order; an empty text has zeros and the constant."""
     data, offsets = raw(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, rows=256):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         x, n = CLASSES[part], np.diff(at)
         row = np.repeat(np.arange(j - i), n)
@@ -60,10 +62,17 @@ def features(column: pa.Array, buckets: int) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> tuple[np.ndarray, float] | None:
-    """Weights and the estimated class prior, from the training fold only; None without positives or unlabelled."""
+    """Weights and the estimated class prior, from the training fold only; None without positives or other documents.
+
+    Where nearly every document has a label, the rows that are not labelled 1 are the unlabelled ones, as are the labels.
+    """
     by_hash = lambda ids, n: ids.where(train_fold(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    good = by_hash(labels.where("quality = 1").select("doc_id"), config.positives).withColumn("role", F.lit(1))
-    rest = by_hash(docs.select("doc_id"), 2 * config.unlabelled).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("role", F.lit(0))
+    positive = labels.where("quality = 1").select("doc_id")
+    good = by_hash(positive, config.positives).withColumn("role", F.lit(1))
+    rest = by_hash(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), config.unlabelled)
+    if rest.count() < config.least:
+        rest = by_hash(docs.select("doc_id").join(positive, "doc_id", "left_anti"), config.unlabelled)
+    rest = rest.withColumn("role", F.lit(0))
     sample = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(rest)), "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +81,28 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
             yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array([r.tobytes() for r in found.astype(np.float16)], pa.binary())], ["role", "x"])
 
     got = sample.select("role", "text").mapInArrow(rows, "role int, x binary").collect()
-    got.sort(key=lambda r: r.x)
+    got.sort(key=lambda r: (zlib.crc32(r.x), r.x))  # rows come in any order; equal ones are neighbours
     p, u = (np.array([np.frombuffer(r.x, np.float16) for r in got if r.role == k]).astype(np.float32) for k in (1, 0))
-    if len(p) < 4 or len(u) < 4:
+    if len(p) < config.least or len(u) < config.least:
         return None
-    a = np.vstack([p[::2], u[::2]])
-    y = np.repeat([[1.0], [0.0]], [len(p[::2]), len(u[::2])], axis=0).astype(np.float32)
-    share = (np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())).astype(np.float32)
-    probe = logistic(a, y, share, steps=100)[:, 0]
-    prior = class_prior(p[1::2] @ probe, u[1::2] @ probe)
+    prior = estimated_prior(p, u)
     return non_negative_pu(p, u, prior), prior
 
 
+def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows u, by two halves of all rows that judge each other; equal rows
+    must be neighbours."""
+    halves = [(p[: len(p) // 2], u[: len(u) // 2]), (p[len(p) // 2 :], u[len(u) // 2 :])]
+    scores: list[list[np.ndarray]] = [[], []]
+    for (mine, others), (far, far_others) in zip(halves, halves[::-1], strict=True):
+        y = np.repeat([[1.0], [0.0]], [len(mine), len(others)], axis=0).astype(np.float32)
+        share = (np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())).astype(np.float32)
+        probe = logistic(np.vstack([mine, others]), y, share, steps=100)[:, 0]
+        scores[0].append(far @ probe)
+        scores[1].append(far_others @ probe)
+    return class_prior(*(np.concatenate(s) for s in scores))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, config: QualityConfig = QualityConfig()) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of docs.
 
