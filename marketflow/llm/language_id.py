@@ -28,10 +28,12 @@ FOLD = _LETTERS[LOWER]
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """sample: bound on documents that the models are fitted on, shared evenly by the languages."""
+    """sample: bound on documents that the models are fitted on, shared evenly by the languages. least: documents a language
+    should have in it; of more than sample / least different values of lang the most frequent ones are learned."""
 
     buckets: int = 4096
     sample: int = 6000
+    least: int = 8
     bits: int = 15
     ambiguous: float = 0.6
     seed: int = 3
@@ -40,7 +42,7 @@ class LanguageConfig:
 def gram_counts(column: pa.Array, buckets: int) -> Iterator[np.ndarray]:
     """Matrices of n-gram frequencies, rows in the texts' order: square roots of the counts, scaled to length 1, and a 1."""
     data, offsets = raw(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, rows=256):
         x = FOLD[data[offsets[i] : offsets[j]]].astype(np.uint32)
         row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
         total = np.zeros((j - i) * buckets)
@@ -91,12 +93,13 @@ class Model:
 def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Model | None:
     """From text and non-null lang of the documents outside the held-out fold; None if there is none."""
     train = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
+    frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, config.sample // config.least))
+    counts = {r.lang: r["count"] for r in frequent.collect()}
     if not counts:
         return None
     each = config.sample // len(counts)
-    rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, each / n)) for k, n in counts.items()])
-    sample = train.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < rate)
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, rate double")
+    sample = train.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < F.col("rate"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
