@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 
+from marketflow.llm.textarrays import mix, powers
+
 
 class Memo:
     """Slots by the key's top bits; a later key takes an earlier one's slot. Results lie one after another in `flat`.
@@ -42,3 +45,15 @@ def spread(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarra
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(total)]
+
+
+def word_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: int, long: int = 256) -> np.ndarray:
+    """A key for each span of some code points: a polynomial modulo 2 ** 64, and for spans of `long` code points or more a
+    cryptographic hash, as long words can be made to have equal polynomials (from 1,024 letters on)."""
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(0x1F123BB5)) * powers(multiplier, len(points)), out=sums[1:])
+    back = powers(pow(multiplier, -1, 1 << 64), len(points) + 1)
+    keys = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts >= long):
+        keys[k] = int.from_bytes(hashlib.blake2b(points[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return keys

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketflow.llm.memo import Memo, spread
+from marketflow.llm.memo import Memo, spread, word_keys
 from marketflow.llm.textarrays import mix, powers, raw, slices
 
 MARK = 0x2581
@@ -283,10 +283,7 @@ class Pieces:
         begin[1:] |= mark[1:] & ~mark[:-1]
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(points))
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(0x1F123BB5)) * powers(Lattice.MULTIPLIER, len(points)), out=sums[1:])
-        back = powers(pow(Lattice.MULTIPLIER, -1, 1 << 64), len(points) + 1)
-        keys = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        keys = word_keys(points, starts, ends[: len(starts)], Lattice.MULTIPLIER)
         ids, sizes = self.memo.gather(keys, lambda rows: self.encode_words(points, starts[rows], ends[rows]))
         before = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]

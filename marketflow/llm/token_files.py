@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import shared_dir, written
-from marketflow.llm.memo import Memo
-from marketflow.llm.textarrays import mix, powers, raw, slices
+from marketflow.llm.memo import Memo, word_keys
+from marketflow.llm.textarrays import raw, slices
 
 #: Classes of code points as the byte-level pattern tells them apart.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -68,6 +68,8 @@ class Encoder:
         self.memo = Memo(bits=20, room=3_000_000)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError(f"ids are stored in 16 bits; {path} has {size}")
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
     def pre_tokens(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,10 +121,7 @@ class Encoder:
         offsets = np.cumsum([0, *(len(texts[i]) for i in rest)])
         starts = self.pre_tokens(points, offsets)
         ends = np.append(starts[1:], len(points))
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(0x1F123BB5)) * powers(0xD6E8FEB86659FD93, len(points)), out=sums[1:])
-        back = powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64), len(points) + 1)
-        keys = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+        keys = word_keys(points, starts, ends[: len(starts)], 0xD6E8FEB86659FD93)
         ids, sizes = self.memo.gather(keys, lambda rows: self.of_words([joined[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]))
         before = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
         for k, i in enumerate(rest):
