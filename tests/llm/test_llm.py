@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, suffix_dedup, textarrays, token_files
+from marketflow.llm import fingerprints, language_id, line_dedup, linear, mixing, near_dedup, pieces, quality_model, suffix_dedup, textarrays, token_files
 from marketflow.llm import quality_rules as rules
 from tests.llm import brute
 
@@ -138,27 +138,55 @@ def test_span_hashes_tell_the_thue_morse_words_apart():
     assert a == c != b
 
 
-def test_line_dedup_keeps_the_first_and_forgets_nothing_else(table, empty):
-    config = line_dedup.LineConfig()
+def _line_chunks(text: str, rule: int, config) -> list[tuple[int, int, bytes]]:
+    """Chunks of one text under one rule, stated line by line: first and last line, bytes."""
+    lines = [x for x in _lines((text or "").encode()) if x]
+    mask, mix = (1 << 64) - 1, lambda x: int(textarrays.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+    out, begin = [], 0
+    for i, line in enumerate(lines):
+        h = int(textarrays.Hashes(np.frombuffer(line, np.uint8)).of(np.array([0]), np.array([len(line)]))[0])
+        if i == len(lines) - 1 or mix((h + rule) & mask) % config.mean == 0 or i - begin + 1 == config.most:
+            out.append((begin, i, b"".join(lines[begin : i + 1])))
+            begin = i + 1
+    return out
+
+
+def _lines(data: bytes) -> list[bytes]:
+    return [x + b"\n" for x in data.split(b"\n")[:-1]] + [data.split(b"\n")[-1]]
+
+
+def test_line_dedup_matches_chunks_stated_line_by_line(table, empty):
+    config = line_dedup.LineConfig(rules=3, most=5)
     got = {r.doc_id: r for r in line_dedup.remove_repeats(table, config, carry=["lang", "score"]).collect()}
-    seen = set()
+    seen, removed = set(), 0
     for i, t in sorted(texts().items()):
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        kept = []
-        if len(data):
-            _, a, b, n, words, _ = line_dedup.chunks(data, np.array([0, len(data)]), config)
-            for x, y, lines, w in zip(a, b, n, words, strict=True):
-                piece = data[x:y].tobytes()
-                if lines >= config.least and w >= config.words:
-                    if piece in seen:
-                        continue
-                    seen.add(piece)
-                kept.append(piece)
-        assert (got[i].text or "").encode() == b"".join(kept), i
-    assert got[0].text is None and sum(r.n_removed for r in got.values()) > 10
+        lines, gone = [x for x in _lines((t or "").encode()) if x], set()
+        for rule in range(config.rules):
+            for a, b, piece in _line_chunks(t, rule, config):
+                if b - a + 1 >= config.least and len(piece.split()) >= config.words:
+                    if (rule, piece) in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add((rule, piece))
+        assert (got[i].text or "").encode() == b"".join(x for k, x in enumerate(lines) if k not in gone), i
+        assert got[i].n_removed_lines == len(gone)
+        removed += len(gone)
+    assert got[0].text is None and removed > 20
     assert line_dedup.remove_repeats(empty).count() == 0
 
 
+def test_line_dedup_removes_most_repeated_passages_and_defines_repeated_ids(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + "\n"
+    passages = ["".join(line() for _ in range(6)) for _ in range(40)]
+    rows = [(1, line() + p + line()) for p in passages] + [(2 + k, line() + line() + p + line()) for k, p in enumerate(passages)] + [(None, passages[0]), (None, None)]
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    left = {i: sum(r.n_removed_lines for r in got if r.doc_id == i) for i in {r.doc_id for r in got}}
+    assert left[1] == 0 and sum(left[i] for i in left if i not in (None, 1)) > 0.7 * 240
+    same = line_dedup.remove_repeats(spark.createDataFrame([(7, passages[0]), (7, passages[0]), (8, passages[0])], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed_lines > 0) for r in same) == [(7, False), (7, False), (8, True)]
+
+
 def test_pieces_match_the_library_and_round_trip(table, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -200,6 +228,16 @@ def test_token_files_round_trip(spark, table, empty):
     assert token_files.read(spark, folder).count() == 0
 
 
+def test_words_with_equal_polynomials_get_their_own_ids():
+    word = brute.thue_morse(1024)
+    both = [word, word.translate(str.maketrans("ab", "ba")), word + "a", "é" * 300]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert [x.tolist() for x in own.encode(both)] == [library.encode(t, add_special_tokens=False).ids for t in both]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert [x.tolist() for x in pieces.worker(path).encode(both)] == sentencepiece.SentencePieceProcessor(model_file=path).encode(both)
+
+
 def test_code_lengths_are_optimal_and_limited():
     freq = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 0, 55])
     free, tight = token_files.code_lengths(freq, 20), token_files.code_lengths(freq, 4)
@@ -262,6 +300,9 @@ def test_language_id_learns_from_its_fold_only(spark, empty):
     assert all(got[i].lang_pred == lang for i, t, lang in rows if i < 900)
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    many = docs.withColumn("lang", F.when(F.col("doc_id") < 100, F.col("doc_id").cast("string")).otherwise(F.col("lang")))
+    model = language_id.fit(many, language_id.LanguageConfig(sample=40, least=8))
+    assert {"aa", "kk", "uu"} <= set(model.languages) and len(model.languages) <= 5
     assert language_id.fit(empty) is None and {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
@@ -274,4 +315,35 @@ def test_quality_model_finds_the_unlabelled_bad(spark, empty):
     assert 0.3 < model[1] < 0.95
     got = {r.doc_id: r for r in quality_model.score(docs, model).collect()}
     assert np.mean([got[i].predicted == (1 if i % 4 else 0) for i in range(600)]) > 0.97 and 0 <= got[900].score <= 1
+    every = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(600)], "doc_id long, quality int")
+    assert quality_model.fit(docs, every) is not None  # no unlabelled row: those not labelled 1 stand in
     assert quality_model.fit(empty, labels) is None and {r.score for r in quality_model.score(docs, None).collect()} == {0.5}
+
+
+def test_positive_unlabelled_risk_has_the_gradient_it_follows():
+    rng = np.random.default_rng(0)
+    p, u = (np.hstack([rng.normal(m, 1, (n, 3)), np.ones((n, 1))]).astype(np.float32) for m, n in ((1.0, 60), (0.2, 90)))
+
+    def risk(w, prior):
+        zp, zu = p @ w, u @ w
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+    w = linear.non_negative_pu(p, u, 0.4, steps=2000, penalty=0.0).astype(float)
+    least = min(risk(w + d, 0.4) for d in rng.normal(0, 0.05, (500, 4)))
+    assert risk(w, 0.4) <= least + 1e-3
+    scores = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 3000), rng.normal(-2, 1, 1000)])
+    assert abs(linear.class_prior(*scores) - 0.75) < 0.05
+
+
+def test_codewords_are_apart_and_decoding_takes_the_nearest():
+    for n in (1, 2, 5, 9):
+        code = language_id.codewords(n, 15, 3)
+        apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
+        assert not apart or min(apart) >= max(1, code.shape[1] // 5)
+        model = language_id.Model([str(i) for i in range(n)], code, np.eye(code.shape[1]) * 3, np.ones(code.shape[1]), language_id.LanguageConfig())
+        noisy = code.astype(float).copy()
+        if apart and min(apart) > 2:
+            noisy[:, 0] *= -1  # one wrong bit
+        best, belief = model.decode(noisy)
+        want = [min(range(n), key=lambda c: sum(np.log1p(np.exp(-3 * x * y)) for x, y in zip(row, code[c], strict=True))) for row in noisy]
+        assert best.tolist() == want == list(range(n)) and (belief <= 1).all()
