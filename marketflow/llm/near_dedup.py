@@ -5,10 +5,10 @@ and coordinate k of a set is the least pi[(sigma[i] + k) mod D] over its shingle
 a pair at similarity s shares a band with probability 1 - (1 - s ** rows) ** bands: 0.999995 at 0.8 for 40 x 6.
 
 Texts with equal shingle sets are one class, so copies cost one row each. A band's classes are linked through one
-class, its lead, not in pairs: each is compared with it on full sets. Then, round by round, the bands that still hold
+class, its lead, not in pairs: each is compared with it on full sets. Then, in `draws` rounds, the bands that still hold
 several components draw another lead at random, by the hash of band, id and round, and what is in other components is
-compared with it; more than `patience` rounds without a new link end the draws. A round costs rows in proportion to
-the classes, however large a group of near copies is, but may miss links, so what is left is then finished exactly.
+compared with it. A round costs rows in proportion to the classes, however large a group of near copies is, and
+leaves few components, but may miss links, so what is left is then finished exactly.
 
 The rest are the classes of bands that still hold several components. Sort a set's shingles by their number of sets,
 rarest first: two sets at the threshold share one among their first n - ceil(percent * n) + 1 (prefix filter). Of the
@@ -32,7 +32,7 @@ from marketflow.llm.textarrays import mix, shingle_sets
 
 @dataclass(frozen=True)
 class NearConfig:
-    """width: words a shingle. percent: least similarity, of 100. patience: rounds in a row without a new link that are borne before the exact finish."""
+    """width: words a shingle. percent: least similarity, of 100. draws: rounds of random leads before the exact finish; no result depends on them."""
 
     width: int = 5
     percent: int = 80
@@ -40,7 +40,7 @@ class NearConfig:
     rows: int = 6
     universe_bits: int = 22
     seed: int = 11
-    patience: int = 1
+    draws: int = 1
 
 
 _tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -195,17 +195,17 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
     members = written(heads.join(shared.select("band", F.col("i").alias("lead")), "band").select("band", "id", "lead"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    pairs = members.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    tested, turn, idle = pairs, 0, 0
+    pairs = written(members.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
+    tested = pairs
     parts = written(components(written(links(pairs, texts, config), "links")), "parts")
-    while idle <= config.patience:
+    for turn in range(config.draws):
         pairs = written(next_pairs(members, parts, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = written(tested.unionByName(pairs), "tested")
         more = written(links(pairs, texts, config), "links")
-        tested, turn, idle = tested.unionByName(pairs), turn + 1, idle + 1
-        if not more.isEmpty():
-            idle = 0
-            known = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-            parts = written(components(known.unionByName(more)), "parts")
+        if more.isEmpty():
+            break
+        known = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        parts = written(components(known.unionByName(more)), "parts")
     pairs = written(rest_pairs(members, parts, texts, config).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = written(links(pairs, texts, config), "links")
     if not more.isEmpty():
