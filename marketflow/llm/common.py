@@ -42,8 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, carry: list[str] = ()) -> tuple[DataFrame, int]:
-    """doc_id, doc, row, text and carry, in whose order of (doc, row) documents come, and the number of bytes of all texts.
+def numbered(docs: DataFrame, carry: list[str] = ()) -> tuple[DataFrame, int, bool]:
+    """doc_id, doc, row, text and carry, in whose order of (doc, row) documents come, the number of bytes of all texts, and
+    whether an id repeats.
 
     doc is doc_id, and the largest long where that is null. row tells the texts of one id apart: 0 where every row has an
     id of its own, else a hash of the text. The names doc and row must not be carried.
@@ -51,8 +52,9 @@ def numbered(docs: DataFrame, carry: list[str] = ()) -> tuple[DataFrame, int]:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     ids = docs.select(doc.alias("doc"), F.octet_length("text").alias("n")).groupBy("doc").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     most, size = ids.agg(F.max("rows"), F.sum("n")).first()
-    row = F.lit(0) if (most or 0) < 2 else F.xxhash64("text")
-    return docs.select("doc_id", doc.alias("doc"), row.cast("long").alias("row"), "text", *carry), size or 0
+    repeated = (most or 0) > 1
+    row = F.xxhash64("text") if repeated else F.lit(0)
+    return docs.select("doc_id", doc.alias("doc"), row.cast("long").alias("row"), "text", *carry), size or 0, repeated
 
 
 def words(text: Column) -> Column:

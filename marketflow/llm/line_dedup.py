@@ -4,7 +4,7 @@ A line ends after its line feed. A chunk ends after a line at which the mixed ha
 falls on one of 1 / `mean` of its values, or after `most` lines; so an inserted line moves only the bounds near it. With
 a window of one line the bounds inside a repeated passage are the same in all its copies. `rules` independent such
 cuts of each text are made, as a short passage has a chunk of its own under some of them only. A chunk of at least
-`least` lines and `words` words that equals an earlier one of its rule - smaller (document, place) - is removed; every line
+`least` lines and `words` words that equals an earlier one - smaller (document, place) - is removed; every line
 that goes this way is still in the document in which it came first. Equality is that of the bytes: keys only choose what is compared.
 
 Keys are shuffled first. Only the first copy of each repeated chunk then fetches its bytes, and each document with
@@ -36,7 +36,7 @@ class LineConfig:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[np.ndarray, ...]:
-    """row, start, end, number of lines, words and key of every chunk of some texts, under every rule, by row."""
+    """row, start, end, number of lines, words and key of every chunk of some texts under any rule, by place."""
     ends = np.flatnonzero(data == 10) + 1
     ends = np.union1d(ends, offsets[1:][np.diff(offsets) > 0])
     starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
@@ -53,10 +53,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
     first_word = np.searchsorted(word_spans(data, offsets)[0], np.append(starts, len(data)))
     found = [_cut(last | (mix(roll + np.uint64(rule)) % np.uint64(config.mean) == 0), config.most) for rule in range(config.rules)]
     begin, at = np.concatenate([b for b, _ in found]), np.concatenate([a for _, a in found])
-    key = mix(hashes.of(starts[begin], ends[at]) + np.repeat(np.arange(config.rules, dtype=np.uint64), [len(b) for b, _ in found]))
-    order = np.argsort(row[begin], kind="stable")
-    begin, at, key = begin[order], at[order], key[order]
-    return row[begin], starts[begin], ends[at], at - begin + 1, first_word[at + 1] - first_word[begin], key
+    order = np.lexsort((at, begin))  # rules often agree
+    begin, at = begin[order], at[order]
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] != begin[:-1]) | (at[1:] != at[:-1])
+    begin, at = begin[new], at[new]
+    return row[begin], starts[begin], ends[at], at - begin + 1, first_word[at + 1] - first_word[begin], hashes.of(starts[begin], ends[at])
 
 
 def _cut(cut: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: li
     texts are one document and treated alike; with different texts they are documents in the order of a hash of their
     texts. Ties go by place. Extra columns are ignored unless carried.
     """
-    docs, _ = numbered(docs, carry)
+    docs, _, repeated = numbered(docs, carry)
     found = written(chunk_table(docs, config), "chunks")
     spot = F.struct("doc", "row", "place")
     first = found.groupBy("key").agg(F.min(spot).alias("at"), F.max(spot).alias("last")).where("at <> last")
@@ -128,8 +130,9 @@ def remove_repeats(docs: DataFrame, config: LineConfig = LineConfig(), carry: li
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "bytes"])
 
     originals = docs.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"]).select("text", "wanted").mapInArrow(fetch, "key long, bytes binary")
-    # a table of its own, so that hot keys below can be split; a document that is there twice was fetched twice
-    originals = written(first.join(originals.dropDuplicates(["key"]), "key"), "originals")
+    if repeated:  # a document that is there twice was fetched twice
+        originals = originals.dropDuplicates(["key"])
+    originals = written(first.join(originals, "key"), "originals")  # a table of its own, so that hot keys below can be split
     marks = (
         found.join(originals, "key")
         .where("doc <> home or row <> home_row or place <> spot")

@@ -471,6 +471,6 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows, size = numbered(docs)
+    rows, size, _ = numbered(docs)
     marked = rows.join(covered(rows, size, config).hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "cuts")
     return marked.mapInArrow(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
