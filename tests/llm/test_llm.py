@@ -161,12 +161,10 @@ def test_line_dedup_matches_chunks_stated_line_by_line(table, empty):
     seen, removed = set(), 0
     for i, t in sorted(texts().items()):
         lines, gone = [x for x in _lines((t or "").encode()) if x], set()
-        for rule in range(config.rules):
-            for a, b, piece in _line_chunks(t, rule, config):
-                if b - a + 1 >= config.least and len(piece.split()) >= config.words:
-                    if (rule, piece) in seen:
-                        gone |= set(range(a, b + 1))
-                    seen.add((rule, piece))
+        for a, b, piece in sorted({c for rule in range(config.rules) for c in _line_chunks(t, rule, config)}):
+            if b - a + 1 >= config.least and len(piece.split()) >= config.words:
+                gone |= set(range(a, b + 1)) if piece in seen else set()
+                seen.add(piece)
         assert (got[i].text or "").encode() == b"".join(x for k, x in enumerate(lines) if k not in gone), i
         assert got[i].n_removed_lines == len(gone)
         removed += len(gone)
@@ -401,11 +399,10 @@ def test_pipeline_against_its_stages_stated_plainly(spark, tmp_path):
     config = line_dedup.LineConfig()
     for i in kept:
         lines, gone = [x for x in _lines(texts[i].encode()) if x], set()
-        for rule in range(config.rules):
-            for a, b, piece in _line_chunks(texts[i], rule, config):
-                if b - a + 1 >= config.least and len(piece.split()) >= config.words:
-                    gone |= set(range(a, b + 1)) if (rule, piece) in seen else set()
-                    seen.add((rule, piece))
+        for a, b, piece in sorted({c for rule in range(config.rules) for c in _line_chunks(texts[i], rule, config)}):
+            if b - a + 1 >= config.least and len(piece.split()) >= config.words:
+                gone |= set(range(a, b + 1)) if piece in seen else set()
+                seen.add(piece)
         after[i] = b"".join(x for k, x in enumerate(lines) if k not in gone).decode()
     assert {r.doc_id: r.text for r in left["line_dedup"]} == after and sum(len(texts[i]) - len(after[i]) for i in kept) > 500
     heads = brute.near_components(after, 5)
