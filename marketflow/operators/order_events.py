@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+#: Rolling frames and windows of events, in events.
+WIDTH, LENGTH, STRIDE = 1000, 200, 50
+HORIZONS = [10, 50, 100, 500]
 DAY = ["symbol", "session"]
 OPEN_SIDES = ["open_long", "close_short"]
 
@@ -22,7 +27,7 @@ def dedup_counterparty(fills: DataFrame) -> DataFrame:
 
 
 def order_events(fills: DataFrame) -> DataFrame:
-    """One row per (symbol, session, ts_ms): quantity, vwap, share of opening fills, fills, |last - first price|."""
+    """One row per (symbol, session, ts_ms): quantity, vwap, share of buying fills, fills, |last - first price|, signed notional."""
     spot = F.struct("recv_ms", "order_id", "l_linenumber")
     return fills.groupBy(*DAY, "ts_ms").agg(
         F.sum("qty").alias("total_qty"),
@@ -30,6 +35,7 @@ def order_events(fills: DataFrame) -> DataFrame:
         F.avg(F.col("side").isin(OPEN_SIDES).cast("double")).alias("is_open_frac"),
         F.count("*").alias("n_fills"),
         F.abs(F.max_by("price", spot) - F.min_by("price", spot)).alias("book_walk_abs"),
+        F.sum(F.when(F.col("side").isin(OPEN_SIDES), 1).otherwise(-1) * F.col("qty") * F.col("price")).alias("signed_notional"),
     )
 
 
@@ -56,28 +62,84 @@ def direction_base_rate(events: DataFrame, horizons: list[int]) -> DataFrame:
     return out.withColumn("up_rate", F.col("up") / F.nullif(F.col("up") + F.col("down"), F.lit(0)))
 
 
-def trade_features(events: DataFrame, width: int = 1000) -> DataFrame:
-    """Log return, log quantity against its rolling median, gaps, walk, effort against result and climax score.
+def rolling(rows: DataFrame, stats: dict[str, tuple], order: str = "ts_ms") -> DataFrame:
+    """rows with causal rolling statistics per symbol and session: name -> (column, mean, std, min or a quantile, width, least rows).
 
-    Means and deviations come from frames; the rolling median is an exact frame percentile, which costs O(width) a row
-    and suits short widths.
+    Quantiles of long frames cost Spark's window a sort a row, so a session goes through pandas' rolling kernel, which
+    keeps its frame sorted. A session's events are a bounded group: a day of one symbol.
     """
-    w, frame = ordered("ts_ms"), ordered("ts_ms").rowsBetween(-(width - 1), 0)
-    ret = F.coalesce(F.log(F.col("vwap") / F.lag("vwap").over(w)), F.lit(0.0))
-    x = events.withColumn("log_return", ret).withColumn("time_delta", F.coalesce(F.log1p(F.col("ts_ms") - F.lag("ts_ms").over(w)), F.lit(0.0)))
-    x = x.withColumn("median_qty", F.percentile("total_qty", F.lit(0.5)).over(frame))
-    x = x.withColumn("log_total_qty", F.log(F.col("total_qty") / F.greatest("median_qty", F.lit(1e-10)))).withColumn("abs_return", F.abs("log_return"))
-    x = x.withColumn("log_num_fills", F.log(F.col("n_fills").cast("double"))).withColumn("effort_vs_result", F.least(F.greatest(F.col("log_total_qty") - F.log(F.col("abs_return") + 1e-6), F.lit(-5.0)), F.lit(5.0)))
-    z = lambda c: (F.col(c) - F.avg(c).over(frame)) / F.greatest(F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)), F.lit(0.1))
-    return x.withColumn("climax_score", F.least(F.greatest(F.least(z("log_total_qty"), z("abs_return")), F.lit(0.0)), F.lit(5.0)))
 
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        found = {}
+        for name, (column, how, width, least) in stats.items():
+            frame = pdf[column].astype("float64").rolling(width, min_periods=least)
+            found[name] = frame.quantile(how) if isinstance(how, float) else getattr(frame, how)()
+        return pdf.assign(**found)
 
-def stress_label(events: DataFrame, width: int = 100, q: float = 0.9, least: int = 20) -> DataFrame:
-    """stress: |log return| and quantity both above their own causal quantile over `width` events, of `least` at least."""
-    frame = ordered("ts_ms").rowsBetween(-(width - 1), 0)
-    enough = F.count("*").over(frame) >= least
-    over = lambda c: F.coalesce(F.when(enough, F.col(c) > F.percentile(c, F.lit(q)).over(frame)), F.lit(False))
-    return events.withColumn("stress", (over("abs_return") & over("total_qty")).cast("int"))
+    fields = [*rows.schema.fields, *[StructField(name, DoubleType()) for name in stats]]
+    return rows.groupBy(*DAY).applyInPandas(of, StructType(fields))
+
+
+def trade_features(events: DataFrame, width: int = WIDTH, span: int = LENGTH) -> DataFrame:
+    """The nine trade features of order events that carry the spread and mid of their book snapshot.
+
+    Quantity and |return| stand against their rolling medians; the climax score is the lesser of two z-scores, of log
+    quantity and |return|. prev_seq_time_span: log of the time that the `span` events before took.
+    """
+    w = ordered("ts_ms")
+    ret = F.coalesce(F.log(F.col("vwap") / F.greatest(F.lag("vwap").over(w), F.lit(1e-6))), F.lit(0.0))
+    gap, taken = F.col("ts_ms") - F.lag("ts_ms").over(w), F.lag("ts_ms").over(w) - F.lag("ts_ms", span).over(w)
+    x = events.withColumns({"log_return": ret, "time_delta": F.log(F.coalesce(gap, F.lit(0)) + 1.0), "prev_seq_time_span": F.coalesce(F.log(taken + 1.0), F.lit(0.0))})
+    x = x.withColumns({"abs_return": F.abs("log_return"), "log_qty": F.log(F.greatest("total_qty", F.lit(1e-6))), "first_event": F.lag("ts_ms").over(w).isNull()})
+    x = rolling(x, {
+        "median_qty": ("total_qty", 0.5, width, 1), "median_return": ("abs_return", 0.5, width, 1),
+        "mean_qty": ("log_qty", "mean", width, 1), "std_qty": ("log_qty", "std", width, 1), "mean_return": ("abs_return", "mean", width, 1), "std_return": ("abs_return", "std", width, 1),
+    })
+    x = x.withColumn("log_total_qty", F.log(F.col("total_qty") / F.greatest("median_qty", F.lit(1e-6))))
+    effort = F.col("log_total_qty") - F.log(F.col("abs_return") / F.greatest("median_return", F.lit(1e-10)) + 1e-6)
+    z = lambda c, m, s: (F.col(c) - F.col(m)) / F.greatest(F.coalesce(F.col(s), F.lit(0.0)), F.lit(0.1))
+    out = x.withColumns({
+        "is_open": F.col("is_open_frac"),
+        "num_fills": F.log(F.col("n_fills").cast("double")),
+        "book_walk": F.col("book_walk_abs") / F.greatest(F.col("spread"), F.col("mid") * 1e-8),
+        "effort_vs_result": F.when(F.col("first_event"), 0.0).otherwise(clip(effort, -5, 5)),
+        "climax_score": clip(F.least(z("log_qty", "mean_qty", "std_qty"), z("abs_return", "mean_return", "std_return")), 0, 5),
+    })
+    return out.drop("log_qty", "first_event", "median_qty", "median_return", "mean_qty", "std_qty", "mean_return", "std_return")
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+
+
+def wyckoff_labels(x: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Adds wy_stress, wy_informed_flow, wy_climax, wy_spring and wy_absorption (0 or 1) to events with all their features.
+
+    Each is a comparison with causal rolling quantiles, deviations, minima or means; without enough rows it is 0. As
+    deviations of fewer than ten rows count as nearly nothing, climax fires on any move in them.
+    """
+    w, enough = ordered("ts_ms"), max(10, width // 10)
+    x = x.withColumns({"abs_depth": F.abs("depth_ratio"), "abs_ofi": F.abs("cum_ofi_5")})
+    x = rolling(x, {
+        "q_spread": ("log_spread", 0.9, width, enough), "q_depth": ("abs_depth", 0.9, width, enough),
+        "q_kyle": ("kyle_lambda", 0.75, width, enough), "q_ofi": ("abs_ofi", 0.5, width, enough),
+        "q_effort": ("effort_vs_result", 0.9, width, enough), "q_return": ("abs_return", 0.5, width, enough),
+        "mean_qty": ("total_qty", "mean", width, 10), "std_qty": ("total_qty", "std", width, 10), "mean_return": ("abs_return", "mean", width, 10), "std_return": ("abs_return", "std", width, 10),
+        "std_signed": ("log_return", "std", width, 10), "low": ("log_return", "min", 50, 50), "recent": ("log_return", "mean", 10, 10),
+    })
+    sign = F.signum("cum_ofi_5")
+    steady = (sign != 0) & (sign == F.lag(sign, 1).over(w)) & (sign == F.lag(sign, 2).over(w))
+    z = lambda c, m, s: (F.col(c) - F.coalesce(F.col(m), F.lit(0.0))) / F.greatest(F.coalesce(F.col(s), F.lit(1e-10)), F.lit(1e-10))
+    labels = {
+        "wy_stress": (F.col("log_spread") > F.col("q_spread")) & (F.col("abs_depth") > F.col("q_depth")),
+        "wy_informed_flow": (F.col("kyle_lambda") > F.col("q_kyle")) & (F.col("abs_ofi") > F.col("q_ofi")) & steady,
+        "wy_climax": (z("total_qty", "mean_qty", "std_qty") > 2.0) & (z("abs_return", "mean_return", "std_return") > 2.0),
+        "wy_spring": (F.col("low") < F.coalesce(F.col("std_signed"), F.lit(1e-10)) * -3.0) & (F.col("effort_vs_result") > 1.0) & (F.col("is_open") > 0.5) & (F.col("recent") > 0.0),
+        "wy_absorption": (F.col("effort_vs_result") > F.col("q_effort")) & (F.col("abs_return") < F.col("q_return")),
+    }
+    used = ["abs_depth", "abs_ofi", "q_spread", "q_depth", "q_kyle", "q_ofi", "q_effort", "q_return", "mean_qty", "std_qty", "mean_return", "std_return", "std_signed", "low", "recent"]
+    return x.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in labels.items()}).drop(*used)
 
 
 def expand_levels(book: DataFrame, depth: int = 10) -> DataFrame:
@@ -91,8 +153,8 @@ def book_features(flat: DataFrame) -> DataFrame:
     w = ordered("ts_ms", "snap_id")
     notional = lambda side, i: F.col(f"{side}{i}_price") * F.col(f"{side}{i}_qty")
     total = lambda side, n, weight: sum((notional(side, i) * weight(i) for i in range(2, n + 1)), notional(side, 1) * weight(1))
-    x = flat.withColumn("mid", (F.col("bid1_price") + F.col("ask1_price")) / 2)
-    x = x.withColumn("log_spread", F.log(F.greatest(F.col("ask1_price") - F.col("bid1_price"), F.lit(1e-10)) / F.greatest("mid", F.lit(1e-10)) + 1e-10))
+    x = flat.withColumn("mid", (F.col("bid1_price") + F.col("ask1_price")) / 2).withColumn("spread", F.greatest(F.col("ask1_price") - F.col("bid1_price"), F.lit(1e-10)))
+    x = x.withColumn("log_spread", F.log(F.col("spread") / F.greatest("mid", F.lit(1e-10))))
     for name, n, weight in (("imbalance_l1", 1, lambda i: 1.0), ("imbalance_l5", 5, lambda i: 1 / i)):
         b, a = total("bid", n, weight), total("ask", n, weight)
         x = x.withColumn(name, (b - a) / F.greatest(b + a, F.lit(1e-10)))
@@ -101,21 +163,26 @@ def book_features(flat: DataFrame) -> DataFrame:
 
 
 def order_flow(flat: DataFrame) -> DataFrame:
-    """ofi: piecewise order-flow imbalance in notional on changes of the best prices; cum_ofi_5: its sum over 5 rows."""
+    """ofi: piecewise order-flow imbalance in notional on changes of the best prices, as the sum of both sides' terms; cum_ofi_5:
+    its sum over 5 rows, over the notional of ten levels of both sides in them. tilt: bid less ask notional of ten levels."""
     w = ordered("ts_ms", "snap_id")
-    side = lambda s, up: F.when(F.col(f"{s}1_price") > F.lag(f"{s}1_price").over(w), F.col(f"{s}1_price") * F.col(f"{s}1_qty") if up else -F.lag(F.col(f"{s}1_price") * F.col(f"{s}1_qty")).over(w)).when(
-        F.col(f"{s}1_price") == F.lag(f"{s}1_price").over(w), F.col(f"{s}1_price") * F.col(f"{s}1_qty") - F.lag(F.col(f"{s}1_price") * F.col(f"{s}1_qty")).over(w)
-    ).otherwise(-F.lag(F.col(f"{s}1_price") * F.col(f"{s}1_qty")).over(w) if up else F.col(f"{s}1_price") * F.col(f"{s}1_qty"))
-    x = flat.withColumn("ofi", F.when(F.lag("ts_ms").over(w).isNull(), 0.0).otherwise(side("bid", True) - side("ask", False)))
-    return x.withColumn("cum_ofi_5", F.sum("ofi").over(w.rowsBetween(-4, 0)))
+    price, was = lambda s: F.col(f"{s}1_price"), lambda s: F.lag(f"{s}1_price").over(w)
+    held, left = lambda s: price(s) * F.col(f"{s}1_qty"), lambda s: F.lag(price(s) * F.col(f"{s}1_qty")).over(w)
+    more = lambda s: (F.col(f"{s}1_qty") - F.lag(f"{s}1_qty").over(w)) * price(s)
+    bid = F.when(price("bid") > was("bid"), held("bid")).when(price("bid") < was("bid"), -left("bid")).otherwise(more("bid"))
+    ask = F.when(price("ask") > was("ask"), -left("ask")).when(price("ask") < was("ask"), held("ask")).otherwise(-more("ask"))
+    depth = lambda s: sum((F.col(f"{s}{i}_price") * F.col(f"{s}{i}_qty") for i in range(2, 11)), held(s))
+    x = flat.withColumn("ofi", F.coalesce(bid + ask, F.lit(0.0))).withColumn("tilt", depth("bid") - depth("ask")).withColumn("__depth", depth("bid") + depth("ask"))
+    five = w.rowsBetween(-4, 0)
+    return x.withColumn("cum_ofi_5", F.sum("ofi").over(five) / F.greatest(F.sum("__depth").over(five), F.lit(1e-10))).drop("__depth")
 
 
 def kyle_lambda(rows: DataFrame, price: str, flow: str, order: list[str], width: int = 50) -> DataFrame:
-    """Slope of price changes on flow over `width` full rows; 0 before, and where flow does not vary."""
+    """Slope of price changes on flow over `width` full rows; 0 before, and where flow does not vary. A session's first change is 0 and counts."""
     w = ordered(*order)
     frame = w.rowsBetween(-(width - 1), 0)
-    x = rows.withColumn("__d", F.col(price) - F.lag(price).over(w))
-    value = F.covar_samp("__d", flow).over(frame) / F.nullif(F.var_samp(F.when(F.col("__d").isNotNull(), F.col(flow))).over(frame), F.lit(0.0))
+    x = rows.withColumn("__d", F.coalesce(F.col(price) - F.lag(price).over(w), F.lit(0.0)))
+    value = F.covar_samp("__d", flow).over(frame) / F.nullif(F.var_samp(flow).over(frame), F.lit(0.0))
     return x.withColumn("kyle_lambda", F.when(F.count("__d").over(frame) == width, F.coalesce(value, F.lit(0.0))).otherwise(0.0)).drop("__d")
 
 
@@ -168,8 +235,9 @@ def flat_features(events: DataFrame, columns: list[str], length: int, stride: in
     return x.groupBy(*DAY, (F.col("__w") * stride).alias("window_start")).agg(*aggs)
 
 
-def bursts(rows: DataFrame, gap_ms: int, least: int = 2) -> DataFrame:
-    """Runs of rows of a symbol with at most gap_ms between neighbours and `least` rows or more: islands by a running sum."""
+def bursts(rows: DataFrame, gap_ms: int, least: int = 2, min_bps: float = 10.0) -> DataFrame:
+    """Runs of rows of a symbol with at most gap_ms between neighbours, of `least` rows or more with positive prices that move
+    by min_bps (of the log return) at least: islands by a running sum."""
     w = Window.partitionBy("symbol").orderBy("ts_ms", "tie")
     x = rows.withColumn("__new", (F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int")).withColumn("burst", F.sum(F.coalesce("__new", F.lit(0))).over(w))
     spot = F.struct("ts_ms", "tie")
@@ -177,5 +245,6 @@ def bursts(rows: DataFrame, gap_ms: int, least: int = 2) -> DataFrame:
         F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n_trades"), F.sum("qty").alias("qty"), F.sum(F.col("qty") * F.col("price")).alias("notional"),
         F.min_by("price", spot).alias("start_price"), F.max_by("price", spot).alias("end_price"),
     )
-    move = (F.col("end_price") / F.col("start_price") - 1) * 10_000
-    return out.where(F.col("n_trades") >= least).withColumn("move_bps", move).withColumn("direction", F.signum("move_bps").cast("int"))
+    move = F.log(F.col("end_price") / F.col("start_price")) * 10_000
+    kept = out.where((F.col("n_trades") >= least) & (F.col("start_price") > 0) & (F.col("end_price") > 0)).withColumn("move_bps", move)
+    return kept.where(F.abs("move_bps") >= min_bps).withColumn("direction", F.signum("move_bps").cast("int"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketflow.functions.running import running
 from marketflow.operators.asof import interval_join
 
 SEVERITIES = ["low", "medium", "high"]
@@ -96,14 +99,47 @@ def walk_forward_windows(returns: DataFrame, train: int, purge: int, test: int,
     return starts.drop("s")
 
 
-def walk_forward_scorecard(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per test window: pnl, baseline, excess, mean, Sortino (infinite without a loss), largest day's share of rows."""
-    x = returns.join(windows, returns["date"].between(F.col("test_start"), F.col("test_end")))
-    days = x.groupBy("window", "date").agg(F.count("*").alias("n")).groupBy("window").agg((F.max("n") / F.sum("n")).alias("max_day_share"))
+def window_dates(returns: DataFrame, train: int, purge: int, test: int, step: int) -> DataFrame:
+    """window, date: every date of every test window."""
+    dates = returns.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
+    n = dates.agg(F.count("*").alias("n"))
+    starts = n.where(F.col("n") >= train + purge + test).select(F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - (train + purge + test), F.lit(step))).alias("window", "s"))
+    each = starts.select("window", F.explode(F.sequence(F.col("s") + train + purge, F.col("s") + (train + purge + test - 1))).alias("i"))
+    return each.join(dates, "i").select("window", "date")
+
+
+def oos_rows(returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows inside any test window, each once. dates: window, date."""
+    return returns.join(dates.select("date").distinct(), "date", "left_semi")
+
+
+def concentration(rows: DataFrame, by: str, column: str) -> DataFrame:
+    """Share of the largest group of a column's values among a key's rows."""
+    n = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg((F.max("n") / F.sum("n")).alias(f"max_{column}_concentration"))
+
+
+def walk_forward_scorecard(returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """Per test window: rows, days, symbols, pnl, baseline, excess, mean, Sortino (infinite without a loss, null without a
+    gain either), deepest fall of the running pnl, and the largest day's, symbol's and hour's share of rows.
+
+    returns: date, hour, symbol, event_ts_ms, id, strategy_return_bps, baseline_return_bps. dates: window, date. An equi-join.
+    """
+    x = returns.join(F.broadcast(dates), "date")  # a row for each window and date
     s = F.col("strategy_return_bps")
-    down = F.sqrt(F.avg(F.pow(F.least(s, F.lit(0.0)), 2)))
-    out = x.groupBy("window").agg(F.count("*").alias("n"), F.sum(s).alias("pnl"), F.sum("baseline_return_bps").alias("baseline"), F.avg(s).alias("mean"), down.alias("down"))
-    return out.join(days, "window").withColumn("excess", F.col("pnl") - F.col("baseline")).withColumn("sortino", F.when(F.col("down") > 0, F.col("mean") / F.col("down")))
+    path = running(x, ["window"], "date", ["event_ts_ms", "id"], {"equity": (s, "sum")})
+    path = running(path, ["window"], "date", ["event_ts_ms", "id"], {"peak": (F.col("equity"), "max")})
+    out = path.groupBy("window").agg(
+        F.count("*").alias("test_rows"), F.count_distinct("date").alias("distinct_test_days"), F.count_distinct("symbol").alias("distinct_symbols"),
+        F.sum(s).alias("net_pnl_bps"), F.sum("baseline_return_bps").alias("baseline_pnl_bps"), F.avg(s).alias("mean_return_bps"),
+        F.sqrt(F.avg(F.pow(F.least(s, F.lit(0.0)), 2))).alias("__down"), F.min(F.col("equity") - F.col("peak")).alias("max_drawdown_bps"),
+    )
+    mean, down = F.col("mean_return_bps"), F.col("__down")
+    sortino = F.when(down > 0, mean / down).when(mean > 0, float("inf")).when(mean < 0, float("-inf"))
+    out = out.withColumns({"excess_vs_baseline_bps": F.col("net_pnl_bps") - F.col("baseline_pnl_bps"), "sortino": sortino}).drop("__down")
+    for column in ("date", "symbol", "hour"):
+        out = out.join(concentration(x, "window", column), "window", "left")
+    return out.withColumnRenamed("max_date_concentration", "max_day_concentration")
 
 
 def auc(scored: DataFrame, by: str, score: str, label: str) -> DataFrame:
@@ -127,33 +163,96 @@ def sample_per_group(rows: DataFrame, by: list[str], key: Column, n: int, seed:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(h, key))).where(F.col("__r") <= n).drop("__r")
 
 
-def paper_ledger(fills: DataFrame) -> DataFrame:
-    """Fills with position, average cost and realised pnl after each: a recurrence, so one pass per symbol in pandas."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "fill_id"])
-        held = cost = total = 0.0
-        out = []
-        for side, price, qty in zip(pdf["side"], pdf["price"], pdf["quantity"], strict=True):
-            if side == "buy":
-                cost = (held * cost + qty * price) / (held + qty)
-                held += qty
-            else:
-                sold = min(qty, held)
-                total += sold * (price - cost)
-                held -= sold
-                cost = cost if held > 0 else 0.0
-            out.append((held, cost, total))
-        return pdf.assign(position=[x[0] for x in out], average_cost=[x[1] for x in out], realised=[x[2] for x in out])
+def checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rows; a row that breaks a rule (its condition is not true) ends the job with the rule's name."""
+    fault = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    return rows.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True)))
 
-    return fills.select("symbol", "ts_ms", "fill_id", "side", "price", "quantity").groupBy("symbol").applyInPandas(run, "symbol string, ts_ms long, fill_id long, side string, price double, quantity double, position double, average_cost double, realised double")
-
-
-def round_trip_costs(trades: DataFrame, fee_bps: float, slippage_bps: float, adverse_bps: float) -> DataFrame:
-    """Gross and net result of trade intents (side, notional, entry, exit, funding_bps)."""
-    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    gross = sign * (F.col("exit") / F.col("entry") - 1) * F.col("notional")
-    cost = F.col("notional") * (2 * fee_bps + 2 * slippage_bps + adverse_bps + F.col("funding_bps")) / 10_000
-    return trades.withColumn("gross", gross).withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost")).withColumn("net_bps", F.col("net") / F.col("notional") * 10_000)
 
+def paper_ledger(fills: DataFrame, start: float = 0.0, maker_bps: float = 1.5, taker_bps: float = 4.0, eligible: list[str] | None = None) -> DataFrame:
+    """Fills with notional, fee, realised pnl, position and average cost after each, and the account's running sums, equity and
+    fall below its peak, in the order of (ts_ms, fill_id).
 
+    fills: symbol, ts_ms, fill_id, side (buy, sell, funding), price, quantity, liquidity (maker, taker), funding_payment. A
+    sale beyond the position takes it below 0 and realises only what was held; the average cost is 0 from there to the
+    next rise above 0. It is a recurrence, so pandas runs it, but only from one such reset to the next.
+    """
+    rules = {"side must be buy, sell or funding": F.col("side").isin("buy", "sell", "funding"), "price must be positive": F.col("price") > 0, "quantity must be positive": F.col("quantity") > 0}
+    if eligible is not None:
+        rules["symbol is not eligible"] = F.col("symbol").isin(eligible)
+    x = checked(fills, rules).withColumn("day", F.expr("ts_ms div 86400000")).withColumn("notional", F.col("price") * F.col("quantity"))
+    rate = F.when(F.col("side") == "funding", 0.0).when(F.col("liquidity") == "maker", maker_bps).otherwise(taker_bps)
+    change = F.when(F.col("side") == "buy", F.col("quantity")).when(F.col("side") == "sell", -F.col("quantity")).otherwise(0.0)
+    x = x.withColumn("fee_paid", F.col("notional") * rate / 10_000).withColumn("funding_paid", F.when(F.col("side") == "funding", F.col("funding_payment")).otherwise(0.0)).withColumn("change", change)
+    order = ["ts_ms", "fill_id"]
+    x = running(x, ["symbol"], "day", order, {"position_after_fill": (F.col("change"), "sum")})
+    x = running(x, ["symbol"], "day", order, {"resets": ((F.col("position_after_fill") <= 0).cast("int"), "sum")})
+    # the fill that ends at or below 0 still belongs to the stretch before
+    x = x.withColumn("stretch", F.col("resets") - (F.col("position_after_fill") <= 0).cast("int"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        was, cost = None, 0.0
+        for pdf in parts:
+            costs, gains = [], []
+            for symbol, stretch, side, price, quantity, after in zip(*(pdf[c].tolist() for c in ("symbol", "stretch", "side", "price", "quantity", "position_after_fill")), strict=True):
+                if (symbol, stretch) != was:
+                    was, cost = (symbol, stretch), 0.0
+                gain = 0.0
+                if side == "buy" and after > 0:
+                    cost = (cost * (after - quantity) + price * quantity) / after
+                elif side == "sell":
+                    gain = (price - cost) * min(quantity, max(after + quantity, 0.0))
+                    cost = cost if after > 0 else 0.0
+                costs.append(cost)
+                gains.append(gain)
+            yield pdf.assign(average_cost=costs, realized_pnl_on_fill=gains)
+
+    kept = ["symbol", "ts_ms", "fill_id", "day", "side", "price", "quantity", "notional", "fee_paid", "funding_paid", "position_after_fill", "stretch"]
+    kinds = dict(x.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", average_cost double, realized_pnl_on_fill double"
+    x = x.select(*kept).repartition("symbol", "stretch").sortWithinPartitions("symbol", "stretch", *order).mapInPandas(run, schema).drop("stretch")
+    x = running(x, [], "day", order, {"cumulative_realized_pnl": (F.col("realized_pnl_on_fill"), "sum"), "cumulative_fees_paid": (F.col("fee_paid"), "sum"), "cumulative_funding_paid": (F.col("funding_paid"), "sum")})
+    x = x.withColumn("cumulative_net_pnl", F.col("cumulative_realized_pnl") - F.col("cumulative_fees_paid") - F.col("cumulative_funding_paid")).withColumn("equity", F.col("cumulative_net_pnl") + start)
+    x = running(x, [], "day", order, {"peak": (F.col("equity"), "max")})
+    return x.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("peak", "day")
+
+
+def ledger_positions(ledger: DataFrame) -> DataFrame:
+    """symbol, quantity, average_cost after the last fill."""
+    last = F.struct("ts_ms", "fill_id")
+    return ledger.groupBy("symbol").agg(F.max_by("position_after_fill", last).alias("quantity"), F.max_by("average_cost", last).alias("average_cost"))
+
+
+def ledger_summary(ledger: DataFrame, start: float = 0.0) -> DataFrame:
+    """One row: realised pnl, fees, funding, net pnl, ending equity, deepest drawdown, fills, symbols."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = ledger.agg(total("realized_pnl_on_fill").alias("realized_pnl"), total("fee_paid").alias("fees_paid"), total("funding_paid").alias("funding_paid"), F.coalesce(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), F.count("*").alias("fills"), F.count_distinct("symbol").alias("symbols"))
+    net = F.col("realized_pnl") - F.col("fees_paid") - F.col("funding_paid")
+    return out.withColumns({"net_pnl": net, "ending_equity": net + start})
+
+
+def round_trip_costs(intents: DataFrame, maker_bps: float = 1.5, taker_bps: float = 4.0, slippage_bps: float = 0.0, adverse_bps: float = 0.0, funding_bps_per_hour: float = 0.0) -> DataFrame:
+    """Gross and net result of round trips; costs are charged on the initial notional, slippage and adverse selection a side.
+
+    intents: side (long, short), entry_liquidity, exit_liquidity (maker, taker), entry_price, exit_price, quantity, hold_hours,
+    and, null for the defaults, slippage_bps_per_side and adverse_selection_bps_per_side. Shorts receive what longs pay
+    as funding. A row that breaks a rule ends the job.
+    """
+    c = F.col
+    rules = {
+        "side must be long or short": c("side").isin("long", "short"), "liquidity must be maker or taker": c("entry_liquidity").isin("maker", "taker") & c("exit_liquidity").isin("maker", "taker"),
+        "prices must be positive": (c("entry_price") > 0) & (c("exit_price") > 0), "quantity must be positive": c("quantity") > 0, "hold_hours must not be negative": c("hold_hours") >= 0,
+    }
+    sign = F.when(c("side") == "long", 1).otherwise(-1)
+    fee = lambda name: F.when(c(name) == "maker", maker_bps).otherwise(taker_bps)
+    paid = lambda bps: F.round(c("initial_notional") * bps / 10_000, 10)
+    x = checked(intents, rules).withColumn("initial_notional", c("entry_price") * c("quantity")).withColumn("fee_bps_total", fee("entry_liquidity") + fee("exit_liquidity"))
+    x = x.withColumns({
+        "gross_pnl": F.round(sign * (c("exit_price") - c("entry_price")) * c("quantity"), 10),
+        "fees_paid": paid(c("fee_bps_total")),
+        "slippage_paid": paid(F.coalesce("slippage_bps_per_side", F.lit(slippage_bps)) * 2),
+        "adverse_selection_paid": paid(F.coalesce("adverse_selection_bps_per_side", F.lit(adverse_bps)) * 2),
+        "funding_paid": F.round(sign * c("initial_notional") * funding_bps_per_hour / 10_000 * c("hold_hours"), 10),
+    })
+    x = x.withColumn("net_pnl", F.round(c("gross_pnl") - c("fees_paid") - c("slippage_paid") - c("adverse_selection_paid") - c("funding_paid"), 10))
+    return x.withColumn("net_return_bps", F.round(c("net_pnl") / c("initial_notional") * 10_000, 10))

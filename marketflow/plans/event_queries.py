@@ -15,7 +15,8 @@ view("dedup", "select * exclude (n_) from (select *, row_number() over (partitio
 view(
     "oev",
     """select symbol, session, ts_ms, sum(qty) as total_qty, sum(qty * price) / sum(qty) as vwap, avg((side in ('open_long', 'close_short'))::int::double) as is_open_frac, count(*) as n_fills,
-    abs(arg_max(price, (recv_ms, order_id, l_linenumber)) - arg_min(price, (recv_ms, order_id, l_linenumber))) as book_walk_abs from dedup group by all""",
+    abs(arg_max(price, (recv_ms, order_id, l_linenumber)) - arg_min(price, (recv_ms, order_id, l_linenumber))) as book_walk_abs,
+    sum(case when side in ('open_long', 'close_short') then 1 else -1 end * qty * price) as signed_notional from dedup group by all""",
     ["dedup"],
 )
 
@@ -30,7 +31,7 @@ def dedup_counterparty(spark, sf_dir):
     return o.dedup_counterparty(a.fills(spark, sf_dir)).select("symbol", "session", "ts_ms", "qty", "price", "side", "recv_ms")
 
 
-@query("order_events", "select * from oev", ["oev"], "total_qty vwap is_open_frac book_walk_abs")
+@query("order_events", "select * from oev", ["oev"], "total_qty vwap is_open_frac book_walk_abs signed_notional")
 def order_events(spark, sf_dir):
     """Fills to order events."""
     return events(spark, sf_dir)
@@ -62,7 +63,7 @@ def events_per_day(spark, sf_dir):
     return n.groupBy("symbol").agg(F.count("*").alias("n_days"), q[1].alias("median_events"), q[0].alias("p10"), q[2].alias("p90"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"))
 
 
-HZ = [10, 50]
+HZ = o.HORIZONS
 
 
 @query("direction_labels", f"select symbol, session, ts_ms, {', '.join(f'case when lead(vwap, {h}) over ({W}) is not null then (lead(vwap, {h}) over ({W}) > vwap)::int end as dir_h{h}' for h in HZ)} from oev", ["oev"])
@@ -82,63 +83,14 @@ def direction_base_rate(spark, sf_dir):
     return o.direction_base_rate(events(spark, sf_dir), HZ)
 
 
-_TF = ["log_return", "time_delta", "median_qty", "log_total_qty", "log_num_fills", "effort_vs_result", "climax_score"]
-_FR = f"over ({W} rows between 49 preceding and current row)"
-view(
-    "tf",
-    f"""select *, least(greatest(least((log_total_qty - avg(log_total_qty) {_FR}) / greatest(coalesce(stddev_samp(log_total_qty) {_FR}, 0), 0.1), (abs_return - avg(abs_return) {_FR}) / greatest(coalesce(stddev_samp(abs_return) {_FR}, 0), 0.1)), 0), 5) as climax_score
-    from (select *, ln(total_qty / greatest(median_qty, 1e-10::double)) as log_total_qty, abs(log_return) as abs_return, ln(n_fills) as log_num_fills,
-      least(greatest(ln(total_qty / greatest(median_qty, 1e-10::double)) - ln(abs(log_return) + 1e-6::double), -5), 5) as effort_vs_result from (
-      select *, coalesce(ln(vwap / lag(vwap) over ({W})), 0) as log_return, coalesce(ln(1 + ts_ms - lag(ts_ms) over ({W})), 0) as time_delta, quantile_cont(total_qty, 0.5) {_FR} as median_qty from oev))""",
-    ["oev"],
-)
-
-
-@query("trade_features", f"select symbol, session, ts_ms, {', '.join(_TF)} from tf", ["tf"], " ".join(_TF))
-def trade_features(spark, sf_dir):
-    """G1: trade features over 50 events."""
-    return o.trade_features(events(spark, sf_dir), 50).select("symbol", "session", "ts_ms", *_TF)
-
-
-@query(
-    "stress_label",
-    f"select symbol, session, ts_ms, coalesce(case when count(*) {_FR} >= 20 then abs_return > quantile_cont(abs_return, 0.9) {_FR} and total_qty > quantile_cont(total_qty, 0.9) {_FR} end, false)::int as stress from tf",
-    ["tf"],
-)
-def stress_label(spark, sf_dir):
-    """Causal quantile label."""
-    return o.stress_label(o.trade_features(events(spark, sf_dir), 50), 50).select("symbol", "session", "ts_ms", "stress")
-
-
-@query("window_counts", "select symbol, sum(greatest(0, case when n >= 100 then (n - 100) // 25 + 1 else 0 end))::bigint as windows, count(*) as sessions from (select symbol, session, count(*) as n from oev group by all) group by symbol", ["oev"])
+@query("window_counts", "select symbol, sum(greatest(0, case when n >= 200 then (n - 200) // 50 + 1 else 0 end))::bigint as windows, count(*) as sessions from (select symbol, session, count(*) as n from oev group by all) group by symbol", ["oev"])
 def window_counts(spark, sf_dir):
     """Windows per symbol."""
     ev = events(spark, sf_dir)
-    starts = o.window_starts(ev, 100, 25).groupBy("symbol").agg(F.count("*").alias("windows"))
+    starts = o.window_starts(ev, o.LENGTH, o.STRIDE).groupBy("symbol").agg(F.count("*").alias("windows"))
     return ev.groupBy("symbol").agg(F.count_distinct("session").alias("sessions")).join(starts, "symbol", "left").select("symbol", F.coalesce("windows", F.lit(0)).cast("long").alias("windows"), "sessions")
 
 
-_FF = ["total_qty", "vwap"]
-_N = 100.0
-_AG = ", ".join(
-    f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std, case when stddev_pop({c}) < 1e-12 then 0 else (avg(pow({c} - m_{c}, 3)) / pow(stddev_pop({c}), 3)) * {(_N * (_N - 1)) ** 0.5 / (_N - 2)!r}::double end as {c}_skew, "
-    f"case when stddev_pop({c}) < 1e-12 then 0 else {(_N - 1) / ((_N - 2) * (_N - 3))!r}::double * ({_N + 1}::double * (avg(pow({c} - m_{c}, 4)) / pow(stddev_pop({c}), 4) - 3) + 6) end as {c}_kurt, arg_max({c}, idx) as {c}_last"
-    for c in _FF
-)
-
-
-@query(
-    "flat_features",
-    f"""select symbol, session, window_start, {_AG} from (select *, {', '.join(f'avg({c}) over (partition by symbol, session, window_start) as m_{c}' for c in _FF)} from (
-    select e.*, w as window_start from (select *, row_number() over ({W}) - 1 as idx, count(*) over (partition by symbol, session) as n from oev) e, range(0, 100000, 25) t(w) where w <= idx and idx < w + 100 and w + 100 <= n)) group by all""",
-    ["oev"],
-    " ".join(f"{c}_{s}" for c in _FF for s in ("mean", "std", "skew", "kurt", "last")),
-)
-def flat_features(spark, sf_dir):
-    """K2, K3: moments of overlapping windows."""
-    return o.flat_features(events(spark, sf_dir), _FF, 100, 25)
-
-
 @query("cadence_stats", "select symbol, count(d) as n, avg(d) as mean_gap, quantile_cont(d, 0.25) as p25, quantile_cont(d, 0.5) as p50, quantile_cont(d, 0.99) as p99 from (select symbol, snap_id, ts_ms - lag(ts_ms) over (partition by symbol order by ts_ms, snap_id) as d from (select distinct symbol, ts_ms, snap_id from levels)) group by symbol", ["levels"], "mean_gap p25 p50 p99")
 def cadence_stats(spark, sf_dir):
     """Gaps between snapshots."""
@@ -162,7 +114,7 @@ WB = "partition by symbol, session order by ts_ms, snap_id"
 view(
     "bookf",
     f"""select *, coalesce(imbalance_l1 - lag(imbalance_l1) over ({WB}), 0) as delta_imbalance_l1 from (select *, (bid1_price + ask1_price) / 2 as mid,
-    ln(greatest(ask1_price - bid1_price, 1e-10::double) / greatest((bid1_price + ask1_price) / 2, 1e-10::double) + 1e-10::double) as log_spread, (b1 - a1) / greatest(b1 + a1, 1e-10::double) as imbalance_l1, (b5 - a5) / greatest(b5 + a5, 1e-10::double) as imbalance_l5,
+    greatest(ask1_price - bid1_price, 1e-10::double) as spread, ln(greatest(ask1_price - bid1_price, 1e-10::double) / greatest((bid1_price + ask1_price) / 2, 1e-10::double)) as log_spread, (b1 - a1) / greatest(b1 + a1, 1e-10::double) as imbalance_l1, (b5 - a5) / greatest(b5 + a5, 1e-10::double) as imbalance_l5,
     ln(greatest(b10, 1e-6::double) / greatest(a10, 1e-6::double)) as depth_ratio from (select *, {_nt('bid', 1, lambda i: 1)} as b1, {_nt('ask', 1, lambda i: 1)} as a1, {_nt('bid', 5, lambda i: f'(1.0::double / {i})')} as b5, {_nt('ask', 5, lambda i: f'(1.0::double / {i})')} as a5,
     {_nt('bid', 10, lambda i: 1)} as b10, {_nt('ask', 10, lambda i: 1)} as a10 from flat))""",
     ["flat"],
@@ -179,9 +131,10 @@ def book_features(spark, sf_dir):
 _bn, _an = "bid1_price * bid1_qty", "ask1_price * ask1_qty"
 view(
     "flow",
-    f"""select *, sum(ofi) over ({WB} rows between 4 preceding and current row) as cum_ofi_5 from (select *, case when lag(ts_ms) over ({WB}) is null then 0 else
-    case when bid1_price > lag(bid1_price) over ({WB}) then {_bn} when bid1_price = lag(bid1_price) over ({WB}) then {_bn} - lag({_bn}) over ({WB}) else -lag({_bn}) over ({WB}) end
-    - case when ask1_price > lag(ask1_price) over ({WB}) then -lag({_an}) over ({WB}) when ask1_price = lag(ask1_price) over ({WB}) then {_an} - lag({_an}) over ({WB}) else {_an} end end as ofi from flat)""",
+    f"""select *, sum(ofi) over ({WB} rows between 4 preceding and current row) / greatest(sum(depth_) over ({WB} rows between 4 preceding and current row), 1e-10::double) as cum_ofi_5 from (select *,
+    ({_nt('bid', 10, lambda i: 1)}) - ({_nt('ask', 10, lambda i: 1)}) as tilt, ({_nt('bid', 10, lambda i: 1)}) + ({_nt('ask', 10, lambda i: 1)}) as depth_, case when lag(ts_ms) over ({WB}) is null then 0 else
+    case when bid1_price > lag(bid1_price) over ({WB}) then {_bn} when bid1_price < lag(bid1_price) over ({WB}) then -lag({_bn}) over ({WB}) else (bid1_qty - lag(bid1_qty) over ({WB})) * bid1_price end
+    + case when ask1_price > lag(ask1_price) over ({WB}) then -lag({_an}) over ({WB}) when ask1_price < lag(ask1_price) over ({WB}) then {_an} else -(ask1_qty - lag(ask1_qty) over ({WB})) * ask1_price end end as ofi from flat)""",
     ["flat"],
 )
 
@@ -194,15 +147,15 @@ def order_flow(spark, sf_dir):
 
 @query(
     "kyle_lambda",
-    f"""select symbol, session, snap_id, case when count(d) over w50 = 20 then coalesce(covar_samp(d, ofi) over w50 / nullif(var_samp(case when d is not null then ofi end) over w50, 0), 0) else 0 end * 1e6 as lambda_e6 from
-    (select *, mid - lag(mid) over ({WB}) as d from (select *, (bid1_price + ask1_price) / 2 as mid from flow)) window w50 as ({WB} rows between 19 preceding and current row)""",
+    f"""select symbol, session, snap_id, case when count(*) over w50 = 50 then coalesce(covar_samp(d, tilt) over w50 / nullif(var_samp(tilt) over w50, 0), 0) else 0 end * 1e6 as lambda_e6 from
+    (select *, coalesce(mid - lag(mid) over ({WB}), 0) as d from (select *, (bid1_price + ask1_price) / 2 as mid from flow)) window w50 as ({WB} rows between 49 preceding and current row)""",
     ["flow"],
     "lambda_e6",
 )
 def kyle_lambda(spark, sf_dir):
-    """Rolling price impact."""
+    """Rolling price impact of the book's tilt over 50 snapshots."""
     x = o.order_flow(o.expand_levels(a.book(spark, sf_dir))).withColumn("mid", (F.col("bid1_price") + F.col("ask1_price")) / 2)
-    return o.kyle_lambda(x, "mid", "ofi", ["ts_ms", "snap_id"], 20).select("symbol", "session", "snap_id", (F.col("kyle_lambda") * 1e6).alias("lambda_e6"))
+    return o.kyle_lambda(x, "mid", "tilt", ["ts_ms", "snap_id"]).select("symbol", "session", "snap_id", (F.col("kyle_lambda") * 1e6).alias("lambda_e6"))
 
 
 def _mids(spark, sf_dir):
@@ -272,15 +225,15 @@ def liquidation_in_horizon(spark, sf_dir):
 
 @query(
     "liquidation_bursts",
-    """select symbol, start_ms, end_ms, n_trades, qty, notional, start_price, end_price, (end_price / start_price - 1) * 10000 as move_bps, sign((end_price / start_price - 1) * 10000)::int as direction from (
+    """select symbol, start_ms, end_ms, n_trades, qty, notional, start_price, end_price, move_bps, sign(move_bps)::int as direction from (select *, ln(end_price / start_price) * 10000 as move_bps from (
     select symbol, burst, min(ts_ms) as start_ms, max(ts_ms) as end_ms, count(*) as n_trades, sum(qty) as qty, sum(qty * price) as notional, arg_min(price, (ts_ms, tie)) as start_price, arg_max(price, (ts_ms, tie)) as end_price from (
     select *, sum(coalesce(new_, 0)) over (partition by symbol order by ts_ms, tie) as burst from (select *, (ts_ms - lag(ts_ms) over (partition by symbol order by ts_ms, tie) > 1800000)::int as new_ from
-    (select 'S' || (user_id % 4) as symbol, event_ts_ms as ts_ms, price, qty, history_id as tie from trades where trade_class = 'liquidation'))) group by all) where n_trades >= 2""",
+    (select 'S' || (user_id % 4) as symbol, event_ts_ms as ts_ms, price, qty, history_id as tie from trades where trade_class = 'liquidation'))) group by all) where n_trades >= 2 and start_price > 0 and end_price > 0) where abs(move_bps) >= 10""",
     ["trades"],
     "qty notional start_price end_price move_bps",
 )
 def liquidation_bursts(spark, sf_dir):
-    """Bursts of liquidations by gap."""
+    """Bursts of liquidations by gap, of 10 basis points at least."""
     t = a.trades(spark, sf_dir).where("trade_class = 'liquidation'")
     return o.bursts(t.select(F.concat(F.lit("S"), F.col("user_id") % 4).alias("symbol"), F.col("event_ts_ms").alias("ts_ms"), "price", "qty", F.col("history_id").alias("tie")), 1_800_000).drop("burst")
 

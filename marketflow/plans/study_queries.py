@@ -123,12 +123,12 @@ def pair_mismatch(spark, sf_dir):
     return s.mismatched_pairs(a.fills(spark, sf_dir), a.book(spark, sf_dir), ["symbol", "session"])
 
 
-view("rets", "select event_type as symbol, event_ts_ms, strftime(ts::timestamp, '%Y-%m-%d') as date, value - 50 as strategy_return_bps, (k - 50) / 10::double as baseline_return_bps from ev", ["ev"])
+view("rets", "select event_type as symbol, event_ts_ms, event_id as id, hour(ts::timestamp) as hour, strftime(ts::timestamp, '%Y-%m-%d') as date, value - 50 as strategy_return_bps, (k - 50) / 10::double as baseline_return_bps from ev", ["ev"])
 
 
 def _returns(spark, sf_dir):
     e = a.events(spark, sf_dir)
-    return e.select(F.col("event_type").alias("symbol"), "event_ts_ms", F.date_format("ts", "yyyy-MM-dd").alias("date"), (F.col("value") - 50).alias("strategy_return_bps"), ((F.col("k") - 50) / 10).alias("baseline_return_bps"))
+    return e.select(F.col("event_type").alias("symbol"), "event_ts_ms", F.col("event_id").alias("id"), F.hour("ts").alias("hour"), F.date_format("ts", "yyyy-MM-dd").alias("date"), (F.col("value") - 50).alias("strategy_return_bps"), ((F.col("k") - 50) / 10).alias("baseline_return_bps"))
 
 
 @query(
@@ -153,17 +153,30 @@ def walk_forward_windows(spark, sf_dir):
     return s.walk_forward_windows(_returns(spark, sf_dir), 10, 2, 5, 3)
 
 
+view("oos", 'select * from rets join wfw on date between test_start and test_end', ["rets", "wfw"])
+_conc = lambda c, name: f'(select "window", max(n) / sum(n)::double as max_{name}_concentration from (select "window", {c}, count(*) as n from oos group by all) group by all)'
+
+
 @query(
     "walk_forward_scorecard",
-    """select *, pnl - baseline as excess, case when down > 0 then mean / down end as sortino from (select "window", count(*) as n, sum(strategy_return_bps) as pnl, sum(baseline_return_bps) as baseline, avg(strategy_return_bps) as mean, sqrt(avg(pow(least(strategy_return_bps, 0), 2))) as down
-    from rets join wfw on date between test_start and test_end group by all) join (select "window", max(n) / sum(n)::double as max_day_share from (select "window", date, count(*) as n from rets join wfw on date between test_start and test_end group by all) group by all) using ("window")""",
-    ["rets", "wfw"],
-    "pnl baseline mean down max_day_share excess sortino",
+    f"""select *, net_pnl_bps - baseline_pnl_bps as excess_vs_baseline_bps from (select "window", count(*) as test_rows, count(distinct date) as distinct_test_days, count(distinct symbol) as distinct_symbols, sum(strategy_return_bps) as net_pnl_bps, sum(baseline_return_bps) as baseline_pnl_bps,
+    avg(strategy_return_bps) as mean_return_bps, case when min(strategy_return_bps) < 0 then avg(strategy_return_bps) / sqrt(avg(pow(least(strategy_return_bps, 0), 2))) when avg(strategy_return_bps) > 0 then 'inf'::double when avg(strategy_return_bps) < 0 then '-inf'::double end as sortino from oos group by all)
+    join (select "window", min(c - p) as max_drawdown_bps from (select *, max(c) over (partition by "window" order by event_ts_ms, id) as p from (select *, sum(strategy_return_bps) over (partition by "window" order by event_ts_ms, id) as c from oos)) group by all) using ("window")
+    join {_conc('date', 'day')} using ("window") join {_conc('symbol', 'symbol')} using ("window") join {_conc('hour', 'hour')} using ("window")""",
+    ["oos"],
+    "net_pnl_bps baseline_pnl_bps mean_return_bps sortino max_drawdown_bps excess_vs_baseline_bps max_day_concentration max_symbol_concentration max_hour_concentration",
 )
 def walk_forward_scorecard(spark, sf_dir):
-    """Scorecard of test windows."""
+    """Scorecard of test windows."""
+    x = _returns(spark, sf_dir)
+    return s.walk_forward_scorecard(x, s.window_dates(x, 10, 2, 5, 3))
+
+
+@query("oos_rows", "select distinct id, symbol, date from oos", ["oos"])
+def oos_rows(spark, sf_dir):
+    """Rows inside any test window, once."""
     x = _returns(spark, sf_dir)
-    return s.walk_forward_scorecard(x, s.walk_forward_windows(x, 10, 2, 5, 3))
+    return s.oos_rows(x, s.window_dates(x, 10, 2, 5, 3)).select("id", "symbol", "date")
 
 
 view("scored", "select event_type as symbol, k as score, (value > 60 or (value > 40 and k > 50))::int as label from ev", ["ev"])
@@ -195,24 +208,75 @@ def subsample_windows(spark, sf_dir):
     return s.sample_per_group(t, ["symbol", "day"], F.col("history_id"), 20, 5).select("symbol", "history_id")
 
 
-@query("paper_ledger")
-def paper_ledger(spark, sf_dir):
-    """M1: positions and realised profit; the recurrence has no SQL form."""
+view("lfills", "select 'U' || user_id as symbol, event_ts_ms as ts_ms, history_id as fill_id, case when trade_class = 'liquidation' then 'funding' when signed_qty > 0 then 'buy' else 'sell' end as side, price, qty as quantity, case when qty::bigint % 2 = 0 then 'maker' else 'taker' end as liquidity, qty / 100 - 0.3 as funding_payment from trades", ["trades"])
+view(
+    "ledger0",
+    """select *, price * quantity as notional, case when side = 'funding' then 0 when liquidity = 'maker' then price * quantity * 1.5::double / 10000 else price * quantity * 4.0::double / 10000 end as fee_paid,
+    case when side = 'funding' then funding_payment else 0 end as funding_paid, sum(case side when 'buy' then quantity when 'sell' then -quantity else 0 end) over (partition by symbol order by ts_ms, fill_id) as position_after_fill,
+    row_number() over (partition by symbol order by ts_ms, fill_id) as n from lfills""",
+    ["lfills"],
+)
+view(
+    "ledger1",
+    """select * from (with recursive steps as (
+    select symbol, 0::bigint as n, 0::double as cost, 0::double as gain from ledger0 group by symbol union all
+    select l.symbol, l.n, case when side = 'buy' and position_after_fill > 0 then (cost * (position_after_fill - quantity) + notional) / position_after_fill when side = 'sell' and position_after_fill <= 0 then 0 else cost end,
+    case when side = 'sell' then (price - cost) * least(quantity, greatest(position_after_fill + quantity, 0)) else 0 end from steps s join ledger0 l on l.symbol = s.symbol and l.n = s.n + 1) select * from steps where n > 0)""",
+    ["ledger0"],
+)
+view(
+    "ledger",
+    """select *, equity - max(equity) over (order by ts_ms, fill_id) as drawdown from (select *, cumulative_realized_pnl - cumulative_fees_paid - cumulative_funding_paid as cumulative_net_pnl, 1000 + cumulative_realized_pnl - cumulative_fees_paid - cumulative_funding_paid as equity from (
+    select l.symbol, ts_ms, fill_id, side, price, quantity, notional, fee_paid, funding_paid, position_after_fill, cost as average_cost, gain as realized_pnl_on_fill, sum(gain) over (order by ts_ms, fill_id) as cumulative_realized_pnl,
+    sum(fee_paid) over (order by ts_ms, fill_id) as cumulative_fees_paid, sum(funding_paid) over (order by ts_ms, fill_id) as cumulative_funding_paid from ledger0 l join ledger1 s on l.symbol = s.symbol and l.n = s.n))""",
+    ["ledger0", "ledger1"],
+)
+
+
+def _ledger(spark, sf_dir):
     t = a.trades(spark, sf_dir)
-    side = F.when(F.col("signed_qty") > 0, "buy").otherwise("sell")
-    return s.paper_ledger(t.select(F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("event_ts_ms").alias("ts_ms"), F.col("history_id").alias("fill_id"), side.alias("side"), "price", F.col("qty").alias("quantity")))
+    side = F.when(F.col("trade_class") == "liquidation", "funding").when(F.col("signed_qty") > 0, "buy").otherwise("sell")
+    liquidity = F.when(F.col("qty").cast("long") % 2 == 0, "maker").otherwise("taker")
+    fills = t.select(F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("event_ts_ms").alias("ts_ms"), F.col("history_id").alias("fill_id"), side.alias("side"), "price", F.col("qty").alias("quantity"), liquidity.alias("liquidity"), (F.col("qty") / 100 - 0.3).alias("funding_payment"))
+    return s.paper_ledger(fills, 1000.0)
+
+
+@query("paper_ledger", "select * from ledger", ["ledger"], "price quantity notional fee_paid funding_paid position_after_fill average_cost realized_pnl_on_fill cumulative_realized_pnl cumulative_fees_paid cumulative_funding_paid cumulative_net_pnl equity drawdown", digits=4)
+def paper_ledger(spark, sf_dir):
+    """M1: positions, average costs, fees, funding, equity and drawdown after every fill."""
+    return _ledger(spark, sf_dir)
+
+
+@query("ledger_positions", "select symbol, arg_max(position_after_fill, (ts_ms, fill_id)) as quantity, arg_max(average_cost, (ts_ms, fill_id)) as average_cost from ledger group by symbol", ["ledger"], "quantity average_cost", digits=4)
+def ledger_positions(spark, sf_dir):
+    """M1: final positions."""
+    return s.ledger_positions(_ledger(spark, sf_dir))
+
+
+@query("ledger_summary", "select *, realized_pnl - fees_paid - funding_paid as net_pnl, 1000 + realized_pnl - fees_paid - funding_paid as ending_equity from (select sum(realized_pnl_on_fill) as realized_pnl, sum(fee_paid) as fees_paid, sum(funding_paid) as funding_paid, min(drawdown) as max_drawdown, count(*) as fills, count(distinct symbol) as symbols from ledger)", ["ledger"], "realized_pnl fees_paid funding_paid max_drawdown net_pnl ending_equity", digits=4)
+def ledger_summary(spark, sf_dir):
+    """M1: totals of the ledger."""
+    return s.ledger_summary(_ledger(spark, sf_dir), 1000.0)
 
 
 @query(
     "round_trip_costs",
-    "select *, gross - cost as net, (gross - cost) / notional * 10000 as net_bps from (select history_id, case when signed_qty > 0 then 1 else -1 end * ((price + 1) / price - 1) * notional as gross, notional * (2 * 4.0 + 2 * 1.5 + 0.5 + qty / 10) / 10000 as cost, notional from trades)",
+    """select *, round(net_pnl / initial_notional * 10000, 10) as net_return_bps from (select *, round(gross_pnl - fees_paid - slippage_paid - adverse_selection_paid - funding_paid, 10) as net_pnl from (
+    select history_id, price * qty as initial_notional, fees as fee_bps_total, round(sgn * ((price + 1) - price) * qty, 10) as gross_pnl, round(price * qty * fees / 10000, 10) as fees_paid, round(price * qty * (coalesce(slip, 1.0::double) * 2) / 10000, 10) as slippage_paid,
+    round(price * qty * (0.5::double * 2) / 10000, 10) as adverse_selection_paid, round(sgn * (price * qty) * 0.1::double / 10000 * hours, 10) as funding_paid from (
+    select *, case when signed_qty > 0 then 1 else -1 end as sgn, case when qty::bigint % 2 = 0 then 1.5::double else 4.0::double end + case when qty::bigint % 3 = 0 then 1.5::double else 4.0::double end as fees, case when qty::bigint % 5 <> 0 then qty / 40 end as slip, qty::bigint % 24 as hours from trades)))""",
     ["trades"],
-    "gross cost net net_bps notional",
+    "initial_notional fee_bps_total gross_pnl fees_paid slippage_paid adverse_selection_paid funding_paid net_pnl net_return_bps",
 )
 def round_trip_costs(spark, sf_dir):
-    """Result of trade intents after costs."""
-    t = a.trades(spark, sf_dir).select("history_id", F.when(F.col("signed_qty") > 0, "buy").otherwise("sell").alias("side"), "notional", F.col("price").alias("entry"), (F.col("price") + 1).alias("exit"), (F.col("qty") / 10).alias("funding_bps"))
-    return s.round_trip_costs(t, 4.0, 1.5, 0.5).select("history_id", "gross", "cost", "notional", "net", "net_bps")
+    """Result of round trips after fees, slippage, adverse selection and funding."""
+    q = F.col("qty").cast("long")
+    t = a.trades(spark, sf_dir).select(
+        "history_id", F.when(F.col("signed_qty") > 0, "long").otherwise("short").alias("side"), F.when(q % 2 == 0, "maker").otherwise("taker").alias("entry_liquidity"), F.when(q % 3 == 0, "maker").otherwise("taker").alias("exit_liquidity"),
+        F.col("price").alias("entry_price"), (F.col("price") + 1).alias("exit_price"), F.col("qty").alias("quantity"), (q % 24).alias("hold_hours"), F.when(q % 5 != 0, F.col("qty") / 40).alias("slippage_bps_per_side"), F.lit(None).cast("double").alias("adverse_selection_bps_per_side"),
+    )
+    out = s.round_trip_costs(t, slippage_bps=1.0, adverse_bps=0.5, funding_bps_per_hour=0.1)
+    return out.select("history_id", "initial_notional", "fee_bps_total", "gross_pnl", "fees_paid", "slippage_paid", "adverse_selection_paid", "funding_paid", "net_pnl", "net_return_bps")
 
 
 @query("silver_trades", "select event_ts_ms, recv_ms, symbol, 'trades' as channel, price, qty, signed_qty, notional, direction, trade_class, history_id from trades", ["trades"], "price qty signed_qty notional")
@@ -228,9 +292,9 @@ def silver_trades(spark, sf_dir):
     return raw.scan_silver(spark, f"{path}/silver", "trades").drop("date")
 
 
-@query("channel_quality", "select 'trades' as channel, count(*) as n, count(distinct symbol) as symbols, min(event_ts_ms) as first_ms, max(event_ts_ms) as last_ms from trades union all select 'bbo', count(*), count(distinct symbol), min(event_ts_ms), max(event_ts_ms) from bbo", ["trades", "bbo"])
+@query("channel_quality", "select 'trades' as channel, count(*) as n, count(distinct symbol) as symbols, min(event_ts_ms) as first_ms, max(event_ts_ms) as last_ms, 0::bigint as incomplete, (count(*) - count(distinct (symbol, event_ts_ms)))::bigint as repeated from trades union all select 'bbo', count(*), count(distinct symbol), min(event_ts_ms), max(event_ts_ms), 0, (count(*) - count(distinct (symbol, event_ts_ms)))::bigint from bbo", ["trades", "bbo"])
 def channel_quality(spark, sf_dir):
-    """Rows, symbols and time range by channel."""
+    """Rows, symbols, time range and repeats by channel."""
     cols = lambda df, name: df.select("symbol", "event_ts_ms", F.lit(name).alias("channel"))
     return raw.channel_quality(cols(a.trades(spark, sf_dir), "trades").unionByName(cols(a.bbo(spark, sf_dir), "bbo")))
 

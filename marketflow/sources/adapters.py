@@ -125,7 +125,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("recv_ms", F.col("ts_ms") + F.col("l_linenumber"))
     flip = F.when(F.col("side") == "open_long", "open_short").when(F.col("side") == "open_short", "open_long").when(F.col("side") == "close_long", "close_short").otherwise("close_long")
     twins = base.where("l_linenumber = 1").withColumn("side", flip).withColumn("recv_ms", F.col("recv_ms") + 100)
-    return base.unionByName(twins)
+    return base.withColumn("event_type", F.lit("fulfill_taker")).unionByName(twins.withColumn("event_type", F.lit("fulfill_maker")))
 
 
 view(
@@ -133,11 +133,11 @@ view(
     """select * from (select 'P' || (l_partkey % 8) as symbol, year(l_shipdate) as session, epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000 as ts_ms,
     l_quantity as qty, l_extendedprice / l_quantity as price,
     case when l_returnflag = 'N' then case when l_linestatus = 'O' then 'open_long' else 'close_short' end else case when l_linestatus = 'O' then 'open_short' else 'close_long' end end as side,
-    l_linenumber, l_orderkey as order_id, epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000 + l_linenumber as recv_ms from lineitem)
+    l_linenumber, l_orderkey as order_id, epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000 + l_linenumber as recv_ms, 'fulfill_taker' as event_type from lineitem)
     union all
     select 'P' || (l_partkey % 8), year(l_shipdate), epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000, l_quantity, l_extendedprice / l_quantity,
     case when l_returnflag = 'N' then case when l_linestatus = 'O' then 'open_short' else 'close_long' end else case when l_linestatus = 'O' then 'open_long' else 'close_short' end end,
-    l_linenumber, l_orderkey, epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000 + l_linenumber + 100 from lineitem where l_linenumber = 1""",
+    l_linenumber, l_orderkey, epoch_ms(l_shipdate::timestamp) + (l_orderkey % 86400) * 1000 + l_linenumber + 100, 'fulfill_maker' from lineitem where l_linenumber = 1""",
 )
 
 
@@ -165,3 +165,27 @@ view(
     o_totalprice / 1000 * (1 + 0.0005::double * l_linenumber) as ask, l_quantity * (1 + l_tax) as ask_qty
     from orders join lineitem on o_orderkey = l_orderkey where l_linenumber <= 10""",
 )
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value: raw records of all channels and of an unknown one, as JSON lines. Some messages lack a side, a price or levels."""
+    e = events(spark, sf_dir)
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    px, k = 1 + F.col("value"), F.col("k")
+    level = lambda sign, i: F.struct(text(px * (1 + sign * 0.001 * i)).alias("p"), text(k + i).alias("a"), F.lit(i).alias("n"))
+    asks = F.when(k % 10 == 0, F.array().cast("array<struct<p: string, a: string, n: int>>")).otherwise(F.array(level(1, 1), level(1, 2)))
+    data = {
+        "bbo": F.struct(F.col("event_type").alias("s"), F.when(k % 33 != 0, text(px * (1 - (k + 1) / 1e4))).alias("b"), text(k + 1).alias("B"), text(px * (1 + (k + 1) / 1e4)).alias("a"), text(100 - k).alias("A"), F.col("event_id").alias("i"), F.col("event_id").alias("li"), F.col("event_ts_ms").alias("t")),
+        "book": F.struct(F.col("event_type").alias("s"), F.array(F.array(level(-1, 1), level(-1, 2), level(-1, 3)), asks).alias("l"), F.col("event_id").alias("li"), F.col("event_ts_ms").alias("t")),
+        "prices": F.struct(F.col("event_type").alias("s"), text(px).alias("mid"), text(px).alias("mark"), F.when(k % 25 == 0, "0").otherwise(text(px + (k - 50) / 1000)).alias("oracle"), text(k / 1e6).alias("funding"), text(F.col("value") * 10).alias("open_interest")),
+        "candle": F.struct(F.col("event_type").alias("s"), F.lit("1m").alias("i"), F.col("event_ts_ms").alias("t"), (F.col("event_ts_ms") + 60_000).alias("T"), text(px).alias("o"), text(px + k / 100).alias("h"), text(px - k / 200).alias("l"), F.when(k % 40 == 0, "nan").otherwise(text(px + 0.5)).alias("c"), text(k * 2).alias("v"), k.alias("n")),
+        "gossip": F.struct(F.col("event_type").alias("s")),
+    }
+    parts = []
+    for channel, body in data.items():
+        record = F.struct((F.col("event_ts_ms") + F.col("event_id") % 50).alias("recv_ms"), F.col("event_ts_ms"), F.lit(channel).alias("channel"), F.col("event_type").alias("symbol"), F.to_json(body).alias("data"))
+        parts.append(e.select(F.to_json(record).alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -1,11 +1,13 @@
 """Operators on literal rows."""
 
 import gzip
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketflow.functions.ranks import mean_rank_share
+from marketflow.functions.running import running
 from marketflow.operators import asof
 from marketflow.operators import order_events as o
 from marketflow.operators import regime as r
@@ -63,10 +65,57 @@ def test_sweep_cost_walks_the_levels(spark):
     assert whole.fillable and whole.avg_price == pytest.approx(10.5) and not over.fillable and over.avg_price is None
 
 
-def test_ledger_keeps_average_cost(spark):
-    fills = spark.createDataFrame([("a", 1, 1, "buy", 10.0, 2.0), ("a", 2, 2, "buy", 20.0, 2.0), ("a", 3, 3, "sell", 30.0, 1.0), ("a", 4, 4, "sell", 30.0, 9.0)], "symbol string, ts_ms long, fill_id long, side string, price double, quantity double")
-    got = sorted((x.fill_id, x.position, x.average_cost, x.realised) for x in s.paper_ledger(fills).collect())
-    assert got == [(1, 2.0, 10.0, 0.0), (2, 4.0, 15.0, 0.0), (3, 3.0, 15.0, 15.0), (4, 0.0, 0.0, 60.0)]
+FILL = "symbol string, ts_ms long, fill_id long, side string, price double, quantity double, liquidity string, funding_payment double"
+
+
+def test_ledger_keeps_average_cost_and_goes_below_zero(spark):
+    rows = [("a", 1, 1, "buy", 10.0, 2.0), ("a", 2, 2, "buy", 20.0, 2.0), ("a", 3, 3, "sell", 30.0, 1.0), ("a", 4, 4, "sell", 30.0, 9.0), ("a", 5, 5, "buy", 8.0, 10.0), ("a", 6, 6, "funding", 1.0, 1.0)]
+    fills = spark.createDataFrame([(*x, "maker" if x[1] % 2 else "taker", 0.25) for x in rows], FILL)
+    ledger = s.paper_ledger(fills, 100.0, maker_bps=0.0, taker_bps=10.0).cache()
+    got = sorted((x.fill_id, x.position_after_fill, x.average_cost, x.realized_pnl_on_fill) for x in ledger.collect())
+    assert got == [(1, 2.0, 10.0, 0.0), (2, 4.0, 15.0, 0.0), (3, 3.0, 15.0, 15.0), (4, -6.0, 0.0, 45.0), (5, 4.0, 20.0, 0.0), (6, 4.0, 20.0, 0.0)]
+    total = s.ledger_summary(ledger, 100.0).first()
+    fees = 20 * 2 / 1000 + 30 * 9 / 1000
+    assert (total.realized_pnl, total.funding_paid, total.fills) == (60.0, 0.25, 6) and total.ending_equity == pytest.approx(159.75 - fees)
+    assert total.max_drawdown == pytest.approx(-0.25)
+    with pytest.raises(Exception, match="price must be positive"):
+        s.paper_ledger(spark.createDataFrame([("a", 1, 1, "buy", 0.0, 2.0, "maker", 0.0)], FILL)).collect()
+
+
+def test_round_trips_charge_both_sides(spark):
+    cols = "side string, entry_liquidity string, exit_liquidity string, entry_price double, exit_price double, quantity double, hold_hours long, slippage_bps_per_side double, adverse_selection_bps_per_side double"
+    rows = [("long", "taker", "taker", 100.0, 101.0, 2.0, 10, 1.0, 0.5), ("short", "maker", "taker", 100.0, 101.0, 2.0, 10, None, None)]
+    a, b = s.round_trip_costs(spark.createDataFrame(rows, cols), funding_bps_per_hour=0.1).collect()
+    assert (a.gross_pnl, a.fees_paid, a.slippage_paid, a.adverse_selection_paid, a.funding_paid) == (2.0, 0.16, 0.04, 0.02, 0.02)
+    assert (b.gross_pnl, b.fee_bps_total, b.slippage_paid, b.funding_paid) == (-2.0, 5.5, 0.0, -0.02) and a.net_pnl == pytest.approx(1.76)
+
+
+def test_running_values_cross_cells(spark):
+    rows = spark.createDataFrame([("a", d, i, v) for i, (d, v) in enumerate([(0, 5.0), (0, -9.0), (1, 2.0), (2, None), (2, 4.0)])], "k string, day int, i int, v double")
+    got = running(rows, ["k"], "day", ["i"], {"total": (F.col("v"), "sum"), "top": (F.col("v"), "max")}).orderBy("i").collect()
+    assert [(x.total, x.top) for x in got] == [(5.0, 5.0), (-4.0, 5.0), (-2.0, 5.0), (-2.0, 5.0), (2.0, 5.0)]
+
+
+def test_effort_stands_against_the_usual_return_and_starts_at_zero(spark):
+    rows = [("a", 1, t, q, v, 1.0, 1, 0.5, 0.1, 10.0) for t, q, v in [(1, 2.0, 10.0), (3, 2.0, 10.1), (7, 4.0, 10.0), (8, 2.0, 10.1)]]
+    x = spark.createDataFrame(rows, "symbol string, session int, ts_ms long, total_qty double, vwap double, is_open_frac double, n_fills long, book_walk_abs double, spread double, mid double")
+    got = o.trade_features(x, width=1000, span=2).orderBy("ts_ms").collect()
+    move = math.log(10.1 / 10.0)
+    assert [r.effort_vs_result for r in got][:2] == [0.0, pytest.approx(-math.log(move / (move / 2) + 1e-6))]
+    assert [r.log_total_qty for r in got] == pytest.approx([0.0, 0.0, math.log(2), 0.0]) and got[0].book_walk == pytest.approx(5.0)
+    assert [r.time_delta for r in got] == pytest.approx([0.0, math.log(3), math.log(5), math.log(2)])
+    assert [r.prev_seq_time_span for r in got] == pytest.approx([0.0, 0.0, math.log(3), math.log(5)])
+
+
+def test_order_flow_signs_and_first_kyle_row(spark):
+    flat = {f"{side}{i}_{what}": 0.0 for side in ("bid", "ask") for i in range(1, 11) for what in ("price", "qty")}
+    rows = [{**flat, "symbol": "a", "session": 1, "ts_ms": t, "snap_id": t, "bid1_price": b, "bid1_qty": bq, "ask1_price": k, "ask1_qty": kq} for t, b, bq, k, kq in [(1, 10.0, 1.0, 11.0, 1.0), (2, 10.5, 2.0, 11.0, 3.0), (3, 10.0, 1.0, 11.5, 1.0), (4, 10.0, 4.0, 11.0, 2.0)]]
+    got = o.order_flow(spark.createDataFrame(rows)).orderBy("ts_ms").collect()
+    assert [x.ofi for x in got] == pytest.approx([0.0, 21.0 - 22.0, -21.0 - 33.0, 30.0 + 22.0])
+    assert got[1].cum_ofi_5 == pytest.approx(-1.0 / (21.0 + 21.0 + 33.0))
+    walk = spark.createDataFrame([("a", 1, t, float(t * t), float(t % 3)) for t in range(4)], "symbol string, session int, ts_ms long, mid double, flow double")
+    slope = [x.kyle_lambda for x in o.kyle_lambda(walk, "mid", "flow", ["ts_ms"], 3).orderBy("ts_ms").collect()]
+    assert slope[:2] == [0.0, 0.0] and slope[2] == pytest.approx(1.5)
 
 
 def test_raw_scan_skips_blanks_and_reads_broken_gzip(spark, tmp_path):
