@@ -62,7 +62,7 @@ def direction_base_rate(events: DataFrame, horizons: list[int]) -> DataFrame:
     return out.withColumn("up_rate", F.col("up") / F.nullif(F.col("up") + F.col("down"), F.lit(0)))
 
 
-def rolling(rows: DataFrame, stats: dict[str, tuple], order: str = "ts_ms") -> DataFrame:
+def rolling(rows: DataFrame, stats: dict[str, tuple], order: str | list[str] = "ts_ms") -> DataFrame:
     """rows with causal rolling statistics per symbol and session: name -> (column, mean, std, min or a quantile, width, least rows).
 
     Quantiles of long frames cost Spark's window a sort a row, so a session goes through pandas' rolling kernel, which
@@ -70,7 +70,7 @@ def rolling(rows: DataFrame, stats: dict[str, tuple], order: str = "ts_ms") -> D
     """
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values(order, kind="stable" if isinstance(order, str) else "quicksort")
         found = {}
         for name, (column, how, width, least) in stats.items():
             frame = pdf[column].astype("float64").rolling(width, min_periods=least)

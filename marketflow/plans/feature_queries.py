@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketflow.operators import event_features as ef
 from marketflow.operators import order_events as o
+from marketflow.plans import event_queries  # noqa: F401  its views
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
 
@@ -83,7 +84,7 @@ view(
 _OUT = [*[c for c in ef.FEATURES if c != "kyle_lambda"], "lambda_e6"]
 
 
-def _features(spark, sf_dir):
+def event_table(spark, sf_dir):
     return ef.event_features(a.fills(spark, sf_dir), a.book(spark, sf_dir), ERA, HOLDOUT, snaps=lambda book: _fixed(ef.snapshots(book), SNAP))
 
 
@@ -97,21 +98,21 @@ def _scaled(x):
     ["labelled"],
     " ".join(_OUT),
 )
-def event_features(spark, sf_dir):
+def eventevent_table(spark, sf_dir):
     """Features and labels of all events of all sessions."""
-    return _scaled(_features(spark, sf_dir))
+    return _scaled(event_table(spark, sf_dir))
 
 
 @query("trade_features", f"select symbol, session, ts_ms, {', '.join(ef.TRADE)} from feats", ["feats"], " ".join(ef.TRADE))
-def trade_features(spark, sf_dir):
+def tradeevent_table(spark, sf_dir):
     """G1: the nine trade features over 1,000 events."""
-    return _features(spark, sf_dir).select("symbol", "session", "ts_ms", *ef.TRADE)
+    return event_table(spark, sf_dir).select("symbol", "session", "ts_ms", *ef.TRADE)
 
 
 @query("wyckoff_labels", f"select symbol, session, ts_ms, {', '.join(ef.LABELS)} from labelled", ["labelled"])
 def wyckoff_labels(spark, sf_dir):
     """Five labels by causal quantiles."""
-    return _features(spark, sf_dir).select("symbol", "session", "ts_ms", *ef.LABELS)
+    return event_table(spark, sf_dir).select("symbol", "session", "ts_ms", *ef.LABELS)
 
 
 @query("kyle_lambda_trade", "select symbol, session, snap_id, kyle_lambda * 1e6 as lambda_e6 from kyled", ["kyled"], "lambda_e6")
@@ -146,9 +147,9 @@ _AG = ", ".join(
     " ".join(_STATS),
     digits=4,
 )
-def flat_features(spark, sf_dir):
+def flatevent_table(spark, sf_dir):
     """K3: 83 moments of windows of 200 events, every 50."""
-    return o.flat_features(_scaled(_features(spark, sf_dir)), [_NAME[c] for c in ef.FEATURES], o.LENGTH, o.STRIDE).drop(*ef.PRUNED)
+    return o.flat_features(_scaled(event_table(spark, sf_dir)), [_NAME[c] for c in ef.FEATURES], o.LENGTH, o.STRIDE).drop(*ef.PRUNED)
 
 
 _ENDS = [*[f"dir_h{h}" for h in o.HORIZONS], *ef.LABELS]
@@ -162,7 +163,7 @@ _ENDS = [*[f"dir_h{h}" for h in o.HORIZONS], *ef.LABELS]
 )
 def window_rows(spark, sf_dir):
     """K2: the events of each window of 200, with the labels of its last event."""
-    return _scaled(ef.window_rows(_features(spark, sf_dir), 200, 200))
+    return _scaled(ef.window_rows(event_table(spark, sf_dir), 200, 200))
 
 
 @query(
@@ -176,7 +177,7 @@ def window_rows(spark, sf_dir):
 )
 def window_wyckoff(spark, sf_dir):
     """K4: labels of whole windows."""
-    return ef.window_wyckoff(_features(spark, sf_dir))
+    return ef.window_wyckoff(event_table(spark, sf_dir))
 
 
 @query("taker_fills", "select symbol, session, count(*) as n from fills where event_type = 'fulfill_taker' group by all", ["fills"])
