@@ -76,7 +76,7 @@ def mismatched_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 def parity(live: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], tolerance: float) -> DataFrame:
     """column, compared, different: numeric columns of rows that both sides have."""
     x = live.join(batch.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns]), keys)
-    pairs = ", ".join(f"'{c}', {c}, __{c}" for c in columns)
+    pairs = ", ".join(f"'{c}', cast({c} as double), cast(__{c} as double)" for c in columns)
     long = x.selectExpr(f"stack({len(columns)}, {pairs}) as (name, a, b)")
     off = F.when(F.col("a").isNull() | F.col("b").isNull(), ~F.col("a").eqNullSafe(F.col("b"))).otherwise(F.abs(F.col("a") - F.col("b")) > tolerance)
     return long.groupBy("name").agg(F.count("*").alias("compared"), F.count_if(off).alias("different"))
