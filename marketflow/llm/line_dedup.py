@@ -1,11 +1,13 @@
 """Line dedup (5): content-defined chunks of lines; chunks of several lines that repeat anywhere lose all but the first.
 
-A line ends after its line feed. A chunk ends after a line at which the mixed hash of the last `window` line hashes
-falls on one of 1 / `mean` of its values, or after `most` lines; so an inserted line moves only the bounds near it. With
-a window of one line the bounds inside a repeated passage are the same in all its copies. `rules` independent such
-cuts of each text are made, as a short passage has a chunk of its own under some of them only. A chunk of at least
-`least` lines and `words` words that equals an earlier one - smaller (document, place) - is removed; every line
-that goes this way is still in the document in which it came first. Equality is that of the bytes: keys only choose what is compared.
+A line ends after its line feed. Rolling hashes of the last `window` line hashes choose the bounds: a chunk begins at a line
+whose mixed hash falls on one of 1 / `mean` of its values (and with a text), and ends after the next line that another such
+test picks, at least `least` lines later (or with the text, or after `most` lines). With a window of one line the bounds
+hang on nothing outside the chunk, so an inserted line moves none but its own, and a repeated passage has the same chunks
+in all surroundings. `rules` independent pairs of tests are made, as a short passage has a chunk under some of them
+only; chunks may overlap. A chunk of at least `words` words that equals an earlier one - smaller (document, place) - is
+removed; every line that goes this way is still in the document in which it came first. Equality is that of the bytes:
+keys only choose what is compared.
 
 Keys are shuffled first. Only the first copy of each repeated chunk then fetches its bytes, and each document with
 repeats gets those bytes to compare with its own; the text itself is shuffled twice.
@@ -29,7 +31,7 @@ from marketflow.llm.textarrays import Hashes, mix, raw, slices, word_spans
 class LineConfig:
     window: int = 1
     mean: int = 2
-    rules: int = 6
+    rules: int = 3
     most: int = 32
     least: int = 2
     words: int = 10
@@ -48,11 +50,21 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
         near = np.zeros(len(lines), bool)
         near[k:] = row[k:] == row[:-k]
         roll[k:] = np.where(near[k:], mix(roll[k:] * np.uint64(31) + lines[:-k]), roll[k:])
-    last = np.ones(len(lines), bool)
-    last[:-1] = row[1:] != row[:-1]
+    n = len(lines)
+    first, last = np.ones(n, bool), np.ones(n, bool)
+    first[1:], last[:-1] = row[1:] != row[:-1], row[1:] != row[:-1]
+    end_of_row = np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1]
     first_word = np.searchsorted(word_spans(data, offsets)[0], np.append(starts, len(data)))
-    found = [_cut(last | (mix(roll + np.uint64(rule)) % np.uint64(config.mean) == 0), config.most) for rule in range(config.rules)]
-    begin, at = np.concatenate([b for b, _ in found]), np.concatenate([a for _, a in found])
+    pairs = []
+    for rule in range(config.rules):
+        opens, closes = (mix(roll + np.uint64(2 * rule + k)) % np.uint64(config.mean) == 0 for k in (0, 1))
+        begin = np.flatnonzero(first | opens)
+        close = np.flatnonzero(last | closes)
+        at = close[np.minimum(np.searchsorted(close, begin + config.least - 1), max(len(close) - 1, 0))] if n else begin
+        at = np.minimum(at, begin + config.most - 1)
+        inside = (at <= end_of_row[begin]) & (at - begin + 1 >= config.least) if n else np.zeros(0, bool)
+        pairs.append((begin[inside], at[inside]))
+    begin, at = (np.concatenate(x) for x in zip(*pairs, strict=True))
     order = np.lexsort((at, begin))  # rules often agree
     begin, at = begin[order], at[order]
     new = np.ones(len(begin), bool)
@@ -61,20 +73,6 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
     return row[begin], starts[begin], ends[at], at - begin + 1, first_word[at + 1] - first_word[begin], hashes.of(starts[begin], ends[at])
 
 
-def _cut(cut: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of the chunks that end where cut says so; none passes `most` lines."""
-    at = np.flatnonzero(cut)
-    begin = np.concatenate([[0], at[:-1] + 1])[: len(at)]
-    long = at - begin >= most
-    if long.any():
-        cut = cut.copy()
-        for a, b in zip(begin[long], at[long], strict=True):
-            cut[np.arange(a + most - 1, b, most)] = True
-        at = np.flatnonzero(cut)
-        begin = np.concatenate([[0], at[:-1] + 1])[: len(at)]
-    return begin, at
-
-
 def _of_batch(column: pa.Array, config: LineConfig) -> tuple[np.ndarray, ...]:
     """As chunks(), for a whole column; starts and ends count from the row's first byte, and a place counts chunks."""
     data, offsets = raw(column)
