@@ -141,13 +141,15 @@ def test_span_hashes_tell_the_thue_morse_words_apart():
 def _line_chunks(text: str, rule: int, config) -> list[tuple[int, int, bytes]]:
     """Chunks of one text under one rule, stated line by line: first and last line, bytes."""
     lines = [x for x in _lines((text or "").encode()) if x]
-    mask, mix = (1 << 64) - 1, lambda x: int(textarrays.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
-    out, begin = [], 0
-    for i, line in enumerate(lines):
-        h = int(textarrays.Hashes(np.frombuffer(line, np.uint8)).of(np.array([0]), np.array([len(line)]))[0])
-        if i == len(lines) - 1 or mix((h + rule) & mask) % config.mean == 0 or i - begin + 1 == config.most:
-            out.append((begin, i, b"".join(lines[begin : i + 1])))
-            begin = i + 1
+    hashes = [int(textarrays.Hashes(np.frombuffer(x, np.uint8)).of(np.array([0]), np.array([len(x)]))[0]) for x in lines]
+    mark = lambda i, k: int(textarrays.mix(np.array([(hashes[i] + 2 * rule + k) % 2**64], np.uint64))[0]) % config.mean == 0
+    out, last = [], len(lines) - 1
+    for i in range(len(lines)):
+        if i == 0 or mark(i, 0):
+            j = next((j for j in range(i + config.least - 1, last + 1) if j == last or mark(j, 1)), None)
+            if j is not None:
+                j = min(j, i + config.most - 1)
+                out.append((i, j, b"".join(lines[i : j + 1])))
     return out
 
 
