@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketflow.functions.quantiles import group_quantiles
+
 
 def top_mask(rows: DataFrame, by: list[str], score: str, tie: str, share: float) -> DataFrame:
     """rows with top: the first max(1, floor(n * share)) of each key by score; ties in order of `tie`."""
@@ -15,7 +17,7 @@ def top_mask(rows: DataFrame, by: list[str], score: str, tie: str, share: float)
 
 def above_daily_quantile(rows: DataFrame, by: list[str], score: str, share: float) -> DataFrame:
     """rows with top: score strictly above the (1 - share) quantile of its key, such as its day."""
-    cut = rows.groupBy(*by).agg(F.percentile(score, F.lit(1 - share)).alias("__q"))
+    cut = group_quantiles(rows, by, {"__q": (F.col(score), 1 - share)})
     return rows.join(cut, by).withColumn("top", F.col(score) > F.col("__q")).drop("__q")
 
 
@@ -141,7 +143,7 @@ def stress_score(trades: Column, spread: Column, change: Column, basis: Column)
     return part(trades, 2.0) + part(F.greatest(spread, F.lit(0.0)), 5.0) + part(F.abs(change), 5.0) + part(F.abs(basis), 5.0)
 
 
-def risk_state(covered: Column, change: Column, vol: Column, high_vol: float = 75.0, off: float = -50.0, on: float = 50.0) -> Column:
+def risk_state(covered: Column, change: Column, vol: Column, high_vol: float = 40.0, off: float = -10.0, on: float = 10.0) -> Column:
     """Class of a reference bar by volatility and return."""
     return (
         F.when(~F.coalesce(covered, F.lit(False)), "REFERENCE_MISSING")

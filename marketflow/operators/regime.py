@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketflow.functions.quantiles import group_quantiles
 from marketflow.functions.ranks import bin_of, mean_rank_share
 from marketflow.sources.shared import written
 
@@ -199,16 +200,17 @@ def day_of(ms: str = "bucket_start_ms") -> Column:
 def symbol_eligibility(state: DataFrame, t: EligibilityThresholds = EligibilityThresholds()) -> DataFrame:
     """One row per symbol: statistics, six gates, reasons of failure."""
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    state = written(state)  # it is read several times below
     days = state.groupBy("symbol", day_of().alias("day")).agg(F.count("*").alias("n")).groupBy("symbol").agg((F.max("n") / F.sum("n")).alias("max_day_observation_concentration"), F.count("*").alias("n_days"))
     stats = state.groupBy("symbol").agg(
         F.count("*").alias("n_observations"),
-        F.percentile(z("top_depth_notional"), F.lit(0.5)).alias("median_top_depth_notional"),
-        F.percentile(z("avg_spread_bps"), F.lit(0.5)).alias("median_spread_bps"),
-        F.percentile(z("avg_spread_bps"), F.lit(0.95)).alias("p95_spread_bps"),
-        F.percentile(z("trade_notional"), F.lit(0.5)).alias("median_trade_notional_per_min"),
-        F.percentile(z("bbo_updates"), F.lit(0.5)).alias("median_bbo_updates_per_min"),
         F.avg(z("toxicity_score")).alias("mean_toxicity_score"),
     )
+    middle = {
+        "median_top_depth_notional": (z("top_depth_notional"), 0.5), "median_spread_bps": (z("avg_spread_bps"), 0.5), "p95_spread_bps": (z("avg_spread_bps"), 0.95),
+        "median_trade_notional_per_min": (z("trade_notional"), 0.5), "median_bbo_updates_per_min": (z("bbo_updates"), 0.5),
+    }
+    stats = stats.join(group_quantiles(state, ["symbol"], middle), "symbol")
     c = F.col
     tests = [
         (c("n_days") >= t.min_days) & (c("n_observations") >= t.min_observations),
@@ -277,34 +279,39 @@ def long_horizons(state: DataFrame, horizons: list[str]) -> DataFrame:
 
 
 def risk_stats(prefix: str = "", when: Column | None = None) -> list[Column]:
-    """Aggregates over fwd, long_adverse and short_adverse of long_horizons(), of the rows where `when` holds."""
+    """Aggregates over fwd of long_horizons(), of the rows where `when` holds; risk_quantiles() has the others."""
     v = lambda c: F.when(when, F.col(c)) if when is not None else F.col(c)
     low = F.sqrt(F.avg(F.pow(F.least(v("fwd"), F.lit(0.0)), 2) if when is None else F.when(when, F.pow(F.least(F.col("fwd"), F.lit(0.0)), 2))))
-    return [
-        F.avg(v("fwd")).alias(f"{prefix}mean_forward_return"),
-        F.percentile(v("fwd"), F.lit(0.5)).alias(f"{prefix}median_forward_return"),
-        F.percentile(v("long_adverse"), F.lit(0.05)).alias(f"{prefix}p05_long_adverse"),
-        F.percentile(v("short_adverse"), F.lit(0.05)).alias(f"{prefix}p05_short_adverse"),
-        low.alias(f"{prefix}downside_deviation"),
-    ]
+    return [F.avg(v("fwd")).alias(f"{prefix}mean_forward_return"), low.alias(f"{prefix}downside_deviation")]
+
+
+def risk_quantiles(prefix: str = "", when: Column | None = None) -> dict[str, tuple[Column, float]]:
+    """Median return and 5 % adverse excursions, for group_quantiles()."""
+    v = lambda c: F.when(when, F.col(c)) if when is not None else F.col(c)
+    return {f"{prefix}median_forward_return": (v("fwd"), 0.5), f"{prefix}p05_long_adverse": (v("long_adverse"), 0.05), f"{prefix}p05_short_adverse": (v("short_adverse"), 0.05)}
 
 
 def bucket_risk(deciled: DataFrame) -> DataFrame:
     """Risk by horizon and toxicity decile."""
-    out = deciled.groupBy("horizon", "toxicity_decile").agg(F.count("*").alias("n_obs"), F.count_distinct("symbol").alias("n_symbols"), *risk_stats())
+    key, deciled = ["horizon", "toxicity_decile"], written(deciled)
+    out = deciled.groupBy(*key).agg(F.count("*").alias("n_obs"), F.count_distinct("symbol").alias("n_symbols"), *risk_stats()).join(group_quantiles(deciled, key, risk_quantiles()), key)
     return out.withColumn("sortino_proxy", F.col("mean_forward_return") / F.nullif(F.col("downside_deviation"), F.lit(0.0)))
 
 
 def overlay_scorecard(paths: DataFrame, cutoffs: list[float], min_days: int = 30, min_removed: int = 100) -> DataFrame:
     """Per horizon and cutoff: all rows against those below the cutoff's toxicity quantile."""
-    quantiles = paths.groupBy("horizon").agg(F.percentile("toxicity_score", F.array(*map(F.lit, cutoffs))).alias("q")).select("horizon", F.posexplode("q").alias("i", "threshold"))
-    named = quantiles.withColumn("cutoff", F.element_at(F.array(*map(F.lit, cutoffs)), F.col("i") + 1)).drop("i")
-    x = paths.join(F.broadcast(named), "horizon")
+    paths = written(paths)  # it is read several times below
+    cuts = group_quantiles(paths, ["horizon"], {f"q{i}": (F.col("toxicity_score"), q) for i, q in enumerate(cutoffs)})
+    named = cuts.select("horizon", F.explode(F.array(*[F.struct(F.lit(q).alias("cutoff"), F.col(f"q{i}").alias("threshold")) for i, q in enumerate(cutoffs)])).alias("c")).select("horizon", "c.*")
+    x = paths.join(F.broadcast(named), "horizon")  # a row a horizon and cutoff
     ok = F.col("toxicity_score") < F.col("threshold")
+    of = {**risk_quantiles("base_"), **risk_quantiles("acc_", ok), **risk_quantiles("rem_", ~ok)}
+    key = ["horizon", "cutoff", "threshold"]
     out = x.groupBy("horizon", "cutoff", "threshold").agg(
         F.count("*").alias("n_baseline"), F.count_if(ok).alias("n_accepted"), F.count_distinct(day_of()).alias("n_days"),
         F.count_distinct(F.when(~ok, day_of())).alias("removed_days"), *risk_stats("base_"), *risk_stats("acc_", ok), *risk_stats("rem_", ~ok),
     )
+    out = out.join(group_quantiles(x, key, of), key)
     return (
         out.withColumn("n_removed", F.col("n_baseline") - F.col("n_accepted"))
         .withColumn("retention_rate", F.col("n_accepted") / F.col("n_baseline"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketflow.functions.quantiles import group_quantiles
 from marketflow.operators import asof
 from marketflow.operators import order_events as o
 from marketflow.registry import query, view
@@ -95,8 +96,8 @@ def window_counts(spark, sf_dir):
 def cadence_stats(spark, sf_dir):
     """Gaps between snapshots."""
     b = a.book(spark, sf_dir).withColumn("d", F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("symbol").orderBy("ts_ms", "snap_id")))
-    q = F.percentile("d", F.array(*map(F.lit, [0.25, 0.5, 0.99])))
-    return b.groupBy("symbol").agg(F.count("d").alias("n"), F.avg("d").alias("mean_gap"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p99"))
+    gaps = b.groupBy("symbol").agg(F.count("d").alias("n"), F.avg("d").alias("mean_gap"))
+    return gaps.join(group_quantiles(b, ["symbol"], {"p25": (F.col("d"), 0.25), "p50": (F.col("d"), 0.5), "p99": (F.col("d"), 0.99)}), "symbol", "left")
 
 
 _LV = ", ".join(f"coalesce(max({s}{q}) filter (i = {i}), 0) as {s}{i}_{'qty' if q else 'price'}" for s in ("bid", "ask") for i in range(1, 11) for q in ("", "_qty"))

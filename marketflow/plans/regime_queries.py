@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketflow.functions.quantiles import group_quantiles
 from marketflow.operators import regime as r
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
+from marketflow.sources.shared import written
 
 H = a.HOUR_MS
 HORIZONS = {"1": 1, "6": 6, "24": 24}
@@ -195,7 +197,9 @@ def overlay_scorecard(spark, sf_dir):
 @query("symbol_toxicity", "select symbol, count(*) as n_obs, avg(toxicity_score) as mean_toxicity, quantile_cont(toxicity_score, 0.95) as p95_toxicity, max(toxicity_score) as max_toxicity from state group by all", ["state"], "mean_toxicity p95_toxicity max_toxicity")
 def symbol_toxicity(spark, sf_dir):
     """Toxicity by symbol."""
-    return state(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n_obs"), F.avg("toxicity_score").alias("mean_toxicity"), F.percentile("toxicity_score", F.lit(0.95)).alias("p95_toxicity"), F.max("toxicity_score").alias("max_toxicity"))
+    x = written(state(spark, sf_dir))
+    out = x.groupBy("symbol").agg(F.count("*").alias("n_obs"), F.avg("toxicity_score").alias("mean_toxicity"), F.max("toxicity_score").alias("max_toxicity"))
+    return out.join(group_quantiles(x, ["symbol"], {"p95_toxicity": (F.col("toxicity_score"), 0.95)}), "symbol")
 
 
 @query("hour_toxicity", f"select bucket_start_ms // {H} % 24 as hour, count(*) as n_obs, avg(toxicity_score) as mean_toxicity, avg(avg_spread_bps) as mean_spread_bps from state group by all", ["state"], "mean_toxicity mean_spread_bps")
