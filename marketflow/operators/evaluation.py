@@ -199,3 +199,43 @@ def nonfinite_attribution(rows: DataFrame, keys: list[str], columns: list[str],
     x = long.groupBy(*keys, "feature").agg(F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col(position))).alias("first_bad"), F.max(F.when(bad, F.col(position))).alias("last_bad"), F.min(position).alias("__first"))
     run = F.col("last_bad") - F.col("first_bad") + 1 == F.col("bad")
     return x.where("bad > 0").withColumn("pattern", F.when(run & (F.col("first_bad") == F.col("__first")), "prefix").when(run, "clustered").otherwise("scattered")).drop("__first")
+
+
+def min_positive(rows: DataFrame, by: str, label: str, least: int) -> DataFrame:
+    """Rows of keys with at least `least` positive labels."""
+    enough = rows.groupBy(by).agg(F.sum(label).alias("__p")).where(F.col("__p") >= least)
+    return rows.join(enough.select(by), by, "left_semi")
+
+
+def confidence_cells(rows: DataFrame, by: list[str], fees_bps: float = 4.0) -> DataFrame:
+    """Per cell, such as (symbol, horizon, quintile): accuracy with its lower bound at two deviations, signed and absolute edge,
+    cost of a round trip, headroom, and whether it is tradeable. rows: correct (0, 1), edge_bps, slip_avg_bps."""
+    c = F.col
+    known = lambda x: F.when(c("edge_bps").isNotNull(), x)
+    x = rows.groupBy(*by).agg(
+        F.count("*").alias("n_windows"), F.avg("correct").alias("accuracy"), F.avg(known((c("correct") * 2 - 1) * F.abs("edge_bps"))).alias("mean_signed_return_bps"), F.avg(F.abs("edge_bps")).alias("mean_abs_edge_bps"), F.avg(known(F.abs("slip_avg_bps"))).alias("mean_slip_bps"),
+    )
+    x = x.withColumn("lower_bound", F.greatest(F.lit(0.0), c("accuracy") - F.sqrt(c("accuracy") * (1 - c("accuracy")) / c("n_windows")) * 2))
+    x = x.withColumns({"gross_round_trip_bps": (c("accuracy") * 2 - 1) * c("mean_abs_edge_bps"), "cost_round_trip_bps": c("mean_slip_bps") * 2 + 2 * fees_bps})
+    x = x.withColumn("headroom_bps", c("gross_round_trip_bps") - c("cost_round_trip_bps"))
+    return x.withColumn("tradeable", F.coalesce((c("accuracy") > 0.55) & (c("lower_bound") > 0.51) & (c("headroom_bps") > 0), F.lit(False)))
+
+
+def feasibility_cells(rows: DataFrame, by: list[str], accuracies: list[float], fees_bps: float = 4.0) -> DataFrame:
+    """Per (symbol, size, horizon): share of fillable windows, quantiles of slippage, edge and headroom, and of the headroom at each
+    accuracy with its positive share. rows: fillable, slip_avg_bps, edge_bps. Names carry the accuracy in thousandths."""
+    slip, edge = F.col("slip_avg_bps"), F.col("edge_bps")
+    rooms = {"": headroom(edge, slip, fees_bps), **{f"_{round(a * 1000)}": headroom(edge, slip, fees_bps, a) for a in accuracies}}
+    x = rows.withColumns({f"room{s}": F.when(F.col("fillable"), r) for s, r in rooms.items()})
+    wanted = {"slip_median_bps": (slip, 0.5), "slip_p90_bps": (slip, 0.9), "edge_median_bps": (edge, 0.5), "edge_p75_bps": (edge, 0.75), "edge_p90_bps": (edge, 0.9)}
+    for s in rooms:
+        wanted |= {f"headroom{s}_{n}_bps": (F.col(f"room{s}"), q) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+    shares = [F.avg((F.col(f"room{s}") > 0).cast("double")).alias(f"frac_pos{s}") for s in rooms]
+    out = x.groupBy(*by).agg(F.count("*").alias("n_windows"), F.count("room").alias("n_fillable_with_edge"), F.avg(F.col("fillable").cast("double")).alias("fillable_frac"), *shares)
+    return out.join(group_quantiles(x, by, wanted), by, "left")
+
+
+def survivors(cells: DataFrame, by: list[str], accuracies: list[float], share: float = 0.5, least_bps: float = 0.0) -> DataFrame:
+    """by, accuracy, headroom_median_bps, frac_pos of the cells that pass both thresholds at an accuracy."""
+    each = F.array(*[F.struct(F.lit(a).alias("accuracy"), F.col(f"headroom_{round(a * 1000)}_median_bps").alias("headroom_median_bps"), F.col(f"frac_pos_{round(a * 1000)}").alias("frac_pos")) for a in accuracies])
+    return cells.select(*by, F.explode(each).alias("a")).select(*by, "a.*").where((F.col("frac_pos") > share) & (F.col("headroom_median_bps") > least_bps))

@@ -377,3 +377,58 @@ def synthetic_cascades(spark, sf_dir):
     x = v.forward_log_return(_sc(spark, sf_dir), ["symbol", "day"], ["event_ts_ms", "id"], "ret", [3]).withColumn("m", F.abs("fwd_3")).withColumnRenamed("day", "session")
     x = o.rolling(x.select("symbol", "session", "id", "event_ts_ms", "m"), {"q": ("m", 0.9, 200, 40)}, ["event_ts_ms", "id"])
     return x.select("id", F.coalesce(F.col("m") > F.col("q"), F.lit(False)).cast("int").alias("label"))
+
+
+@query("min_positive", "select symbol, count(*) as n from sc where symbol in (select symbol from sc group by symbol having sum(label) >= 500) group by symbol", ["sc"])
+def min_positive(spark, sf_dir):
+    """Symbols with enough positive labels."""
+    return v.min_positive(_sc(spark, sf_dir), "symbol", "label", 500).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(
+    "confidence_cells",
+    """select *, gross_round_trip_bps - cost_round_trip_bps as headroom_bps, coalesce(accuracy > 0.55 and lower_bound > 0.51 and gross_round_trip_bps - cost_round_trip_bps > 0, false) as tradeable from (
+    select *, greatest(0, accuracy - 2 * sqrt(accuracy * (1 - accuracy) / n_windows)) as lower_bound, (2 * accuracy - 1) * mean_abs_edge_bps as gross_round_trip_bps, 2 * 4.0::double + 2 * mean_slip_bps as cost_round_trip_bps from (
+    select symbol, score % 5 as quintile, count(*) as n_windows, avg(label) as accuracy, avg((2 * label - 1) * abs(e)) as mean_signed_return_bps, avg(abs(e)) as mean_abs_edge_bps, avg(case when e is not null then score / 10 end) as mean_slip_bps from (select *, case when score % 7 <> 0 then ret end as e from sc) group by all))""",
+    ["sc"],
+    "accuracy mean_signed_return_bps mean_abs_edge_bps mean_slip_bps lower_bound gross_round_trip_bps cost_round_trip_bps headroom_bps",
+)
+def confidence_cells(spark, sf_dir):
+    """Accuracy, edge, cost and headroom by cell."""
+    c = F.col
+    x = _sc(spark, sf_dir).select("symbol", (c("score") % 5).alias("quintile"), c("label").alias("correct"), F.when(c("score") % 7 != 0, c("ret")).alias("edge_bps"), (c("score") / 10).alias("slip_avg_bps"))
+    return v.confidence_cells(x, ["symbol", "quintile"])
+
+
+view("feas", "select symbol, size, horizon, fillable, case when fillable then score / 10 * size end as slip_avg_bps, case horizon when 5 then f5 else f20 end as edge_bps from (select symbol, size, score, score >= 20 * size as fillable, lead(c, 5) over w - c as f5, lead(c, 20) over w - c as f20 from fw, (values (1), (3)) z(size) window w as (partition by account, size order by event_ts_ms, id)), (values (5), (20)) h(horizon)", ["fw"])
+_ACC = [0.55, 0.6]
+_ROOM = lambda a: f"case when fillable then (2 * {a}::double - 1) * abs(edge_bps) - (2 * 4.0::double + 2 * abs(slip_avg_bps)) end"
+_RQ = lambda s, a: ", ".join([f"quantile_cont({_ROOM(a)}, {q}) as headroom{s}_{n}_bps" for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))] + [f"avg(({_ROOM(a)} > 0)::int::double) as frac_pos{s}"])
+view(
+    "cells",
+    f"""select symbol, size, horizon, count(*) as n_windows, count({_ROOM(1.0)}) as n_fillable_with_edge, avg(fillable::int::double) as fillable_frac, quantile_cont(slip_avg_bps, 0.5) as slip_median_bps, quantile_cont(slip_avg_bps, 0.9) as slip_p90_bps, quantile_cont(edge_bps, 0.5) as edge_median_bps, quantile_cont(edge_bps, 0.75) as edge_p75_bps, quantile_cont(edge_bps, 0.9) as edge_p90_bps,
+    {_RQ('', 1.0)}, {', '.join(_RQ(f'_{round(a * 1000)}', a) for a in _ACC)} from feas group by all""",
+    ["feas"],
+)
+_CELLS = ["fillable_frac", "slip_median_bps", "slip_p90_bps", "edge_median_bps", "edge_p75_bps", "edge_p90_bps", *[f"headroom{s}_{n}_bps" for s in ("", "_550", "_600") for n in ("median", "p75", "p90")], "frac_pos", "frac_pos_550", "frac_pos_600"]
+
+
+def _cells(spark, sf_dir):
+    x = v.forward_log_return(_sc(spark, sf_dir), ["account"], ["event_ts_ms", "id"], "ret", [5, 20])
+    x = x.withColumn("size", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20))))
+    c = F.col
+    x = x.withColumn("fillable", c("score") >= c("size") * 20)
+    x = x.withColumns({"slip_avg_bps": F.when(c("fillable"), c("score") / 10 * c("size")), "edge_bps": F.when(c("horizon") == 5, c("fwd_5")).otherwise(c("fwd_20"))})
+    return v.feasibility_cells(x, ["symbol", "size", "horizon"], _ACC)
+
+
+@query("feasibility_cells", "select * from cells", ["cells"], " ".join(_CELLS))
+def feasibility_cells(spark, sf_dir):
+    """Fill rates, costs, edges and headroom by symbol, size and horizon."""
+    return _cells(spark, sf_dir)
+
+
+@query("survivors", " union all ".join(f"select symbol, size, horizon, {a}::double as accuracy, headroom_{round(a * 1000)}_median_bps as headroom_median_bps, frac_pos_{round(a * 1000)} as frac_pos from cells where frac_pos_{round(a * 1000)} > 0.2 and headroom_{round(a * 1000)}_median_bps > -30" for a in _ACC), ["cells"], "headroom_median_bps frac_pos")
+def survivors(spark, sf_dir):
+    """Cells that pass thresholds at an accuracy."""
+    return v.survivors(_cells(spark, sf_dir), ["symbol", "size", "horizon"], _ACC, 0.2, -30.0)

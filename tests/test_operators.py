@@ -6,12 +6,17 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from marketflow.functions.quantiles import group_quantiles
 from marketflow.functions.ranks import mean_rank_share
 from marketflow.functions.running import running
 from marketflow.operators import asof
+from marketflow.operators import event_features as ef
+from marketflow.operators import folds as fo
 from marketflow.operators import order_events as o
 from marketflow.operators import regime as r
 from marketflow.operators import studies as s
+from marketflow.operators import window_studies as ws
+from marketflow.sources import manifests as m
 from marketflow.sources import raw
 
 
@@ -138,3 +143,61 @@ def test_dedup_ignores_the_side(spark):
     assert sorted((x.qty, x.side) for x in kept.collect()) == [(2.0, "open_long"), (3.0, "open_long")]
     event = o.order_events(kept).first()
     assert (event.total_qty, event.vwap, event.n_fills, event.is_open_frac) == (5.0, 5.0, 2, 1.0)
+
+
+def test_group_quantiles_interpolate_and_leave_out_nulls(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 9)] + [("b", None), ("b", 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: (x.low, x.mid) for x in group_quantiles(df, ["k"], {"low": (F.col("v"), 0.25), "mid": (F.col("v"), 0.5)}, bins=3).collect()}
+    assert got == {"a": (1.0, 3.0), "b": (2.0, 2.0)}
+
+
+def test_bools_times_and_listings(spark):
+    df = spark.createDataFrame([(" Yes",), ("0",), (None,), ("maybe",)], "v string")
+    assert [x[0] for x in df.select(m.parse_bool(F.col("v"))).collect()] == [True, False, False, None]
+    times = spark.createDataFrame([("2026-01-02T03:04:05Z",), ("2026-01-02",), ("soon",)], "v string")
+    assert [str(x[0]) for x in times.select(m.parse_time(F.col("v"))).collect()] == ["2026-01-02 03:04:05", "2026-01-02 00:00:00", "None"]
+    lines = spark.createDataFrame([("a/;0;x",), ("a/b.gz;7;2026-01-02",), (" ",)], "value string")
+    assert [(x.key, x.size_bytes) for x in m.parse_listing(lines, "p/").collect()] == [("p/a/b.gz", 7)]
+    with pytest.raises(Exception, match="malformed line"):
+        m.parse_listing(spark.createDataFrame([("a;1",)], "value string")).collect()
+
+
+def test_guards_raise(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 3), ("a", 9)], "symbol string, session int")
+    assert ef.holdout_guard(rows, 10).count() == 2 and ef.holdout_guard(rows, 9, consume=True).count() == 2
+    with pytest.raises(Exception, match="held out"):
+        ef.holdout_guard(rows, 9).collect()
+    with pytest.raises(ValueError):
+        ef.filter_taker(rows)
+    with pytest.raises(ValueError):
+        m.write_incremental(rows, rows, "/x/", ["symbol"], "/x")
+    with pytest.raises(ValueError, match="missing"):
+        m.required_columns(rows, ["symbol", "price"])
+    costs = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "symbol string, cost double")
+    with pytest.raises(Exception, match="unique"):
+        ws.attach_cost(rows, costs, ["symbol"]).collect()
+
+
+def test_folds_keep_the_embargo_and_short_keys_give_none(spark):
+    n = spark.createDataFrame([("a", 100), ("b", 30)], "k string, n long")
+    got = sorted((x.fold, x.role, x.first, x.last) for x in fo.walk_forward_folds(n, ["k"], 2, 10, 40, 20).collect())
+    assert got == [(0, "test", 50, 74), (0, "train", 0, 39), (1, "test", 75, 99), (1, "train", 0, 64)]
+    days = spark.createDataFrame([(d,) for d in range(7)], "day int")
+    assert [x.fold for x in fo.day_folds(days, "day", 3).orderBy("day").collect()] == [0, 0, 0, 1, 1, 2, 2]
+
+
+def test_touch_counts_both_ends_of_the_horizon(spark):
+    anchors = spark.createDataFrame([("a", 10, 1.0, 9.0), ("a", 30, 1.0, 9.0)], "k string, ts_ms long, bid_limit double, ask_limit double")
+    quotes = spark.createDataFrame([("a", 9, 9.5, 0.5), ("a", 20, 3.0, 1.0), ("a", 41, 9.5, 0.5)], "k string, ts_ms long, best_bid double, best_ask double")
+    got = {x.ts_ms: (x.bid_filled, x.ask_filled) for x in ws.touched(anchors, quotes, ["k"], 10).collect()}
+    assert got == {10: (True, False), 30: (False, False)}
+
+
+def test_messages_with_keys_that_differ_by_case(spark):
+    data = '{"s":"X","b":"1.0","B":"2","a":"3.0","A":"4","i":5,"li":6,"t":7}'.replace('"', '\\"')
+    lines = spark.createDataFrame([(f'{{"recv_ms":1,"event_ts_ms":7,"channel":"bbo","symbol":"X","data":"{data}"}}',)], "value string")
+    row = raw.normalize_bbo(lines).first()
+    assert (row.bid_px, row.bid_qty, row.ask_px, row.ask_qty, row.mid, row.order_id) == (1.0, 2.0, 3.0, 4.0, 2.0, 5)
+    schema = m.describe_schema(lines).first()
+    assert (schema.position, schema.name, schema.type) == (0, "value", "string")
