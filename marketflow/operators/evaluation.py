@@ -139,7 +139,7 @@ def burst_metrics(burst_bps: Column, forward: Column, cost_bps: float) -> dict[s
 
 def stress_score(trades: Column, spread: Column, change: Column, basis: Column) -> Column:
     """A capped sum; what is null adds nothing."""
-    part = lambda x, cap: F.coalesce(F.least(x / 100, F.lit(cap)), F.lit(0.0))
+    part = lambda x, cap: F.least(F.coalesce(x / 100, F.lit(0.0)), F.lit(cap))  # noqa: E731  least() passes over nulls
     return part(trades, 2.0) + part(F.greatest(spread, F.lit(0.0)), 5.0) + part(F.abs(change), 5.0) + part(F.abs(basis), 5.0)
 
 

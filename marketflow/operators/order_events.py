@@ -88,7 +88,8 @@ def trade_features(events: DataFrame, width: int = WIDTH, span: int = LENGTH) ->
     quantity and |return|. prev_seq_time_span: log of the time that the `span` events before took.
     """
     w = ordered("ts_ms")
-    ret = F.coalesce(F.log(F.col("vwap") / F.greatest(F.lag("vwap").over(w), F.lit(1e-6))), F.lit(0.0))
+    was = F.lag("vwap").over(w)
+    ret = F.when(was.isNull(), 0.0).otherwise(F.log(F.col("vwap") / F.greatest(was, F.lit(1e-6))))  # greatest() passes over nulls
     gap, taken = F.col("ts_ms") - F.lag("ts_ms").over(w), F.lag("ts_ms").over(w) - F.lag("ts_ms", span).over(w)
     x = events.withColumns({"log_return": ret, "time_delta": F.log(F.coalesce(gap, F.lit(0)) + 1.0), "prev_seq_time_span": F.coalesce(F.log(taken + 1.0), F.lit(0.0))})
     x = x.withColumns({"abs_return": F.abs("log_return"), "log_qty": F.log(F.greatest("total_qty", F.lit(1e-6))), "first_event": F.lag("ts_ms").over(w).isNull()})

@@ -238,7 +238,7 @@ def burst_outcomes(spark, sf_dir):
     return x.select("id", *[c.alias(n) for n, c in v.burst_metrics(F.col("ret"), F.col("fwd_5") / 10_000, 8.0).items()])
 
 
-@query("stress_scores", "select id, least(score / 100.0::double, 2) + least(greatest(ret, 0) / 100, 5) + coalesce(least(abs(case when score % 7 <> 0 then ret end) / 100, 5), 0) + least(abs(proba) / 100, 5) as stress from sc", ["sc"], "stress")
+@query("stress_scores", "select id, least(score / 100.0::double, 2) + least(greatest(ret, 0) / 100, 5) + least(coalesce(abs(case when score % 7 <> 0 then ret end) / 100, 0), 5) + least(abs(proba) / 100, 5) as stress from sc", ["sc"], "stress")
 def stress_scores(spark, sf_dir):
     """A capped sum of four signs of stress."""
     c = F.col

@@ -63,7 +63,7 @@ view(
     case when first_ then 0 else least(greatest(log_total_qty - ln(abs_return / greatest(median_return, 1e-10::double) + 1e-6::double), -5), 5) end as effort_vs_result,
     least(greatest(least((log_qty - avg(log_qty) {FR}) / greatest(coalesce(stddev_samp(log_qty) {FR}, 0), 0.1), (abs_return - avg(abs_return) {FR}) / greatest(coalesce(stddev_samp(abs_return) {FR}, 0), 0.1)), 0), 5) as climax_score
     from (select *, ln(total_qty / greatest(quantile_cont(total_qty, 0.5) {FR}, 1e-6::double)) as log_total_qty, quantile_cont(abs_return, 0.5) {FR} as median_return, ln(greatest(total_qty, 1e-6::double)) as log_qty from (
-    select *, abs(log_return) as abs_return from (select *, coalesce(ln(vwap / greatest(lag(vwap) over ({W}), 1e-6::double)), 0) as log_return, lag(ts_ms) over ({W}) is null as first_,
+    select *, abs(log_return) as abs_return from (select *, case when lag(vwap) over ({W}) is null then 0 else ln(vwap / greatest(lag(vwap) over ({W}), 1e-6::double)) end as log_return, lag(ts_ms) over ({W}) is null as first_,
     ln(coalesce(ts_ms - lag(ts_ms) over ({W}), 0) + 1.0::double) as time_delta, coalesce(ln(lag(ts_ms) over ({W}) - lag(ts_ms, 200) over ({W}) + 1.0::double), 0) as prev_seq_time_span from lined)))""",
     ["lined"],
 )

@@ -10,6 +10,7 @@ from marketflow.functions.quantiles import group_quantiles
 from marketflow.functions.ranks import mean_rank_share
 from marketflow.functions.running import running
 from marketflow.operators import asof
+from marketflow.operators import evaluation as ev
 from marketflow.operators import event_features as ef
 from marketflow.operators import folds as fo
 from marketflow.operators import order_events as o
@@ -201,3 +202,9 @@ def test_messages_with_keys_that_differ_by_case(spark):
     assert (row.bid_px, row.bid_qty, row.ask_px, row.ask_qty, row.mid, row.order_id) == (1.0, 2.0, 3.0, 4.0, 2.0, 5)
     schema = m.describe_schema(lines).first()
     assert (schema.position, schema.name, schema.type) == (0, "value", "string")
+
+
+def test_what_is_null_adds_no_stress(spark):
+    df = spark.createDataFrame([(100, 50.0, None, None), (900, None, -2000.0, 10.0)], "t long, s double, c double, b double")
+    got = [x[0] for x in df.select(ev.stress_score(F.col("t"), F.col("s"), F.col("c"), F.col("b"))).collect()]
+    assert got == pytest.approx([1.5, 7.1])
