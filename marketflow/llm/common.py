@@ -73,3 +73,14 @@ def train_fold(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def crc32_table_sql() -> str:
+    """DuckDB SQL of one row: the CRC of every byte, by its rule."""
+    return "select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC of an expression's UTF-8 bytes, with t of crc32_table_sql()."""
+    digits = f"list_transform(range(length(hex(encode({text}))) // 2), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1])), 4294967295)"
