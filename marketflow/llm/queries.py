@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, resampling, suffix_dedup, token_files
+from marketflow.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, pieces, prefix_trie, quality_model, resampling, suffix_dedup, token_files, top_k
 from marketflow.llm import quality_rules as rules
 from marketflow.llm.common import documents, table
 
@@ -58,6 +58,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(documents(spark, sf_dir))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -73,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_dedup, op2_quality_model, op3_sentencepiece, op4_language_id, op5_line_dedup, op6_quality_rules, op7_token_files, op8_mixing, op9_suffix_dedup, op10_fingerprints, op12_resampling, op13_prefix_trie]
+    found = [op1_near_dedup, op2_quality_model, op3_sentencepiece, op4_language_id, op5_line_dedup, op6_quality_rules, op7_token_files, op8_mixing, op9_suffix_dedup, op10_fingerprints, op11_top_k, op12_resampling, op13_prefix_trie]
     return {**{f.__name__: f for f in found}, "pipeline": pipeline}
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL, "op10_fingerprints": fingerprints.SQL, "op12_resampling": resampling.SQL, "op13_prefix_trie": prefix_trie.SQL}
+    return {"op8_mixing": mixing.SQL, "op10_fingerprints": fingerprints.SQL, "op11_top_k": top_k.SQL, "op12_resampling": resampling.SQL, "op13_prefix_trie": prefix_trie.SQL}
