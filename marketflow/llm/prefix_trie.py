@@ -164,7 +164,8 @@ def sketch(rows: DataFrame, bits: int) -> np.ndarray:
     found = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, several binary")
     out = np.zeros((2 << bits) // 8, np.uint8)
     for r in found.collect():  # a fixed number of bits
-        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.several, np.uint8)
+        part = out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8]
+        part[:] = np.frombuffer(r.several, np.uint8)[: len(part)]
     return out
 
 
