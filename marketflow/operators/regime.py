@@ -43,28 +43,32 @@ def _last(value: str, spot: Column) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), spot))
 
 
-def regime_bars(bbo: DataFrame, trades: DataFrame, prices: DataFrame, size_ms: int = 60_000) -> DataFrame:
+def regime_bars(bbo: DataFrame, trades: DataFrame, prices: DataFrame, size_ms: int = 60_000, late: str | None = None) -> DataFrame:
     """One row per (symbol, bucket) of any channel: the channels are stacked and aggregated once, without joins.
 
     Counts and sums of a channel that a bucket lacks are null. First and last values skip nulls and order by event
-    time, then receipt time, then id.
+    time, then receipt time, then id. late: the delay of the watermark, for streams.
     """
     liq = is_liquidation(trades.columns)
     stacked = (
-        bbo.select("symbol", bucket(size_ms), F.lit("bbo").alias("ch"), F.struct("event_ts_ms", "recv_ms", "last_order_id").alias("spot"), "spread_bps", "top_bid_notional", "top_ask_notional", "mid", "last_order_id")
+        bbo.select("symbol", bucket(size_ms), "event_ts_ms", F.lit("bbo").alias("ch"), F.struct("event_ts_ms", "recv_ms", "last_order_id").alias("spot"), "spread_bps", "top_bid_notional", "top_ask_notional", "mid", "last_order_id")
         .unionByName(
-            trades.select("symbol", bucket(size_ms), F.lit("trades").alias("ch"), "qty", "signed_qty", "notional", liq.cast("long").alias("liq"), F.when(liq, F.col("notional")).otherwise(0.0).alias("liq_notional")),
+            trades.select("symbol", bucket(size_ms), "event_ts_ms", F.lit("trades").alias("ch"), "qty", "signed_qty", "notional", liq.cast("long").alias("liq"), F.when(liq, F.col("notional")).otherwise(0.0).alias("liq_notional")),
             allowMissingColumns=True,
         )
         .unionByName(
-            prices.select("symbol", bucket(size_ms), F.lit("prices").alias("ch"), F.struct("event_ts_ms", "recv_ms", F.lit(0).cast("long").alias("last_order_id")).alias("spot"), "mark_oracle_basis_bps", "funding", "open_interest"),
+            prices.select("symbol", bucket(size_ms), "event_ts_ms", F.lit("prices").alias("ch"), F.struct("event_ts_ms", "recv_ms", F.lit(0).cast("long").alias("last_order_id")).alias("spot"), "mark_oracle_basis_bps", "funding", "open_interest"),
             allowMissingColumns=True,
         )
     )
     spot = F.col("spot")
     rows = lambda ch: F.nullif(F.count(F.when(F.col("ch") == ch, 1)), F.lit(0))
     minutes = size_ms / 60_000
-    bars = stacked.groupBy(*KEY).agg(
+    keys = KEY
+    if late:
+        stacked = stacked.withColumn("seen", F.timestamp_millis("event_ts_ms")).withWatermark("seen", late)
+        keys = ["symbol", F.window("seen", f"{size_ms} milliseconds").alias("window")]
+    bars = stacked.groupBy(*keys).agg(
         rows("bbo").alias("bbo_updates"),
         F.avg("spread_bps").alias("avg_spread_bps"),
         F.max("spread_bps").alias("max_spread_bps"),
@@ -84,6 +88,8 @@ def regime_bars(bbo: DataFrame, trades: DataFrame, prices: DataFrame, size_ms: i
         _last("open_interest", spot).alias("open_interest"),
         rows("prices").alias("price_updates"),
     )
+    if late:
+        bars = bars.withColumn("bucket_start_ms", F.unix_millis("window.start")).drop("window")
     return (
         bars.withColumn("mid_return_bps", F.when(F.col("first_mid") != 0, (F.col("last_mid") / F.col("first_mid") - 1) * 10_000))
         .withColumn("bbo_churn_per_min", F.col("bbo_updates") / minutes)

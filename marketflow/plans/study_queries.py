@@ -11,7 +11,6 @@ from marketflow.registry import query, view
 from marketflow.sources import adapters as a
 from marketflow.sources import raw
 from marketflow.sources.shared import shared
-from marketflow.streaming import bars as st
 
 
 view("refbars", "select symbol, event_ts_ms // 3600000 * 3600000 as bucket_start_ms, arg_max(price, (event_ts_ms, history_id)) as reference_mid, avg(qty) / 1e6 as reference_funding from trades where user_id % 2 = 1 group by all", ["trades"])
@@ -298,104 +297,3 @@ def channel_quality(spark, sf_dir):
     """Rows, symbols, time range and repeats by channel."""
     cols = lambda df, name: df.select("symbol", "event_ts_ms", F.lit(name).alias("channel"))
     return raw.channel_quality(cols(a.trades(spark, sf_dir), "trades").unionByName(cols(a.bbo(spark, sf_dir), "bbo")))
-
-
-def _stream(spark, df):
-    """A table as a file stream, and a folder for its output."""
-    path = shared(spark)
-    df.write.parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
-
-
-@query(
-    "stream_bars",
-    "select symbol, bucket_start_ms, trade_count, trade_qty, trade_notional, liquidation_count, bucket_start_ms + 3600000 <= (select max(event_ts_ms) from trades) - 86400000 as is_final from bars where trade_count is not null",
-    ["bars", "trades"],
-    "trade_qty trade_notional",
-)
-def stream_bars(spark, sf_dir):
-    """Hourly bars as a stream: final ones once a day's watermark has closed them, later ones as provisional."""
-    t = a.trades(spark, sf_dir)
-    x, path = _stream(spark, t)
-    return st.with_provisional(st.run_to_table(st.stream_bars(x, late="1 day"), f"{path}/out", f"{path}/ckpt"), t, a.HOUR_MS)
-
-
-@query("stream_batch_parity", "select unnest(['trade_count', 'trade_qty', 'trade_notional']) as name, (select count(*) from bars where trade_count is not null) as compared, 0::bigint as different", ["bars"])
-def stream_batch_parity(spark, sf_dir):
-    """The stream's bars against the batch's, number by number."""
-    live = stream_bars(spark, sf_dir)
-    return s.parity(live, _bars(spark, sf_dir).where("trade_count is not null"), ["symbol", "bucket_start_ms"], ["trade_count", "trade_qty", "trade_notional"], 1e-6)
-
-
-@query(
-    "stream_sliding_bars",
-    "select symbol, w as bucket_start_ms, count(*) as trade_count, sum(qty) as trade_qty from (select *, unnest([event_ts_ms // 3600000 * 3600000, event_ts_ms // 3600000 * 3600000 - 3600000]) as w from trades) where w + 7200000 <= (select max(event_ts_ms) from trades) - 86400000 group by all",
-    ["trades"],
-    "trade_qty",
-)
-def stream_sliding_bars(spark, sf_dir):
-    """Two-hour bars every hour."""
-    x, path = _stream(spark, a.trades(spark, sf_dir))
-    return st.run_to_table(st.stream_bars(x, "2 hours", "1 hour", "1 day"), f"{path}/out", f"{path}/ckpt").select("symbol", "bucket_start_ms", "trade_count", "trade_qty")
-
-
-@query("stream_dedup", "select symbol, history_id, event_ts_ms, qty from trades", ["trades"], "qty")
-def stream_dedup(spark, sf_dir):
-    """S3: a stream in which a third of the rows comes twice."""
-    t = a.trades(spark, sf_dir)
-    x, path = _stream(spark, t.unionByName(t.where("history_id % 3 = 0")))
-    return st.run_to_table(st.stream_dedup(x, ["symbol", "history_id"], "60 days").drop("ts"), f"{path}/out", f"{path}/ckpt").select("symbol", "history_id", "event_ts_ms", "qty")
-
-
-@query(
-    "stream_bursts",
-    """select symbol, count(*) as n_trades, sum(qty) as qty, min(event_ts_ms) as start_ms, max(event_ts_ms) as end_ms from (select *, sum(n) over (partition by symbol order by event_ts_ms, history_id) as b from
-    (select *, coalesce((event_ts_ms - lag(event_ts_ms) over (partition by symbol order by event_ts_ms, history_id) >= 3600000)::int, 0) as n from trades where trade_class = 'liquidation')) group by symbol, b
-    having count(*) >= 2 and max(event_ts_ms) + 3600000 <= (select max(event_ts_ms) from trades where trade_class = 'liquidation') - 86400000""",
-    ["trades"],
-    "qty",
-)
-def stream_bursts(spark, sf_dir):
-    """Bursts of liquidations as session windows."""
-    x, path = _stream(spark, a.trades(spark, sf_dir))
-    return st.run_to_table(st.stream_bursts(x, "1 hour", "1 day"), f"{path}/out", f"{path}/ckpt")
-
-
-@query("stream_latest", "select symbol, count(*) as n, max(event_ts_ms) as event_ts_ms, arg_max(price, (event_ts_ms, history_id)) as price, arg_max(qty, (event_ts_ms, history_id)) as qty from trades group by symbol", ["trades"], "price qty")
-def stream_latest(spark, sf_dir):
-    """The newest trade of each symbol, kept up to date."""
-    x, path = _stream(spark, a.trades(spark, sf_dir))
-    return st.run_latest(st.stream_latest(x, ["price", "qty"]), f"{path}/out", f"{path}/ckpt")
-
-
-@query(
-    "stream_staleness",
-    "select symbol, (select max(event_ts_ms) from trades) - m as age_ms, case when m is null then 'missing' when (select max(event_ts_ms) from trades) - m > 600000 then 'stale' else 'fresh' end as state from (select distinct symbol from trades) left join (select symbol, max(event_ts_ms) as m from trades where symbol <> 'signup' group by symbol) using (symbol)",
-    ["trades"],
-)
-def stream_staleness(spark, sf_dir):
-    """Which symbols have been silent for ten minutes, or always."""
-    t = a.trades(spark, sf_dir)
-    x, path = _stream(spark, t.where("symbol <> 'signup'"))
-    latest = st.run_latest(st.stream_latest(x, ["price"]), f"{path}/out", f"{path}/ckpt")
-    return st.staleness(latest, t.agg(F.max("event_ts_ms")).first()[0] or 0, 600_000, t)
-
-
-@query("stream_silver", "select event_ts_ms, event_ts_ms + event_id % 50 as recv_ms, event_type as symbol, px + k / 100::double as high, k as trade_count from px", ["px"], "high")
-def stream_silver(spark, sf_dir):
-    """Raw lines normalised as they arrive."""
-    x, path = _stream(spark, a.raw_lines(spark, sf_dir))
-    return st.run_to_table(raw.dispatch(x)["candle"], f"{path}/out", f"{path}/ckpt").select("event_ts_ms", "recv_ms", "symbol", "high", "trade_count")
-
-
-@query(
-    "stream_governor",
-    "select symbol, bucket_start_ms, case when trade_count < 3 or trade_notional < 500 then 'SKIP_STALE_DATA' else 'SKIP_WIDE_SPREAD' end as governor_decision from bars where trade_count is not null and bucket_start_ms + 3600000 <= (select max(event_ts_ms) from trades) - 86400000",
-    ["bars", "trades"],
-)
-def stream_governor(spark, sf_dir):
-    """Decisions on a stream's bars; metrics that it lacks fail closed."""
-    x, path = _stream(spark, a.trades(spark, sf_dir))
-    bars = st.stream_bars(x, late="1 day").withColumns({"bbo_updates": F.lit(9), "price_updates": F.lit(9), **{c: F.lit(None).cast("double") for c in ("avg_spread_bps", "top_depth_notional", "toxicity_score", "mark_oracle_basis_abs_bps")}})
-    out = r.governor(bars, r.GovernorThresholds(min_trade_count=3, min_trade_notional=500))
-    return st.run_to_table(out.select("symbol", "bucket_start_ms", "governor_decision"), f"{path}/out", f"{path}/ckpt")

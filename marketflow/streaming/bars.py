@@ -1,4 +1,4 @@
-"""Structured Streaming variants: silver trades, tumbling and sliding bars, deduplication, bursts."""
+"""Structured Streaming variants: tumbling and sliding bars, deduplication, bursts, latest rows. They take batch tables as well, for what no watermark has closed."""
 
 from __future__ import annotations
 
@@ -34,14 +34,6 @@ def stream_bursts(trades: DataFrame, gap: str = "30 minutes", late: str = "1 hou
     return out.where("n_trades >= 2").drop("session_window")
 
 
-def with_provisional(final: DataFrame, trades: DataFrame, size_ms: int) -> DataFrame:
-    """Final bars, and those of windows that no watermark has closed yet, flagged: nothing that arrived is missing."""
-    liq = is_liquidation(trades.columns)
-    bars = trades.groupBy("symbol", F.expr(f"event_ts_ms div {size_ms} * {size_ms}").alias("bucket_start_ms")).agg(F.count("*").alias("trade_count"), F.sum("qty").alias("trade_qty"), F.sum("notional").alias("trade_notional"), F.sum(liq.cast("long")).alias("liquidation_count"))
-    rest = bars.join(final.select("symbol", "bucket_start_ms"), ["symbol", "bucket_start_ms"], "left_anti")
-    return final.withColumn("is_final", F.lit(True)).unionByName(rest.withColumn("is_final", F.lit(False)))
-
-
 def stream_latest(rows: DataFrame, value: list[str], late: str = "1 hour") -> DataFrame:
     """Per symbol: rows so far, and the newest row's values; for complete mode, a row a symbol of state."""
     newest = F.max_by(F.struct("event_ts_ms", *value), F.struct("event_ts_ms", "history_id")).alias("r")
@@ -52,16 +44,3 @@ def staleness(latest: DataFrame, now_ms: int, limit_ms: int, expected: DataFrame
     """symbol, age_ms, state: fresh, stale, or missing for an expected symbol without any row."""
     x = expected.select("symbol").distinct().join(latest.select("symbol", "event_ts_ms"), "symbol", "left").withColumn("age_ms", F.lit(now_ms) - F.col("event_ts_ms"))
     return x.select("symbol", "age_ms", F.when(F.col("age_ms").isNull(), "missing").when(F.col("age_ms") > limit_ms, "stale").otherwise("fresh").alias("state"))
-
-
-def run_latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream in complete mode over what is there; each batch replaces the table."""
-    put = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there, into Parquet, and reads that."""
-    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -19,6 +19,8 @@ from marketflow.operators import studies as s
 from marketflow.operators import window_studies as ws
 from marketflow.sources import manifests as m
 from marketflow.sources import raw
+from marketflow.streaming.asof import stream_asof
+from marketflow.streaming.replay import accepted, replay
 
 
 def test_asof_takes_the_last_at_or_before_and_the_first_at_or_after(spark):
@@ -208,3 +210,23 @@ def test_what_is_null_adds_no_stress(spark):
     df = spark.createDataFrame([(100, 50.0, None, None), (900, None, -2000.0, 10.0)], "t long, s double, c double, b double")
     got = [x[0] for x in df.select(ev.stress_score(F.col("t"), F.col("s"), F.col("c"), F.col("b"))).collect()]
     assert got == pytest.approx([1.5, 7.1])
+
+
+def test_stream_asof_over_restarts_with_late_rows_and_ties(spark, tmp_path):
+    e = [("a", 10_000, 1, 0), ("a", 25_000, 2, 0), ("a", 70_000, 3, 1), ("a", 200_000, 4, 2), ("b", 5_000, 5, 0), ("a", 20_000, 6, 1), ("a", 1_000, 7, 2), ("a", 90_000, 2**53 + 1, 1)]
+    q = [("a", 9_000, 1, 1.0, 0), ("a", 25_000, 2, 2.0, 0), ("a", 25_000, 3, 3.0, 1), ("a", 60_000, 4, None, 1), ("a", 195_000, 5, 5.0, 2), ("a", 69_000, 6, 6.0, 2), ("c", 1, 7, 7.0, 0), ("a", 300_000, 8, 8.0, 2)]
+    events = spark.createDataFrame(e, "symbol string, t long, id long, __slice int")
+    quotes = spark.createDataFrame(q, "symbol string, t long, tie long, mid double, __slice int")
+    out = replay({"e": events, "q": quotes}, str(tmp_path), lambda x: stream_asof(x["e"], x["q"], ["symbol"], "t", ["mid"], "tie", "30 seconds"))
+    got = {(r.symbol, r.t, r.id): (r.asof_time, r.mid) for r in out.collect()}
+    # the first run's newest time is 25 s, the second's 90 s: the mark stands at 60 s when the third starts, and at 270 s in the end
+    assert got == {
+        ("a", 10_000, 1): (9_000, 1.0), ("a", 20_000, 6): (9_000, 1.0), ("a", 25_000, 2): (25_000, 3.0), ("b", 5_000, 5): (None, None),
+        ("a", 70_000, 3): (69_000, 6.0), ("a", 90_000, 2**53 + 1): (69_000, 6.0), ("a", 200_000, 4): (195_000, 5.0),
+    }
+
+
+def test_accepted_drops_what_the_mark_has_passed(spark):
+    rows = spark.createDataFrame([(100, 0), (50, 1), (95, 1), (200, 1), (150, 2), (195, 2)], "t long, __slice int")
+    assert sorted(r.t for r in accepted(rows, rows, "t", 10).collect()) == [95, 100, 195, 200]
+    assert accepted(rows.where("false"), rows.where("false"), "t", 10).count() == 0
