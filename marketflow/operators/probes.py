@@ -82,7 +82,9 @@ def _groups(batch: pa.RecordBatch, role: str) -> Iterator[tuple[Key, np.ndarray]
     fold, code = folds.flatten().to_numpy(zero_copy_only=False), cells.indices.to_numpy(zero_copy_only=False)[at]
     order = np.lexsort((at, fold, code))
     at, fold, code = at[order], fold[order], code[order]
-    edges = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (fold[1:] != fold[:-1]))) if len(at) else np.zeros(0, np.int64)
+    if not len(at):
+        return
+    edges = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (fold[1:] != fold[:-1])))
     for a, b in zip(edges, np.append(edges[1:], len(at)), strict=True):
         yield (cells.dictionary[int(code[a])].as_py(), int(fold[a])), at[a:b]
 

@@ -9,6 +9,7 @@ from marketflow.operators import evaluation as v
 from marketflow.operators import event_features as ef
 from marketflow.operators import folds as fo
 from marketflow.operators import order_events as o
+from marketflow.operators import row_bootstrap as rb
 from marketflow.plans.feature_queries import event_table as features
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
@@ -432,3 +433,37 @@ def feasibility_cells(spark, sf_dir):
 def survivors(spark, sf_dir):
     """Cells that pass thresholds at an accuracy."""
     return v.survivors(_cells(spark, sf_dir), ["symbol", "size", "horizon"], _ACC, 0.2, -30.0)
+
+
+_X0 = "(id % 4294967296 * 2654435761 + r * 2246822519 + 5) % 4294967296"
+_X1 = f"(xor({_X0}, {_X0} >> 16)::hugeint * 2246822507 % 4294967296)::bigint"
+view("hashed", f"select id, score, label, proba, r, {_X1} as h from sc, range(1, 61) t(r)", ["sc"])
+view("hashed2", "select * exclude (h), (xor(h, h >> 13)::hugeint * 3266489909 % 4294967296)::bigint as h from hashed", ["hashed"])
+_STEPS = " + ".join(f"(u >= {c!r}::double)::int" for c in rb.STEPS.tolist())
+view("poisson", f"select id, score, label, proba, r, {_STEPS} as w from (select *, (xor(h, h >> 16) + 0.5::double) / 4294967296 as u from hashed2)", ["hashed2"])
+view(
+    "row_replicates",
+    """select r as replicate, positives, negatives, auc, (hits_0 / nullif(negatives, 0)::double + hits_1 / nullif(positives, 0)::double) / 2 as balanced_accuracy from (
+    select r, sum(p)::bigint as positives, sum(n)::bigint as negatives, sum(p * (b + n / 2.0::double)) / nullif(sum(p) * sum(n), 0)::double as auc from (select *, coalesce(sum(n) over (partition by r order by s rows between unbounded preceding and 1 preceding), 0) as b from
+    (select r, score / 100.0::double as s, sum(w * label) as p, sum(w * (1 - label)) as n from poisson group by all)) group by r)
+    join (select r, sum(w) filter (label = 0 and score / 100.0::double <= 0.5) as hits_0, sum(w) filter (label = 1 and score / 100.0::double > 0.5) as hits_1 from poisson group by r) using (r)""",
+    ["poisson"],
+)
+
+
+@query("row_bootstrap", "select * from row_replicates", ["row_replicates"], "auc balanced_accuracy")
+def row_bootstrap(spark, sf_dir):
+    """Replicates over rows, by Poisson weights."""
+    x = _sc(spark, sf_dir).withColumn("score", F.col("score") / 100)
+    return rb.replicate_auc(x, "id", "score", "label", 60, 5)
+
+
+@query(
+    "row_intervals",
+    """select metric, low, high, mean, n, case when low > 0.55 then 'STRONG' when low > 0.5 then 'ABOVE_CHANCE' when high < 0.5 then 'BELOW_CHANCE' else 'INDISTINGUISHABLE' end as tier from (select metric, quantile_cont(v, 0.025) as low, quantile_cont(v, 0.975) as high, avg(v) as mean, count(v) as n from (select unnest(['auc', 'balanced_accuracy']) as metric, unnest([auc, balanced_accuracy]) as v from row_replicates) group by metric)""",
+    ["row_replicates"],
+    "low high mean",
+)
+def row_intervals(spark, sf_dir):
+    """Bounds of both metrics over rows, and what they say."""
+    return rb.tiers(rb.interval(row_bootstrap(spark, sf_dir), ["auc", "balanced_accuracy"]))
