@@ -1,10 +1,10 @@
 """Line dedup (5): content-defined chunks of lines; chunks of several lines that repeat anywhere lose all but the first.
 
-A line ends after its line feed. Rolling hashes of the last `window` line hashes choose the bounds: a chunk begins at a line
-whose mixed hash falls on one of 1 / `mean` of its values (and with a text), and ends after the next line that another such
-test picks, at least `least` lines later (or with the text, or after `most` lines). With a window of one line the bounds
-hang on nothing outside the chunk, so an inserted line moves none but its own, and a repeated passage has the same chunks
-in all surroundings. `rules` independent pairs of tests are made, as a short passage has a chunk under some of them
+A line ends after its line feed. A rolling hash of `window` successive line hashes chooses the bounds: a chunk begins at a
+line if the hash of that line and those after it falls on one of 1 / `mean` of its values (and with a text), and ends after
+the next line for which the hash of it and those before it does so in another such test, at least `least` lines later (or with
+the text, or after `most` lines). As both windows lie inside the chunk, its bounds hang on nothing outside, so an inserted
+line moves none but those whose windows hold it, and a repeated passage has the same chunks in all surroundings. `rules` independent pairs of tests are made, as a short passage has a chunk under some of them
 only; chunks may overlap. A chunk of at least `words` words that equals an earlier one - smaller (document, place) - is
 removed; every line that goes this way is still in the document in which it came first. Equality is that of the bytes:
 keys only choose what is compared.
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import numbered, written
-from marketflow.llm.textarrays import Hashes, mix, raw, slices, word_spans
+from marketflow.llm.textarrays import BASE, Hashes, mix, powers, raw, slices, word_spans
 
 
 @dataclass(frozen=True)
 class LineConfig:
-    window: int = 1
+    window: int = 2
     mean: int = 2
     rules: int = 3
     most: int = 32
@@ -37,6 +37,21 @@ class LineConfig:
     words: int = 10
 
 
+def rolling(lines: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every line the rolling hash of the window that begins with it, and of the one that ends with it; at a text's edges of what there is of it.
+
+    The hash of lines a .. b - 1 is the sum of line k's times BASE ** (k - a), from running sums, so a window costs the same however many lines it holds.
+    """
+    n = len(lines)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(lines * powers(BASE, n), out=sums[1:])
+    back = powers(pow(BASE, -1, 1 << 64), n + 1)
+    at = np.arange(n)
+    start, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+    of = lambda a, b: mix((sums[b] - sums[a]) * back[a])
+    return of(at, np.minimum(at + window, end)), of(np.maximum(at - window + 1, start), at + 1)
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[np.ndarray, ...]:
     """row, start, end, number of lines, words and key of every chunk of some texts under any rule, by place."""
     ends = np.flatnonzero(data == 10) + 1
@@ -45,11 +60,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
     row = np.searchsorted(offsets, starts, "right") - 1
     hashes = Hashes(data)
     lines = hashes.of(starts, ends)
-    roll = lines.copy()
-    for k in range(1, config.window):
-        near = np.zeros(len(lines), bool)
-        near[k:] = row[k:] == row[:-k]
-        roll[k:] = np.where(near[k:], mix(roll[k:] * np.uint64(31) + lines[:-k]), roll[k:])
+    after, before = rolling(lines, row, config.window)
     n = len(lines)
     first, last = np.ones(n, bool), np.ones(n, bool)
     first[1:], last[:-1] = row[1:] != row[:-1], row[1:] != row[:-1]
@@ -57,7 +68,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, config: LineConfig) -> tuple[n
     first_word = np.searchsorted(word_spans(data, offsets)[0], np.append(starts, len(data)))
     pairs = []
     for rule in range(config.rules):
-        opens, closes = (mix(roll + np.uint64(2 * rule + k)) % np.uint64(config.mean) == 0 for k in (0, 1))
+        opens, closes = (mix(roll + np.uint64(2 * rule + k)) % np.uint64(config.mean) == 0 for k, roll in enumerate((after, before)))
         begin = np.flatnonzero(first | opens)
         close = np.flatnonzero(last | closes)
         at = close[np.minimum(np.searchsorted(close, begin + config.least - 1), max(len(close) - 1, 0))] if n else begin
