@@ -184,7 +184,8 @@ def rest_pairs(members: DataFrame, parts: DataFrame, texts: DataFrame, config: N
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
-    Null texts and texts without a word have no shingles and stand alone. Rows of one id are one node, compared by the
+    Rows without an id link nothing: one whose shingles are exactly those of rows with ids has their component and is not kept, every other one
+    has component_id null and is kept. Null texts and texts without a word have no shingles and stand alone. Rows of one id are one node, compared by the
     greatest of their texts. Of each component the least id is kept. Other columns of docs are ignored; an empty table gives none.
     """
     rows = written(signatures(docs, config), "signatures")
@@ -213,4 +214,4 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
         parts = written(components(known.unionByName(more)), "parts")
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("bands").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

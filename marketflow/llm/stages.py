@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the least id of each group of near copies."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*DOC_COLUMNS).join(kept, "doc_id", "left_semi")
+    """The rows of the least id of each group of near copies, and all rows without an id."""
+    gone = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.select(*DOC_COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
