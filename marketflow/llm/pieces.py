@@ -7,6 +7,12 @@ of each word is stored as a back pointer.
 What counts as best depends on the model. Unigram models maximise the sum of scores. For merge (BPE) models, whose
 scores are ranks, that sum gives other ids than the library for more than half of all different words, so there a
 candidate may follow only a piece that merging would leave beside it; exactly one can, and the maximum finds it.
+
+A word of more than LONG characters would advance alone, a numpy step a character. It is cut first wherever no piece holds the two
+characters at the border, as nothing can then span it. What is still long is cut, for merge models, into blocks that advance
+together as words of one length do: each starts some characters early, and where its back pointers over the
+longest piece's length equal those of the block before, all that follow are those of the whole word, as they hang on no more than
+that; a block of which this does not hold is done again from the pointers of the one before.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from marketflow.llm.memo import Memo, spread, word_keys
 from marketflow.llm.textarrays import mix, powers, raw, slices
 
 MARK = 0x2581
+#: Characters of a word that advances by itself; of a block of a longer one; and by how many a block starts early.
+LONG, BLOCK, EARLY = 2048, 1024, 256
 _state: dict = {}
 
 
@@ -70,6 +78,7 @@ class Lattice:
         self.rank = np.full(size + 1, 1 << 40)  # by id; the last stands for an unknown character
         self.rank[self.ids] = -model.scores[self.ids].astype(np.int64) if model.merges else 0
         self.spaces: dict[int, list[int]] = {}
+        self.borders = np.unique(np.concatenate([p[:-1] << np.uint64(21) | p[1:] for p in points]))
         if model.merges:
             self._spines(size)
 
@@ -177,16 +186,50 @@ class Lattice:
         return good
 
     def run(self, n: int) -> list[int]:
-        """Pieces of n marks in a row."""
-        if n not in self.spaces:
-            one = self.find(np.array([self.key(np.array([MARK], np.uint64))]))[0]
-            self.spaces[n] = self.merge([int(one)] * n)[0] if self.model.merges else []
+        """Pieces of n marks in a row, merged as stretches of equal pieces: of a stretch, pairs are merged from the left, and one piece may stay."""
+        if n in self.spaces or not self.model.merges:
+            return self.spaces.setdefault(n, [])
+        one = int(self.find(np.array([self.key(np.array([MARK], np.uint64))]))[0])
+        runs = [(one, n)]
+        while True:
+            pairs = [(runs[k][0], runs[k][0], k, True) for k in range(len(runs)) if runs[k][1] > 1] + [(runs[k][0], runs[k + 1][0], k, False) for k in range(len(runs) - 1)]
+            known = [(self.rank[self.pairs[x, y]], k, not own, self.pairs[x, y]) for x, y, k, own in pairs if (x, y) in self.pairs]
+            if not known:
+                break
+            _, k, border, both = min(known)
+            x, count = runs[k]
+            if border:
+                y, more = runs[k + 1]
+                runs[k : k + 2] = [(x, count - 1), (both, 1), (y, more - 1)]
+            else:
+                runs[k : k + 1] = [(both, count // 2), (x, count % 2)]
+            runs = [r for r in runs if r[1]]
+            for k in range(len(runs) - 1, 0, -1):
+                if runs[k][0] == runs[k - 1][0]:
+                    runs[k - 1 : k + 1] = [(runs[k][0], runs[k - 1][1] + runs[k][1])]
+        self.spaces[n] = [x for x, count in runs for _ in range(count)]
         return self.spaces[n]
 
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """points: a matrix of words of one length. The words' pieces, one after another, and how many each has; -1 - c
         stands for an unknown character c."""
         n, size = points.shape
+        piece, step = self.forward(points)
+        unknown = len(self.model.pieces)
+        path, used = np.zeros((n, size), np.int64), np.zeros((n, size), bool)
+        at, rows, column = np.full(n, size), np.arange(n), size
+        while len(rows):
+            column -= 1
+            p = piece[rows, at]
+            path[rows, column] = np.where(p == unknown, -1 - points[rows, at - 1].astype(np.int64), p)
+            used[rows, column] = True
+            at = at - step[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        return path[used], used.sum(axis=1)
+
+    def forward(self, points: np.ndarray, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The last piece and its length at every place of words of one length. head (merge models): the last pieces at the words' first places, known already."""
+        n, size = points.shape
         unknown = len(self.model.pieces)
         sums = np.zeros((n, size + 1), np.uint64)
         np.cumsum((points + np.uint64(0x1F123BB5)) * powers(self.MULTIPLIER, size), axis=1, out=sums[:, 1:])
@@ -196,7 +239,11 @@ class Lattice:
         piece = np.full((n, size + 1), -1)
         step = np.zeros((n, size + 1), np.int64)
         worst = float(self.model.scores[self.ids].min()) - 10 if not self.model.merges else 0.0
-        for end in range(1, size + 1):
+        known = 0
+        if head is not None:
+            known = head.shape[1] - 1
+            piece[:, : known + 1], best[:, : known + 1] = head, np.where(head >= 0, 0.0, -np.inf)
+        for end in range(known + 1, size + 1):
             longest = min(end, self.longest)
             start = np.arange(end - 1, end - longest - 1, -1)
             found = self.find(mix((sums[:, end, None] - sums[:, start]) * back[start] + (end - start).astype(np.uint64)))
@@ -216,16 +263,70 @@ class Lattice:
             best[:, end] = value[rows, pick]
             piece[:, end] = np.where(np.isfinite(best[:, end]), found[rows, pick], -1)
             step[:, end] = pick + 1
-        path, used = np.zeros((n, size), np.int64), np.zeros((n, size), bool)
-        at, rows, column = np.full(n, size), np.arange(n), size
-        while len(rows):
-            column -= 1
-            p = piece[rows, at]
-            path[rows, column] = np.where(p == unknown, -1 - points[rows, at - 1].astype(np.int64), p)
-            used[rows, column] = True
-            at = at - step[rows, at]
-            rows, at = rows[at > 0], at[at > 0]
-        return path[used], used.sum(axis=1)
+        return piece, step
+
+    def long(self, points: np.ndarray) -> np.ndarray:
+        """The pieces of one long word."""
+        pair = points[:-1] << np.uint64(21) | points[1:]
+        at = np.minimum(np.searchsorted(self.borders, pair), len(self.borders) - 1)
+        cuts = np.concatenate([[0], np.flatnonzero(self.borders[at] != pair) + 1, [len(points)]])
+        sizes = np.diff(cuts)
+        out: list = [None] * len(sizes)
+        order = np.argsort(sizes, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            size = int(sizes[rows[0]])
+            if size > LONG and self.model.merges:
+                for k in rows:
+                    out[k] = self.blocks(points[cuts[k] : cuts[k + 1]])
+                continue
+            most = max(1, 400_000 // (size + 1))
+            for i in range(0, len(rows), most):
+                some = rows[i : i + most]
+                flat, counts = self.viterbi(points[cuts[some][:, None] + np.arange(size)])
+                for k, part in zip(some, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                    out[k] = part
+        return np.concatenate(out)
+
+    def blocks(self, points: np.ndarray) -> np.ndarray:
+        """The pieces of a long word of a merge model: blocks advance together, then meet."""
+        n, block, early = len(points), max(BLOCK, 2 * self.longest), max(EARLY, 2 * self.longest)
+        begins = np.arange(early, n - block + 1, block)
+        piece, step = np.full(n + 1, -1), np.zeros(n + 1, np.int64)
+        first, length = self.forward(points[None, :early])
+        piece[: early + 1], step[: early + 1] = first[0], length[0]
+        done, i, shift, tries = early, 0, 0, 4
+        while i < len(begins):
+            some = begins[i : i + 256]
+            found, length = self.forward(points[some[:, None] - early - shift + np.arange(early + shift + block)])
+            i += len(some)
+            for k, begin in enumerate(some.tolist()):
+                near = slice(begin - self.longest + 1, begin + 1)
+                mine = slice(early + shift - self.longest + 1, early + shift + 1)
+                if (found[k, mine] == piece[near]).all() and (piece[near] >= 0).all():
+                    piece[begin + 1 : begin + block + 1], step[begin + 1 : begin + block + 1] = found[k, early + shift + 1 :], length[k, early + shift + 1 :]
+                elif tries:  # a word that repeats itself keeps its phase: the blocks from here on start where a piece does
+                    at, tries = begin, tries - 1
+                    while at > begin - early:
+                        at -= int(step[at])
+                    shift, i = begin - early - at, i - len(some) + k
+                    break
+                else:
+                    self.go_on(points, piece, step, begin, begin + block)
+                done = begin + block
+        if done < n:
+            self.go_on(points, piece, step, done, n)
+        path, at, unknown = [], n, len(self.model.pieces)
+        last, back = piece.tolist(), step.tolist()
+        while at > 0:
+            path.append(last[at] if last[at] != unknown else -1 - int(points[at - 1]))
+            at -= back[at]
+        return np.array(path[::-1], np.int64)
+
+    def go_on(self, points: np.ndarray, piece: np.ndarray, step: np.ndarray, begin: int, end: int) -> None:
+        """Fills piece and step from begin to end, from those of the longest piece's length before."""
+        near = max(0, begin - self.longest)
+        found, length = self.forward(points[None, near:end], piece[None, near : begin + 1])
+        piece[begin + 1 : end + 1], step[begin + 1 : end + 1] = found[0, begin - near + 1 :], length[0, begin - near + 1 :]
 
 
 class Pieces:
@@ -250,6 +351,13 @@ class Pieces:
             most = max(1, 400_000 // (size + 1))
             for k in range(0, len(rows) if size else 0, most):
                 some = rows[k : k + most]
+                if size > LONG:
+                    each = [self.lattice.long(points[body[r] : ends[r]].astype(np.uint64)) for r in some]
+                    flat, counts = np.concatenate(each), np.array([len(x) for x in each])
+                    flats.append(flat)
+                    begins[some], sizes[some] = total + np.cumsum(counts) - counts, counts
+                    total += len(flat)
+                    continue
                 flat, counts = self.lattice.viterbi(points[body[some][:, None] + np.arange(size)].astype(np.uint64))
                 flats.append(flat)
                 begins[some], sizes[some] = total + np.cumsum(counts) - counts, counts
