@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketflow.llm import fingerprints, language_id, line_dedup, linear, mixing, near_dedup, pieces, quality_model, suffix_dedup, textarrays, token_files
+from marketflow.llm import fingerprints, language_id, line_dedup, linear, mixing, near_dedup, pieces, quality_model, stages, suffix_dedup, textarrays, token_files
 from marketflow.llm import quality_rules as rules
 from tests.llm import brute
 
@@ -60,9 +61,15 @@ def test_near_dedup_matches_all_pairs(table, empty):
 
 
 def test_near_dedup_with_repeated_ids(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None), (None, "a b c d e f"), (None, "g h i j k l")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_near_duplicates_stage_keeps_rows_without_an_id(spark):
+    rows = [(1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (None, "a b c d e f", "en", "s", 11), (None, None, None, None, 0)]
+    left = stages.near_duplicates(spark, spark.createDataFrame(rows, docs_schema()), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "a b c d e f"), (1, "a b c d e f")]
 
 
 def test_near_dedup_finds_pairs_whose_bands_hold_a_large_component(spark):
@@ -142,7 +149,9 @@ def _line_chunks(text: str, rule: int, config) -> list[tuple[int, int, bytes]]:
     """Chunks of one text under one rule, stated line by line: first and last line, bytes."""
     lines = [x for x in _lines((text or "").encode()) if x]
     hashes = [int(textarrays.Hashes(np.frombuffer(x, np.uint8)).of(np.array([0]), np.array([len(x)]))[0]) for x in lines]
-    mark = lambda i, k: int(textarrays.mix(np.array([(hashes[i] + 2 * rule + k) % 2**64], np.uint64))[0]) % config.mean == 0
+    mixed = lambda x: int(textarrays.mix(np.array([x % 2**64], np.uint64))[0])
+    roll = lambda window: mixed(sum(h * textarrays.BASE**k for k, h in enumerate(window)))
+    mark = lambda i, k: mixed(roll(hashes[max(i - config.window + 1, 0) : i + 1] if k else hashes[i : i + config.window]) + 2 * rule + k) % config.mean == 0
     out, last = [], len(lines) - 1
     for i in range(len(lines)):
         if i == 0 or mark(i, 0):
@@ -198,6 +207,19 @@ def test_pieces_match_the_library_and_round_trip(table, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_pieces_of_long_words_and_runs_of_spaces():
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.worker(path)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in [("ab", 5000), ("aeiou", 3000), ("abcdefghijklmnopqrstuvwxyz", 9000), ("thean", 4000), ("=-_", 2500), ("éß日🙂", 3000), ("+/ABCxyz019", 6000)]]
+    texts += ["a" * 20_000, "ab" * 4000 + "c", "=" * 5000 + "a", "x" + "ha" * 3000 + " " * 777, " " * 4097 + "y", " " * 10_000, "internationalisation" * 400]
+    for t in texts:
+        assert own.encode([t])[0].tolist() == library.encode(t), t[:20]
+    start = time.time()
+    assert own.encode(["a" * 1_000_000])[0].tolist() == library.encode("a" * 1_000_000)
+    assert own.decode(own.encode(["".join(rng.choice("abcdefgh") for _ in range(1_000_000))])[0])[:5].isalpha()
+    assert time.time() - start < 60
+
+
 def test_pieces_of_a_unigram_model_have_the_best_score():
     model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
     own = pieces.Pieces(pieces.PieceModel(model.pieces, model.scores, model.kinds, merges=False))
