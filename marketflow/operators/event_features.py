@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.operators import order_events as o
+from marketflow.operators import session_kernel as kernel
 from marketflow.operators.asof import asof
 
 TRADE = ["log_return", "log_total_qty", "is_open", "time_delta", "num_fills", "book_walk", "effort_vs_result", "climax_score", "prev_seq_time_span"]
@@ -75,20 +78,44 @@ def event_features(fills: DataFrame, book: DataFrame, cut: int, holdout: int, co
     """symbol, session, ts_ms, the 17 features, direction labels (null without a later event) and the five event labels.
 
     Sessions with fewer than `least` events, fewer than two snapshots or fewer than `least` aligned events give no rows.
-    snaps: how a book becomes snapshot features. Events and books are derived once; one as-of join attaches the snapshot, an equi-join its features.
+    snaps: how a book becomes snapshot features. Both sides are derived once and meet by session, a bounded group, where arrays do the as-of join, the
+    trades' price impact, the features and the labels.
     """
-    events = min_rows(o.order_events(dedup_by_era(holdout_guard(fills, holdout, consume), cut)), least)
-    found = min_rows(snaps(book), 2)
-    x = aligned(events, found.select(*o.DAY, "ts_ms", "snap_id", "mid", "spread"))
-    full = trade_kyle(found, x.select(*o.DAY, "snap_id", "signed_notional"))
-    x = min_rows(x.where("snap_id is not null"), least)
-    x = x.join(full.drop("ts_ms", "mid", "spread", "cum_flow"), [*o.DAY, "snap_id"])
-    x = o.wyckoff_labels(o.trade_features(x.withColumn("trade_vs_mid", trade_vs_mid())))
-    return o.direction_labels(x, o.HORIZONS).select(*o.DAY, "ts_ms", *FEATURES, *[f"dir_h{h}" for h in o.HORIZONS], *LABELS)
-
-
-def trade_vs_mid() -> Column:
-    return o.clip((F.col("vwap") - F.col("mid")) / F.greatest(F.col("spread"), F.col("mid") * 1e-8), -5, 5)
+    events = o.order_events(dedup_by_era(holdout_guard(fills, holdout, consume), cut))
+    found = snaps(book)
+    labels = [f"dir_h{h}" for h in o.HORIZONS]
+    out = [*o.DAY, "ts_ms", *FEATURES, *labels, *LABELS]
+    carried = [c for c in BOOK if c not in ("trade_vs_mid", "kyle_lambda")]
+
+    def of(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=out)
+        if len(e) < least or len(s) < 2:
+            return none
+        e, s = e.sort_values("ts_ms"), s.sort_values(["ts_ms", "snap_id"])
+        at = kernel.align(e["ts_ms"].to_numpy(), s["ts_ms"].to_numpy())
+        # trades before the first snapshot count with it
+        flow = np.bincount(np.maximum(at, 0), e["signed_notional"].to_numpy(), len(s)).cumsum()
+        impact = kernel.price_impact(s["mid"].to_numpy(), flow)
+        e, at = e[at >= 0], at[at >= 0]
+        if len(e) < least:
+            return none
+        x = {c: e[c].to_numpy() for c in e.columns} | {c: s[c].to_numpy()[at] for c in ("mid", "spread", *carried)} | {"kyle_lambda": impact[at]}
+        price = x["vwap"]
+        x["trade_vs_mid"] = np.clip((price - x["mid"]) / np.maximum(x["spread"], x["mid"] * 1e-8), -5, 5)
+        x |= kernel.trade(x, o.WIDTH, o.LENGTH)
+        x |= kernel.event_labels(x, o.WIDTH)
+        for h in o.HORIZONS:
+            up = pd.array(np.zeros(len(price)), "Int32")
+            up[: max(len(price) - h, 0)] = (price[h:] > price[: max(len(price) - h, 0)]).astype(np.int32)
+            up[max(len(price) - h, 0) :] = pd.NA
+            x[f"dir_h{h}"] = up
+        return pd.DataFrame({c: x[c] for c in out if c not in o.DAY}).assign(**dict(zip(o.DAY, key, strict=True)))[out]
+
+    kinds = dict(events.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in o.DAY), "ts_ms long", *(f"{c} double" for c in FEATURES), *(f"{c} int" for c in [*labels, *LABELS])])
+    left = events.select(*o.DAY, "ts_ms", "total_qty", "vwap", "is_open_frac", "n_fills", "book_walk_abs", "signed_notional")
+    right = found.select(*o.DAY, "ts_ms", "snap_id", "mid", "spread", *carried)
+    return left.groupBy(*o.DAY).cogroup(right.groupBy(*o.DAY)).applyInPandas(of, schema)
 
 
 def window_rows(features: DataFrame, length: int, stride: int) -> DataFrame:

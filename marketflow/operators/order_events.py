@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marketflow.operators import session_kernel as kernel
+
 #: Rolling frames and windows of events, in events.
 WIDTH, LENGTH, STRIDE = 1000, 200, 50
 HORIZONS = [10, 50, 100, 500]
@@ -82,67 +83,20 @@ def rolling(rows: DataFrame, stats: dict[str, tuple], order: str | list[str] = "
 
 
 def trade_features(events: DataFrame, width: int = WIDTH, span: int = LENGTH) -> DataFrame:
-    """The nine trade features of order events that carry the spread and mid of their book snapshot.
+    """The nine trade features (kernel.trade) of order events that carry the spread and mid of their book snapshot, and events' columns."""
+    names = ["log_return", "log_total_qty", "is_open", "time_delta", "num_fills", "book_walk", "effort_vs_result", "climax_score", "prev_seq_time_span"]
 
-    Quantity and |return| stand against their rolling medians; the climax score is the lesser of two z-scores, of log
-    quantity and |return|. prev_seq_time_span: log of the time that the `span` events before took.
-    """
-    w = ordered("ts_ms")
-    was = F.lag("vwap").over(w)
-    ret = F.when(was.isNull(), 0.0).otherwise(F.log(F.col("vwap") / F.greatest(was, F.lit(1e-6))))  # greatest() passes over nulls
-    gap, taken = F.col("ts_ms") - F.lag("ts_ms").over(w), F.lag("ts_ms").over(w) - F.lag("ts_ms", span).over(w)
-    x = events.withColumns({"log_return": ret, "time_delta": F.log(F.coalesce(gap, F.lit(0)) + 1.0), "prev_seq_time_span": F.coalesce(F.log(taken + 1.0), F.lit(0.0))})
-    x = x.withColumns({"abs_return": F.abs("log_return"), "log_qty": F.log(F.greatest("total_qty", F.lit(1e-6))), "first_event": F.lag("ts_ms").over(w).isNull()})
-    x = rolling(x, {
-        "median_qty": ("total_qty", 0.5, width, 1), "median_return": ("abs_return", 0.5, width, 1),
-        "mean_qty": ("log_qty", "mean", width, 1), "std_qty": ("log_qty", "std", width, 1), "mean_return": ("abs_return", "mean", width, 1), "std_return": ("abs_return", "std", width, 1),
-    })
-    x = x.withColumn("log_total_qty", F.log(F.col("total_qty") / F.greatest("median_qty", F.lit(1e-6))))
-    effort = F.col("log_total_qty") - F.log(F.col("abs_return") / F.greatest("median_return", F.lit(1e-10)) + 1e-6)
-    z = lambda c, m, s: (F.col(c) - F.col(m)) / F.greatest(F.coalesce(F.col(s), F.lit(0.0)), F.lit(0.1))
-    out = x.withColumns({
-        "is_open": F.col("is_open_frac"),
-        "num_fills": F.log(F.col("n_fills").cast("double")),
-        "book_walk": F.col("book_walk_abs") / F.greatest(F.col("spread"), F.col("mid") * 1e-8),
-        "effort_vs_result": F.when(F.col("first_event"), 0.0).otherwise(clip(effort, -5, 5)),
-        "climax_score": clip(F.least(z("log_qty", "mean_qty", "std_qty"), z("abs_return", "mean_return", "std_return")), 0, 5),
-    })
-    return out.drop("log_qty", "first_event", "median_qty", "median_return", "mean_qty", "std_qty", "mean_return", "std_return")
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms")
+        return pdf.assign(**kernel.trade({c: pdf[c].to_numpy() for c in pdf.columns}, width, span))
+
+    return events.groupBy(*DAY).applyInPandas(of, StructType([*events.schema.fields, *[StructField(n, DoubleType()) for n in names]]))
 
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
 
-def wyckoff_labels(x: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Adds wy_stress, wy_informed_flow, wy_climax, wy_spring and wy_absorption (0 or 1) to events with all their features.
-
-    Each is a comparison with causal rolling quantiles, deviations, minima or means; without enough rows it is 0. As
-    deviations of fewer than ten rows count as nearly nothing, climax fires on any move in them.
-    """
-    w, enough = ordered("ts_ms"), max(10, width // 10)
-    x = x.withColumns({"abs_depth": F.abs("depth_ratio"), "abs_ofi": F.abs("cum_ofi_5")})
-    x = rolling(x, {
-        "q_spread": ("log_spread", 0.9, width, enough), "q_depth": ("abs_depth", 0.9, width, enough),
-        "q_kyle": ("kyle_lambda", 0.75, width, enough), "q_ofi": ("abs_ofi", 0.5, width, enough),
-        "q_effort": ("effort_vs_result", 0.9, width, enough), "q_return": ("abs_return", 0.5, width, enough),
-        "mean_qty": ("total_qty", "mean", width, 10), "std_qty": ("total_qty", "std", width, 10), "mean_return": ("abs_return", "mean", width, 10), "std_return": ("abs_return", "std", width, 10),
-        "std_signed": ("log_return", "std", width, 10), "low": ("log_return", "min", 50, 50), "recent": ("log_return", "mean", 10, 10),
-    })
-    sign = F.signum("cum_ofi_5")
-    steady = (sign != 0) & (sign == F.lag(sign, 1).over(w)) & (sign == F.lag(sign, 2).over(w))
-    z = lambda c, m, s: (F.col(c) - F.coalesce(F.col(m), F.lit(0.0))) / F.greatest(F.coalesce(F.col(s), F.lit(1e-10)), F.lit(1e-10))
-    labels = {
-        "wy_stress": (F.col("log_spread") > F.col("q_spread")) & (F.col("abs_depth") > F.col("q_depth")),
-        "wy_informed_flow": (F.col("kyle_lambda") > F.col("q_kyle")) & (F.col("abs_ofi") > F.col("q_ofi")) & steady,
-        "wy_climax": (z("total_qty", "mean_qty", "std_qty") > 2.0) & (z("abs_return", "mean_return", "std_return") > 2.0),
-        "wy_spring": (F.col("low") < F.coalesce(F.col("std_signed"), F.lit(1e-10)) * -3.0) & (F.col("effort_vs_result") > 1.0) & (F.col("is_open") > 0.5) & (F.col("recent") > 0.0),
-        "wy_absorption": (F.col("effort_vs_result") > F.col("q_effort")) & (F.col("abs_return") < F.col("q_return")),
-    }
-    used = ["abs_depth", "abs_ofi", "q_spread", "q_depth", "q_kyle", "q_ofi", "q_effort", "q_return", "mean_qty", "std_qty", "mean_return", "std_return", "std_signed", "low", "recent"]
-    return x.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in labels.items()}).drop(*used)
-
-
 def expand_levels(book: DataFrame, depth: int = 10) -> DataFrame:
     """Nested levels as flat columns; missing levels are 0."""
     cols = {f"{side}{i + 1}_{what}": F.coalesce(F.get(F.col(f"{side}s"), F.lit(i))[what], F.lit(0.0)) for side in ("bid", "ask") for i in range(depth) for what in ("price", "qty")}
@@ -214,26 +168,23 @@ def indexed(events: DataFrame) -> DataFrame:
 
 
 def flat_features(events: DataFrame, columns: list[str], length: int, stride: int) -> DataFrame:
-    """Per window: mean, population deviation, corrected skew and excess kurtosis, last value of each column.
+    """Per window: mean, population deviation, corrected skew and excess kurtosis, last value of each column (kernel.moments).
 
-    Each event goes to the length / stride windows that hold it; one aggregation by window follows.
+    A session goes through arrays once; no event is copied to the windows that hold it.
     """
-    last = F.count("*").over(Window.partitionBy(*DAY)) - length
-    lo, hi = F.greatest(F.ceil((F.col("event_idx") - (length - 1)) / stride), F.lit(0)), F.floor(F.least(F.col("event_idx"), last) / stride)
-    x = indexed(events).withColumn("__last", last)
-    x = x.where(F.col("__last") >= 0).withColumn("__lo", lo).withColumn("__hi", hi).where("__hi >= __lo").withColumn("__w", F.explode(F.sequence("__lo", "__hi")))
-    n = float(length)
-    aggs = []
-    for c in columns:
-        skew, kurt, flatline = F.skewness(c), F.kurtosis(c), F.stddev_pop(c) < 1e-12
-        aggs += [
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev_pop(c).alias(f"{c}_std"),
-            F.when(flatline, 0.0).otherwise(skew * math.sqrt(n * (n - 1)) / (n - 2)).alias(f"{c}_skew"),
-            F.when(flatline, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6)).alias(f"{c}_kurt"),
-            F.max_by(c, "event_idx").alias(f"{c}_last"),
-        ]
-    return x.groupBy(*DAY, (F.col("__w") * stride).alias("window_start")).agg(*aggs)
+    names = [f"{c}_{s}" for c in columns for s in ("mean", "std", "skew", "kurt", "last")]
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms")
+        n = max(0, (len(pdf) - length) // stride + 1) if len(pdf) >= length else 0
+        out: dict = {DAY[0]: [key[0]] * n, DAY[1]: [key[1]] * n, "window_start": np.arange(n) * stride}
+        for c in columns if n else ():
+            out |= {f"{c}_{k}": v for k, v in kernel.moments(pdf[c].to_numpy(np.float64), length, stride).items()}
+        return pd.DataFrame(out, columns=[*DAY, "window_start", *names])
+
+    kinds = dict(events.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in DAY), "window_start long", *(f"`{n}` double" for n in names)])
+    return events.select(*DAY, "ts_ms", *columns).groupBy(*DAY).applyInPandas(of, schema)
 
 
 def bursts(rows: DataFrame, gap_ms: int, least: int = 2, min_bps: float = 10.0) -> DataFrame:
