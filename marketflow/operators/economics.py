@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.operators import order_events as o
-from marketflow.operators.evaluation import best_levels, headroom
+from marketflow.operators.asof import asof
+from marketflow.operators.evaluation import best_levels, burst_metrics, headroom
 
 
 def anchored(events: DataFrame, book: DataFrame, length: int, stride: int, horizons: list[int], depth: bool = False) -> DataFrame:
@@ -126,3 +127,48 @@ def spring_argmin(features: DataFrame, sigma: float, back: int = 50, near: int =
 def spring_rates(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, windows (events with a full frame), fires and their share of spring_argmin()."""
     return rows.groupBy(*by).agg(F.count("min_return").alias("windows"), F.count_if("spring").alias("fires")).withColumn("rate", F.col("fires") / F.greatest("windows", F.lit(1)))
+
+
+def post_cascade_rows(bursts: DataFrame, events: DataFrame, delays: list[int], horizons: list[int], cost_bps: float) -> DataFrame:
+    """A row for each burst, delay and horizon (in events) that the session reaches: the forward log return from `delay` events after the last event at or before the burst's end,
+    and what going on or turning back would have gained (burst_metrics).
+
+    bursts: symbol, session, start_ms, end_ms, n_trades, notional, move_bps, direction. events: symbol, session, ts_ms, vwap, one row a time. Bursts before the first event give none.
+    """
+    w = o.ordered("ts_ms")
+    steps = {(d, h): F.log(F.lead("vwap", d + h).over(w) / (F.lead("vwap", d).over(w) if d else F.col("vwap"))) for d in delays for h in horizons}
+    x = events.select(*o.DAY, "ts_ms", (F.row_number().over(w) - 1).alias("anchor_idx"), F.array(*[F.struct(F.lit(d).alias("delay_events"), F.lit(h).alias("horizon"), v.alias("forward_log_return")) for (d, h), v in steps.items()]).alias("grid"))
+    found = asof(bursts, x.withColumn("__tie", F.lit(0)), o.DAY, "end_ms", "ts_ms", ["anchor_idx", "grid"], "__tie").where("anchor_idx is not null")
+    out = found.withColumn("g", F.explode("grid")).where("g.forward_log_return is not null").select(*bursts.columns, "anchor_idx", "g.*")
+    return out.withColumn("round_trip_cost_bps", F.lit(float(cost_bps))).withColumns(burst_metrics(F.col("move_bps"), F.col("forward_log_return"), cost_bps))
+
+
+def burst_regime_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, bursts, sessions, symbols, median and mean net result, share above 0, median gross result of turning back."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n_events"), F.count_distinct("session").alias("n_days"), F.count_distinct("symbol").alias("n_symbols"), F.percentile("net_reversion_bps", 0.5).alias("median_net_bps"), F.avg("net_reversion_bps").alias("mean_net_bps"),
+        F.avg((F.col("net_reversion_bps") > 0).cast("double")).alias("frac_positive"), F.percentile("gross_reversion_bps", 0.5).alias("median_gross_reversion_bps"),
+    )
+
+
+def maker_sensitivity(rows: DataFrame, fees_bps: list[float], accuracies: list[float], share: float = 0.5, least_bps: float = 0.0, touch_bps: float = 1.0) -> DataFrame:
+    """Per maker fee and accuracy: cells (symbol, size_usd, horizon) whose median headroom exceeds least_bps and is positive in more than `share` of the fillable windows with an edge;
+    those of them whose edge also reaches touch_bps in more than `share`; and the five with the highest medians, by label among equals.
+
+    Headroom, (2 p - 1) x edge - 2 x fee, grows with the edge (p of one half or more), so a cell's median edge and counts of edges give it for the whole grid: rows are not copied to it.
+    """
+    if min(accuracies) < 0.5:
+        raise ValueError("accuracies below one half are no signal")
+    cell = ["symbol", "size_usd", "horizon"]
+    edge = F.when(F.col("fillable"), F.abs("edge_bps"))
+    x = rows.withColumn("__e", edge).where(F.col("__e").isNotNull())
+    grid = [(float(f), float(p)) for p in accuracies for f in fees_bps]
+    positive = [F.avg(((2 * p - 1) * F.col("__e") - 2 * f > 0).cast("double")) for f, p in grid]
+    x = x.groupBy(*cell).agg(F.percentile("__e", 0.5).alias("__m"), F.avg((F.col("__e") >= touch_bps).cast("double")).alias("__t"), F.array(*positive).alias("__p"))
+    each = F.array(*[F.struct(F.lit(f).alias("maker_fee_bps"), F.lit(p).alias("accuracy"), ((2 * p - 1) * F.col("__m") - 2 * f).alias("median"), F.get("__p", F.lit(i)).alias("positive")) for i, (f, p) in enumerate(grid)])
+    x = x.select(*cell, "__t", F.explode(each).alias("g")).select(*cell, "__t", "g.*")
+    alive = (F.col("median") > least_bps) & (F.col("positive") > share)
+    label = F.format_string("%s:$%dk:H%d", F.col("symbol"), F.floor(F.col("size_usd") / 1000).cast("long"), F.col("horizon").cast("long"))
+    best = F.slice(F.array_sort(F.collect_list(F.when(alive, F.struct((-F.col("median")).alias("m"), label.alias("l"))))), 1, 5)  # of one row a cell
+    out = x.groupBy("maker_fee_bps", "accuracy").agg(F.count_if(alive).alias("n_cells_alive"), F.count_if(alive & (F.col("__t") > share)).alias("n_cells_alive_with_fill_proxy"), best.alias("b"))
+    return out.withColumn("top_5_cells_by_median_headroom", F.array_join(F.transform("b", lambda s: F.format_string("%s(%+.2fbp)", s["l"], -s["m"])), ", ")).drop("b")

@@ -91,7 +91,7 @@ def shuffled_within(rows: DataFrame, cell: list[str], key: str, label: str, seed
 def random_controls(rows: DataFrame, key: str, value: str, n: int, trials: int, seed: int) -> DataFrame:
     """control_id, sampled_rows, net_pnl_bps: the sum of n rows drawn without replacement, in each trial.
 
-    A row is drawn if its hash in the trial is among the n least: partitions keep their n least hashes, then they meet.
+    A row is drawn if its hash in the trial is among the n least. Counts by the hash's first digits, at most 4,096 a trial, say where the n-th lies, so only rows below it go on to be ranked.
     """
     x = rows.withColumn("control_id", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), "control_id", F.col(key).cast("string"))))
     cell = F.conv(F.substring("__h", 1, 3), 16, 10).cast("int")

@@ -311,13 +311,14 @@ def overlay_scorecard(paths: DataFrame, cutoffs: list[float], min_days: int = 30
     named = cuts.select("horizon", F.explode(F.array(*[F.struct(F.lit(q).alias("cutoff"), F.col(f"q{i}").alias("threshold")) for i, q in enumerate(cutoffs)])).alias("c")).select("horizon", "c.*")
     x = paths.join(F.broadcast(named), "horizon")  # a row a horizon and cutoff
     ok = F.col("toxicity_score") < F.col("threshold")
-    of = {**risk_quantiles("base_"), **risk_quantiles("acc_", ok), **risk_quantiles("rem_", ~ok)}
+    of = {**risk_quantiles("acc_", ok), **risk_quantiles("rem_", ~ok)}
+    base = group_quantiles(paths, ["horizon"], risk_quantiles("base_"))  # the same for every cutoff
     key = ["horizon", "cutoff", "threshold"]
     out = x.groupBy("horizon", "cutoff", "threshold").agg(
         F.count("*").alias("n_baseline"), F.count_if(ok).alias("n_accepted"), F.count_distinct(day_of()).alias("n_days"),
         F.count_distinct(F.when(~ok, day_of())).alias("removed_days"), *risk_stats("base_"), *risk_stats("acc_", ok), *risk_stats("rem_", ~ok),
     )
-    out = out.join(group_quantiles(x, key, of), key)
+    out = out.join(group_quantiles(x, key, of), key).join(base, "horizon")
     return (
         out.withColumn("n_removed", F.col("n_baseline") - F.col("n_accepted"))
         .withColumn("retention_rate", F.col("n_accepted") / F.col("n_baseline"))

@@ -60,11 +60,9 @@ def sidecar_pairing(objects: DataFrame, suffix: str = ".sha256") -> DataFrame:
 
 def inventory_coverage(objects: DataFrame) -> DataFrame:
     """Objects, bytes, latest by channel, by day, by both: one pass with grouping sets."""
-    objects.createOrReplaceTempView("__inventory")
-    return objects.sparkSession.sql(
-        """select channel, day, grouping_id(channel, day) as level, count(*) as n_objects, sum(size_bytes) as n_bytes, max(key) as latest
-        from __inventory group by grouping sets ((channel), (day), (channel, day), ())"""
-    )
+    sets = [[F.col("channel")], [F.col("day")], [F.col("channel"), F.col("day")], []]
+    out = objects.groupingSets(sets, "channel", "day").agg(F.grouping_id("channel", "day").alias("level"), F.count("*").alias("n_objects"), F.sum("size_bytes").alias("n_bytes"), F.max("key").alias("latest"))
+    return out.select("channel", "day", "level", "n_objects", "n_bytes", "latest")
 
 
 def mismatched_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,7 +173,7 @@ def paper_ledger(fills: DataFrame, start: float = 0.0, maker_bps: float = 1.5, t
 
     fills: symbol, ts_ms, fill_id, side (buy, sell, funding), price, quantity, liquidity (maker, taker), funding_payment. A
     sale beyond the position takes it below 0 and realises only what was held; the average cost is 0 from there to the
-    next rise above 0. It is a recurrence, so pandas runs it, but only from one such reset to the next.
+    next rise above 0. Positions are held to nine digits, so that what rounding leaves of a closed one is none. It is a recurrence, so pandas runs it, but only from one such reset to the next.
     """
     rules = {"side must be buy, sell or funding": F.col("side").isin("buy", "sell", "funding"), "price must be positive": F.col("price") > 0, "quantity must be positive": F.col("quantity") > 0}
     if eligible is not None:
@@ -186,6 +184,7 @@ def paper_ledger(fills: DataFrame, start: float = 0.0, maker_bps: float = 1.5, t
     x = x.withColumn("fee_paid", F.col("notional") * rate / 10_000).withColumn("funding_paid", F.when(F.col("side") == "funding", F.col("funding_payment")).otherwise(0.0)).withColumn("change", change)
     order = ["ts_ms", "fill_id"]
     x = running(x, ["symbol"], "day", order, {"position_after_fill": (F.col("change"), "sum")})
+    x = x.withColumn("position_after_fill", F.round("position_after_fill", 9))
     x = running(x, ["symbol"], "day", order, {"resets": ((F.col("position_after_fill") <= 0).cast("int"), "sum")})
     # the fill that ends at or below 0 still belongs to the stretch before
     x = x.withColumn("stretch", F.col("resets") - (F.col("position_after_fill") <= 0).cast("int"))

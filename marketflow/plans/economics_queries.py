@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketflow.operators import economics as ec
+from marketflow.operators import order_events as o
 from marketflow.plans.event_queries import events
 from marketflow.plans.feature_queries import event_table
 from marketflow.registry import query, view
@@ -95,3 +96,56 @@ def spring_rows(spark, sf_dir):
 def spring_rates(spark, sf_dir):
     """How often springs fire."""
     return ec.spring_rates(ec.spring_argmin(event_table(spark, sf_dir), 0.5), ["symbol"])
+
+
+view("pc_t", "select 'S' || (user_id % 4) as symbol, (event_ts_ms // 86400000)::int as session, event_ts_ms as ts_ms, price, qty, history_id as tie, trade_class from trades", ["trades"])
+view("pc_e", "select symbol, session, ts_ms, vwap, row_number() over (partition by symbol, session order by ts_ms) - 1 as idx from (select symbol, session, ts_ms, sum(price * qty) / sum(qty) as vwap from pc_t group by all)", ["pc_t"])
+view(
+    "pc_b",
+    """select *, sign(move_bps)::int as direction from (select symbol, session, start_ms, end_ms, n_trades, notional, ln(p1 / p0) * 10000 as move_bps from (select symbol, session, b, min(ts_ms) as start_ms, max(ts_ms) as end_ms, count(*) as n_trades, sum(qty * price) as notional, arg_min(price, (ts_ms, tie)) as p0, arg_max(price, (ts_ms, tie)) as p1 from (
+    select *, sum(coalesce(n_, 0)) over (partition by symbol, session order by ts_ms, tie) as b from (select *, (ts_ms - lag(ts_ms) over (partition by symbol, session order by ts_ms, tie) > 1800000)::int as n_ from pc_t where trade_class = 'liquidation')) group by all) where n_trades >= 2 and p0 > 0 and p1 > 0) where abs(move_bps) >= 10""",
+    ["pc_t"],
+)
+view(
+    "pc_rows",
+    """select *, -m as gross_reversion_bps, m as gross_continuation_bps, -m - 8 as net_reversion_bps, -m - 8 > 0 as net_reversion_positive from (select b.*, x.idx as anchor_idx, d as delay_events, h as horizon, ln(q.vwap / p.vwap) as forward_log_return, sign(move_bps) * ln(q.vwap / p.vwap) * 10000 as m from pc_b b
+    asof join pc_e x on b.symbol = x.symbol and b.session = x.session and b.end_ms >= x.ts_ms, (select unnest([0, 2])::int as d) d, (select unnest([1, 5])::int as h) h join pc_e p on p.symbol = b.symbol and p.session = b.session and p.idx = x.idx + d join pc_e q on q.symbol = b.symbol and q.session = b.session and q.idx = x.idx + d + h)""",
+    ["pc_b", "pc_e"],
+)
+
+
+def _cascades(spark, sf_dir):
+    day = F.expr("event_ts_ms div 86400000").cast("int")
+    t = a.trades(spark, sf_dir).select(F.concat(F.lit("S"), F.col("user_id") % 4).alias("symbol"), day.alias("session"), F.col("event_ts_ms").alias("ts_ms"), "price", "qty", F.col("history_id").alias("tie"), "trade_class")
+    key = F.split("symbol", "\\|")
+    found = o.bursts(t.where("trade_class = 'liquidation'").withColumn("symbol", F.concat_ws("|", "symbol", "session")), 1_800_000)
+    found = found.select(key[0].alias("symbol"), key[1].cast("int").alias("session"), "start_ms", "end_ms", "n_trades", "notional", "move_bps", "direction")
+    prices = t.groupBy("symbol", "session", "ts_ms").agg((F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("vwap"))
+    return ec.post_cascade_rows(found, prices, [0, 2], [1, 5], 8.0)
+
+
+@query("post_cascade_rows", "select symbol, session, start_ms, end_ms, n_trades, notional, move_bps, direction, anchor_idx, delay_events, horizon, forward_log_return, 8.0::double as round_trip_cost_bps, gross_continuation_bps, gross_reversion_bps, net_reversion_bps, net_reversion_positive from pc_rows", ["pc_rows"], "notional move_bps forward_log_return gross_continuation_bps gross_reversion_bps net_reversion_bps")
+def post_cascade_rows(spark, sf_dir):
+    """M4: bursts of a symbol's day by delay and horizon."""
+    return _cascades(spark, sf_dir)
+
+
+@query("burst_regimes", "select horizon, delay_events, count(*) as n_events, count(distinct session) as n_days, count(distinct symbol) as n_symbols, median(net_reversion_bps) as median_net_bps, avg(net_reversion_bps) as mean_net_bps, avg((net_reversion_bps > 0)::int::double) as frac_positive, median(gross_reversion_bps) as median_gross_reversion_bps from pc_rows group by all", ["pc_rows"], "median_net_bps mean_net_bps frac_positive median_gross_reversion_bps")
+def burst_regimes(spark, sf_dir):
+    """What follows bursts, by horizon and delay."""
+    return ec.burst_regime_summary(_cascades(spark, sf_dir), ["horizon", "delay_events"])
+
+
+_FEES, _ACCURACIES = [-0.5, 1.5, 400.0], [0.55, 0.6]
+
+
+@query(
+    "maker_sensitivity",
+    f"""select maker_fee_bps, accuracy, count(*) filter (alive) as n_cells_alive, count(*) filter (alive and touched > 0.5) as n_cells_alive_with_fill_proxy, coalesce(array_to_string(list_transform((list({{'m': -med, 'l': label}} order by -med, label) filter (alive))[1:5], lambda s: s.l || '(' || printf('%+.2f', -s.m) || 'bp)'), ', '), '') as top_5_cells_by_median_headroom
+    from (select *, med > 0 and pos > 0.5 as alive, symbol || ':$' || floor(size_usd / 1000)::bigint || 'k:H' || horizon as label from (select symbol, size_usd, horizon, maker_fee_bps, accuracy, median((2 * accuracy - 1) * edge_bps - 2 * maker_fee_bps) as med, avg(((2 * accuracy - 1) * edge_bps - 2 * maker_fee_bps > 0)::int::double) as pos, avg((edge_bps >= 1)::int::double) as touched
+    from ({_TAKER}), (select unnest({_FEES})::double as maker_fee_bps), (select unnest({_ACCURACIES})::double as accuracy) where fillable and edge_bps is not null group by all)) group by all""",
+    ["ec_anchor", "ec_idx", "levels"],
+)
+def maker_sensitivity(spark, sf_dir):
+    """Cells that survive a grid of fees and accuracies."""
+    return ec.maker_sensitivity(taker_rows(spark, sf_dir), _FEES, _ACCURACIES)

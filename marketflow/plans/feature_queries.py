@@ -9,6 +9,8 @@ from marketflow.operators import order_events as o
 from marketflow.plans import event_queries  # noqa: F401  its views
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
+from marketflow.sources import store
+from marketflow.sources.shared import shared, written
 
 W = "partition by symbol, session order by ts_ms"
 WB = "partition by symbol, session order by ts_ms, snap_id"
@@ -184,3 +186,17 @@ def window_wyckoff(spark, sf_dir):
 def taker_fills(spark, sf_dir):
     """Fills of the taking side, counted by session."""
     return ef.filter_taker(a.fills(spark, sf_dir)).groupBy("symbol", "session").agg(F.count("*").alias("n"))
+
+
+@query(
+    "event_feature_store",
+    "select symbol, session, count(*) as n, sum(case when session % 3 = 0 then 2 else 1 end * log_return) as log_return from labelled where symbol <> 'P7' group by all",
+    ["labelled"],
+    "log_return",
+)
+def event_feature_store(spark, sf_dir):
+    """Features written by symbol and session, a delta of a third of the sessions, and a pruned read."""
+    path = shared(spark)
+    rows = store.write_event_features(event_table(spark, sf_dir), path)
+    again = store.write_event_features(written(rows.where("session % 3 = 0").withColumn("log_return", F.col("log_return") * 2)), path)
+    return again.where("symbol <> 'P7'").groupBy("symbol", "session").agg(F.count("*").alias("n"), F.sum("log_return").alias("log_return"))

@@ -8,7 +8,8 @@ from marketflow.functions.quantiles import group_quantiles
 from marketflow.operators import regime as r
 from marketflow.registry import query, view
 from marketflow.sources import adapters as a
-from marketflow.sources.shared import written
+from marketflow.sources import store
+from marketflow.sources.shared import shared, written
 
 H = a.HOUR_MS
 HORIZONS = {"1": 1, "6": 6, "24": 24}
@@ -63,7 +64,18 @@ view(
 )
 
 
+_STATES: dict = {}
+
+
 def state(spark, sf_dir):
+    """The regime state of a folder's tables, written once in an application and read by all queries that stand on it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        _STATES[key] = store.write_regime_state(_state(spark, sf_dir), shared(spark))
+    return _STATES[key]
+
+
+def _state(spark, sf_dir):
     return r.regime_state(a.bbo(spark, sf_dir), a.trades(spark, sf_dir), a.prices(spark, sf_dir), H)
 
 
