@@ -19,16 +19,17 @@ another polynomial), the span's document and start, and its number of windows; a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import numbered, written
+from marketflow.llm.common import numbered, shared_dir, written
 from marketflow.llm.textarrays import Hashes, mix, raw, slices
 
 
@@ -225,8 +226,7 @@ def batch_rows(e: Entries, batch: int, shards: int, config: SuffixConfig) -> Ite
     first = first_of(e)
     doc, row, a, b = long_matches(e.take(~first), config.length)
     e = e.take(first)
-    # ranges of keys, by their upper 32 bits
-    shard = ((e.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    shard = shard_of(e.key, shards)
     crowded = spans_per_key(e.key) > config.crowd
     yield _packed(shard[~crowded], batch, ENTRIES, e.take(~crowded))
     if crowded.any():
@@ -438,20 +438,23 @@ def covered(docs: DataFrame, size: int, config: SuffixConfig) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = 2 * size // (config.length - config.gram + 2)
     shards = max(partitions, -(-entries // config.shard_rows))
-    arrays = batches(docs, shards, config).repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
-    found = written(scan(arrays, config), "suffixes")
+    return cuts_of(docs.select("doc", "row", "text"), written(scan(arranged(batches(docs, shards, config), shards), config), "suffixes"), config)
+
+
+def arranged(arrays: DataFrame, shards: int) -> DataFrame:
+    """A shard's arrays one after another, by batch."""
+    return arrays.repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
+
+
+def cuts_of(texts: DataFrame, found: DataFrame, config: SuffixConfig) -> DataFrame:
+    """doc, row, cuts, from what scan() found. texts: doc, row, text of all documents in it."""
     cuts = found.where("key is null").select("doc", "row", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    cuts = cuts.unionByName(compared(fetched(docs.select("doc", "row", "text"), found.where("key is not null"), config), config))
+    cuts = cuts.unionByName(compared(fetched(texts, found.where("key is not null"), config), config))
     return cuts.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
 
 
-def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): a row per row of docs.
-
-    Null texts are empty. Null ids come after all others. Rows of one id with equal texts are one document: neither makes the
-    other's bytes a repeat; with different texts they are documents in the order of a hash of their texts. Texts
-    shorter than `length` lose nothing. Other columns are ignored; an empty table gives an empty result.
-    """
+def without(marked: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of rows (doc_id, text, cuts)."""
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,6 +474,120 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Da
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    return marked.select("doc_id", "text", "cuts").mapInArrow(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def remove_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): a row per row of docs.
+
+    Null texts are empty. Null ids come after all others. Rows of one id with equal texts are one document: neither makes the
+    other's bytes a repeat; with different texts they are documents in the order of a hash of their texts. Texts
+    shorter than `length` lose nothing. Other columns are ignored; an empty table gives an empty result.
+    """
     rows, size, _ = numbered(docs)
-    marked = rows.join(covered(rows, size, config).hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "cuts")
-    return marked.mapInArrow(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return without(rows.join(covered(rows, size, config).hint("merge"), ["doc", "row"], "left"))
+
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of keys, by their upper 32 bits."""
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def fresh(arrays: DataFrame, after: int, shards: int) -> DataFrame:
+    """The array, by shard, of first copies that no level before has: entries of documents after `after`. arrays: arranged()."""
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, family, more = None, LevelFamily(), []
+
+        def level() -> Iterator[pa.RecordBatch]:
+            for e in (family.whole(), Entries.join(more).in_order()):
+                e = e.take(np.flatnonzero(e.doc > after))
+                if len(e):
+                    yield _packed(shard_of(e.key, shards), 0, ENTRIES, e)
+
+        for batch in found:
+            for k in range(len(batch)):
+                kind, n = batch.column("kind")[k].as_py(), batch.column("n")[k].as_py()
+                if batch.column("shard")[k].as_py() != shard:
+                    if shard is not None:
+                        yield from level()
+                    shard, family, more = batch.column("shard")[k].as_py(), LevelFamily(), []
+                if kind in (ENTRIES, CROWDED):
+                    e = Entries(**{f: _wide(batch.column(f)[k].as_py(), n, t) for f, t in FIELDS.items()})
+                    if kind == ENTRIES:
+                        family.add(e)
+                    else:  # a crowd comes to all shards, by its spans; in a level it is at its key's shard
+                        more.append(e)
+        if shard is not None:
+            yield from level()
+
+    return arrays.mapInArrow(of, BATCH)
+
+
+def merged(levels: DataFrame, shards: int) -> DataFrame:
+    """Two levels as one: their arrays merged, shard by shard."""
+
+    def of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
+        for batch in found:
+            for k in range(len(batch)):
+                if batch.column("shard")[k].as_py() != shard:
+                    if parts:
+                        e = Entries.join(parts).in_order()
+                        yield _packed(np.full(len(e), shard), 0, ENTRIES, e)
+                    shard, parts = batch.column("shard")[k].as_py(), []
+                parts.append(Entries(**{f: _wide(batch.column(f)[k].as_py(), batch.column("n")[k].as_py(), t) for f, t in FIELDS.items()}))
+        if parts:
+            e = Entries.join(parts).in_order()
+            yield _packed(np.full(len(e), shard), 0, ENTRIES, e)
+
+    return arranged(levels, shards).mapInArrow(of, BATCH)
+
+
+class SuffixIndex:
+    """Levels of arrays in the shared folder, to which batches of later documents are added.
+
+    A batch gets its arrays, is scanned against every level shard by shard, and loses what they or its own earlier documents have.
+    Its first copies become a new level; while the level before has less than twice as many entries, the two are merged, so there are
+    at most as many levels as twice the logarithm of the entries. `levels` is the manifest: folder and entries of each, oldest first;
+    `texts` the folders of the documents added, for comparison by bytes.
+    """
+
+    def __init__(self, spark: SparkSession, shards: int, config: SuffixConfig = SuffixConfig()):
+        self.spark, self.shards, self.config = spark, shards, config
+        self.levels: list[tuple[str, int]] = []
+        self.texts: list[str] = []
+        self.newest = -1
+
+    def _put(self, df: DataFrame, name: str) -> str:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def _level(self, path: str, number: int) -> DataFrame:
+        return self.spark.read.schema(BATCH).parquet(path).withColumn("batch", F.lit(number).cast("long"))
+
+    def add_batch(self, docs: DataFrame) -> DataFrame:
+        """As remove_repeats(), for the new documents. Their ids must be there and greater than all that were added before, and none may come twice."""
+        low, high, n, ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count_distinct("doc_id")).first()
+        if n and (ids < n or low <= self.newest):
+            raise ValueError("ids of a batch must be new, not null, and greater than those before")
+        rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.lit(0).cast("long").alias("row"), "text")
+        self.texts.append(self._put(rows, "texts"))
+        rows = self.spark.read.schema(rows.schema).parquet(self.texts[-1])
+        every = self.spark.read.schema(rows.schema).parquet(*self.texts).select("doc", "row", "text")
+        arrays = batches(rows, self.shards, self.config)
+        for k, (path, _) in enumerate(self.levels):
+            arrays = arrays.unionByName(self._level(path, k - len(self.levels)))
+        whole = self._put(arranged(arrays, self.shards), "arrays")
+        arrays = arranged(self.spark.read.schema(BATCH).parquet(whole), self.shards)
+        found = written(scan(arrays, self.config), "suffixes")
+        cuts = cuts_of(every, found, self.config).where(F.col("doc") > self.newest)
+        out = written(without(rows.join(cuts.hint("merge"), ["doc", "row"], "left")), "batch")
+        path = self._put(fresh(arrays, self.newest, self.shards), "level")
+        self.levels.append((path, self._level(path, 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+        while len(self.levels) > 1 and 2 * self.levels[-1][1] > self.levels[-2][1]:
+            (a, some), (b, others) = self.levels[-2:]
+            self.levels[-2:] = [(self._put(merged(self._level(a, 0).unionByName(self._level(b, 1)), self.shards), "level"), some + others)]
+        self.newest = high if n else self.newest
+        return out
