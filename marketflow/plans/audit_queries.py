@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketflow.operators import archives as ar
 from marketflow.operators import audits as au
 from marketflow.plans import regime_queries  # noqa: F401  its views
 from marketflow.registry import query, view
@@ -153,3 +154,38 @@ def symbol_lifecycle(spark, sf_dir):
     previous = x.where("u % 6 < 4").select("symbol", F.expr(_PREVIOUS).alias("lifecycle_state"))
     baseline = x.where("u % 23 <> 9").select("symbol", F.when(F.col("u") % 19 != 6, "yes").otherwise("no").alias("post_cost_baseline_pass"))
     return au.symbol_lifecycle(x.where("u % 8 <> 7"), previous, baseline, au.LifecycleConfig(10, 30))
+
+
+_NOW, _BACK = 1_706_000_000_000, 7 * 86_400_000
+_TIMES = {"first_seen_ms": "event_ts_ms", "uploaded_ms": "case when k % 2 = 0 then event_ts_ms + 60000 end", "pruned_ms": "case when k % 5 = 0 then event_ts_ms + 3600000 end"}
+view("file_states", f"select event_type as status, case when k < 30 then 'e' || (k % 4) end as error, case when event_id % 19 <> 0 then k * 100 end as size_bytes, {', '.join(f'{v} as {n}' for n, v in _TIMES.items())} from ev", ["ev"])
+_SUM = "count(*) as files, coalesce(sum(size_bytes), 0)::bigint as bytes"
+
+
+@query(
+    "archive_states",
+    f"""select 'status' as report, status as name, null::varchar as error, {_SUM} from file_states group by status union all select 'with_errors', null, null, {_SUM} from file_states where error is not null
+    union all select 'errors_by_status', status, null, {_SUM} from file_states where error is not null group by status union all select * from (select 'top_errors', status, error, {_SUM} from file_states where error is not null group by status, error order by count(*) desc, status, error limit 5)
+    union all {' union all '.join(f"select 'recent', '{n}', null, {_SUM} from file_states where {n} >= {_NOW - _BACK}" for n in _TIMES)}""",
+    ["file_states"],
+)
+def archive_states(spark, sf_dir):
+    """States of files, errors, recent activity."""
+    e = a.events(spark, sf_dir)
+    k = F.col("k")
+    files = e.select(F.col("event_type").alias("status"), F.when(k < 30, F.concat(F.lit("e"), k % 4)).alias("error"), F.when(F.col("event_id") % 19 != 0, k * 100).alias("size_bytes"), *[F.expr(v).alias(n) for n, v in _TIMES.items()])
+    return ar.state_rollups(files, list(_TIMES), _NOW, _BACK, 5)
+
+
+@query(
+    "archive_inventory",
+    f"""select channel, symbol, count(distinct file) as file_count, count(*) as row_count, max(event_ts_ms) as latest_event_ts_ms, max(recv_ms) as latest_recv_ms, ({_NOW} - max(recv_ms)) / 1000::double as latest_age_s from (
+    select 'trades' as channel, symbol, event_ts_ms, recv_ms, symbol || event_ts_ms // 86400000 as file from trades union all select 'bbo', case when symbol = 'error' then 'UNKNOWN' else symbol end, event_ts_ms, recv_ms, symbol || event_ts_ms // 3600000 from bbo) group by channel, symbol""",
+    ["trades", "bbo"],
+    "latest_age_s",
+)
+def archive_inventory(spark, sf_dir):
+    """Files, rows and latest times by channel and symbol."""
+    side = lambda t, name, ms: t.select(F.lit(name).alias("channel"), "symbol", "event_ts_ms", "recv_ms", F.concat("symbol", F.expr(f"event_ts_ms div {ms}")).alias("file"))
+    both = side(a.trades(spark, sf_dir), "trades", 86_400_000).unionByName(side(a.bbo(spark, sf_dir), "bbo", 3_600_000).withColumn("symbol", F.when(F.col("symbol") != "error", F.col("symbol"))))
+    return ar.inventory_report(both, _NOW, "file")
