@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from marketflow import registry
-from marketflow.plans import audit_queries, economics_queries, evaluation_queries, event_queries, feature_queries, manifest_queries, probe_queries, regime_queries, silver_queries, stream_queries, study_queries, validation_queries, window_queries  # noqa: F401
+from marketflow.plans import audit_queries, cascade_queries, economics_queries, evaluation_queries, event_queries, feature_queries, manifest_queries, probe_queries, regime_queries, silver_queries, stream_queries, study_queries, validation_queries, window_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
