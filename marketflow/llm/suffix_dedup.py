@@ -127,22 +127,34 @@ def spans_per_key(keys: np.ndarray) -> np.ndarray:
     return np.repeat(sizes, sizes)
 
 
-def search(level: Entries, batch: Entries) -> np.ndarray:
-    """Place in level of the entry with the same key and span, or -1."""
-    low, high = np.searchsorted(level.key, batch.key), np.searchsorted(level.key, batch.key, "right")
-    there = low < high
-    open_ = np.flatnonzero(high - low > 1)
-    a, b = low[open_], high[open_] - 1
-    while len(open_):  # all still open ranges are halved at once
-        half = (a + b) // 2
-        right = level.span[half] < batch.span[open_]
-        a, b = np.where(right, half + 1, a), np.where(right, b, half)
-        done = a >= b
-        low[open_[done]] = a[done]
-        open_, a, b = open_[~done], a[~done], b[~done]
-    low = np.minimum(low, max(len(level) - 1, 0))
-    same = there & (level.key[low] == batch.key) & (level.span[low] == batch.span) if len(level) else there & False
-    return np.where(same, low, -1)
+def merge_scan(level: Entries, batch: Entries) -> np.ndarray:
+    """Place in level of the entry with the same key and span, or -1.
+
+    Both arrays are merged by key in one stable pass over their sorted runs; where a key is in both, the spans of the two are
+    merged in the same way, and equal neighbours from either side are matches.
+    """
+    out = np.full(len(batch), -1)
+    n = len(level)
+    if not n or not len(batch):
+        return out
+    keys = np.concatenate([level.key, batch.key])
+    order = np.argsort(keys, kind="stable")  # two sorted runs: a merge, in which the level's entries of a key come first
+    run = np.cumsum(heads(keys[order]))
+    mine = order >= n
+    both = np.zeros(int(run[-1]) + 1, bool)
+    both[run[mine]] = True
+    has = np.zeros(len(both), bool)
+    has[run[~mine]] = True
+    some = np.flatnonzero((both & has)[run])
+    at, group = order[some], run[some]
+    span = np.where(at < n, level.span[np.minimum(at, n - 1)], batch.span[np.maximum(at - n, 0)])
+    inner = np.lexsort((at, span, group))  # the level's entry of a span comes before the batch's
+    at, group, span = at[inner], group[inner], span[inner]
+    new = heads(group, span)
+    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    hit = (at >= n) & (first < n)
+    out[at[hit] - n] = first[hit]
+    return out
 
 
 class LevelFamily:
@@ -155,7 +167,7 @@ class LevelFamily:
         """Scan a batch against all levels, keep what is new; the entries that turn out to be later copies."""
         copies = []
         for level in self.levels:
-            at = search(level, batch)
+            at = merge_scan(level, batch)
             hit = np.flatnonzero(at >= 0)
             mine, theirs = batch.take(hit), level.take(at[hit])
             early = (mine.doc < theirs.doc) | (mine.doc == theirs.doc) & ((mine.row < theirs.row) | (mine.row == theirs.row) & (mine.start < theirs.start))
