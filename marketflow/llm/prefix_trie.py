@@ -170,7 +170,7 @@ def sketch(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def screened(rows: DataFrame, several: np.ndarray, bits: int) -> DataFrame:
-    """rows and kind: 0 may be shared, 1 the first node of a proven tail, 2 a node whose parent is proven as well."""
+    """rows and kind: 0 may be shared, 1 the first node of a proven tail, 2 a node whose parent is proven as well, 3 a node that is not proven, as its cells are shared, though its parent is."""
     shared = rows.sparkSession.sparkContext.broadcast(several)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def screened(rows: DataFrame, several: np.ndarray, bits: int) -> DataFrame:
             depth = batch.column("depth").to_numpy()
             own = proven(batch.column("node")) & (depth > 0)
             above = proven(batch.column("parent").fill_null(ROOT)) & (depth > 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(own, np.where(above, 2, 1), 0).astype(np.int32))], [*batch.schema.names, "kind"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(own, np.where(above, 2, 1), np.where(above, 3, 0)).astype(np.int32))], [*batch.schema.names, "kind"])
 
     return rows.mapInArrow(of, PREFIXES + ", kind int")
 
@@ -223,9 +223,9 @@ def trie(rows: DataFrame, config: TrieConfig) -> DataFrame:
     total = rows.count()
     bits = min(max((config.cells * max(total, 1) - 1).bit_length(), config.bits[0]), config.bits[1])
     rows = written(screened(rows, sketch(rows.where("depth > 0"), bits), bits), "screened")
-    shared, tails = rows.where("kind = 0"), rows.where("kind > 0")
-    nodes = shared.groupBy("node").agg(F.min(F.struct("conv_id", "source", "place")).alias("x"), F.count("*").alias("n_convs"), F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.max("n").alias("n"))
-    nodes = written(nodes.select("node", "x.*", "n_convs", "depth", "parent", "n"), "nodes")
+    shared, tails = rows.where("kind in (0, 3)"), rows.where("kind in (1, 2)")
+    nodes = shared.groupBy("node").agg(F.min(F.struct("conv_id", "source", "place")).alias("x"), F.count("*").alias("n_convs"), F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.max("n").alias("n"), F.max("kind").alias("kind"))
+    nodes = written(nodes.select("node", "x.*", "n_convs", "depth", "parent", "n", "kind"), "nodes")
     below = nodes.where("depth > 0").select("parent").unionByName(tails.where("kind = 1").select("parent")).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = written(nodes.join(below, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
     earned = (F.col("n_convs") - 1) * F.col("n")
@@ -236,7 +236,7 @@ def trie(rows: DataFrame, config: TrieConfig) -> DataFrame:
     known = nodes.withColumn("above", above).join(sums, "node").join(ends(shared.where("is_end").select("node", "conv_id"), config), "node", "left")
     known = known.select(
         "conv_id", "depth", "parent", "n_convs", "n_children", F.col("n_leaves").cast("long").alias("n_leaves"), (F.col("earned") - F.col("above")).alias("saved_tokens"),
-        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"), "source", "place",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"), "source", "place", "kind",
     )
     own = tails.select(
         "conv_id", "depth", "parent", F.lit(1).cast("long").alias("n_convs"), F.when(F.col("is_end"), 0).otherwise(1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"),
@@ -246,10 +246,12 @@ def trie(rows: DataFrame, config: TrieConfig) -> DataFrame:
     line = max(1000, -(-shared.count() // config.hot))
     hot = spark.createDataFrame(nodes.where(F.col("n_convs") >= line).select("node", "conv_id").collect(), "parent binary, parent_conv_id long")
     rest = nodes.where(F.col("n_convs") < line).select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    asking = known.where("depth > 0").unionByName(own.where("kind = 1").drop("kind"))
+    asking = known.where("depth > 0 and kind = 0").unionByName(own.where("kind = 1")).drop("kind")
     told = asking.join(F.broadcast(hot), "parent").unionByName(asking.join(F.broadcast(hot), "parent", "left_anti").join(rest.hint("merge"), "parent"))
-    roots = known.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
-    out = told.unionByName(own.where("kind = 2").drop("kind").withColumn("parent_conv_id", F.col("conv_id"))).unionByName(roots)
+    # the parent of kinds 2 and 3 is in one conversation alone, so that one is theirs as well
+    lone = known.where("kind = 3").unionByName(own.where("kind = 2")).drop("kind").withColumn("parent_conv_id", F.col("conv_id"))
+    roots = known.where("depth = 0").drop("kind").withColumn("parent_conv_id", F.lit(None).cast("long"))
+    out = told.unionByName(lone).unionByName(roots)
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "source", "place")
 
 

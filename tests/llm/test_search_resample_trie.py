@@ -184,3 +184,11 @@ def test_sketch_never_calls_a_shared_prefix_alone(spark):
         shared = kinds.groupBy("node").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where("n > 1 and kind > 0").count()
         assert shared == 0
         assert bits == 4 or kinds.where("kind = 2").count() > 500
+
+
+@pytest.mark.parametrize("config", [prefix_trie.TrieConfig(borrow=100), prefix_trie.TrieConfig(borrow=100, bits=(8, 12))])
+def test_prefix_trie_keeps_nodes_whose_parent_alone_is_proven(spark, config):
+    rows = [(c, t, "user", f"{c if t > c % 5 else c % 7} {t}") for c in range(3000) for t in range(c % 13)] + [(100 * k + 7, None, None, "x") for k in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = Counter(tuple(r) for r in prefix_trie.prefix_trie(df, config).drop("source", "place").collect())
+    assert got == Counter(plain_trie(rows, 100).values())
