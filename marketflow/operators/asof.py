@@ -15,11 +15,10 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
     r = right.select(*by, F.col(right_time).alias("__t"), F.lit(0 if not forward else 1).alias("__side"), F.col(tie).cast("long").alias("__tie"), F.struct(*fields).alias("__q"))
     x = left.select(*by, F.col(left_time).alias("__t"), F.lit(1 if not forward else 0).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.struct(*left.columns).alias("__l"))
     both = r.unionByName(x, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("__t", "__side", "__tie")
-    if forward:
-        found = F.first("__q", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("__q", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # a frame that ends at the row itself grows with it; one that starts there would be read anew for every row, so forward goes backwards
+    keys = ["__t", "__side", "__tie"]
+    order = Window.partitionBy(*by).orderBy(*[F.col(k).desc() if forward else F.col(k) for k in keys])
+    found = F.last("__q", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__f", found).where("__l is not null")
     return out.select("__l.*", *[F.col("__f")[c].alias(c) for c in ["asof_time", *take]])
 

@@ -230,3 +230,11 @@ def test_accepted_drops_what_the_mark_has_passed(spark):
     rows = spark.createDataFrame([(100, 0), (50, 1), (95, 1), (200, 1), (150, 2), (195, 2)], "t long, __slice int")
     assert sorted(r.t for r in accepted(rows, rows, "t", 10).collect()) == [95, 100, 195, 200]
     assert accepted(rows.where("false"), rows.where("false"), "t", 10).count() == 0
+
+
+def test_forward_asof_reads_no_frame_anew_for_every_row(spark):
+    left = spark.createDataFrame([("a", t) for t in range(0, 40, 3)], "k string, t long")
+    right = spark.createDataFrame([("a", q, q * 10 + n, n) for q in range(0, 30, 4) for n in (2, 1)], "k string, q long, v long, id long")
+    found = asof.asof(left, right, ["k"], "t", "q", ["v"], "id", forward=True)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {(x.t, x.v) for x in found.collect()} == {(t, -(-t // 4) * 40 + 1 if t <= 28 else None) for t in range(0, 40, 3)}
