@@ -238,3 +238,19 @@ def test_forward_asof_reads_no_frame_anew_for_every_row(spark):
     found = asof.asof(left, right, ["k"], "t", "q", ["v"], "id", forward=True)
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert {(x.t, x.v) for x in found.collect()} == {(t, -(-t // 4) * 40 + 1 if t <= 28 else None) for t in range(0, 40, 3)}
+
+
+def test_event_features_do_not_hang_on_the_length_of_spans(spark, monkeypatch):
+    from marketflow.plans.feature_queries import ERA, HOLDOUT
+    from marketflow.sources import adapters as a
+
+    monkeypatch.setattr(o, "WIDTH", 60)
+    monkeypatch.setattr(o, "HORIZONS", [10, 50])
+    book, fills = (f(spark, "/root/testdata/sf0.01").where("symbol = 'P3' and session between 1995 and 1997").cache() for f in (a.book, a.fills))
+    whole, cut = ({(r.symbol, r.session, r.ts_ms): tuple(r)[3:] for r in ef.event_features(fills, book, ERA, HOLDOUT, size=n).collect()} for n in (20_000, 250))
+    assert len(whole) > 2000 and whole.keys() == cut.keys()
+    names = [*ef.FEATURES, *[f"dir_h{h}" for h in o.HORIZONS], *ef.LABELS]
+    differ = {n: sum((x[i] is None) != (cut[k][i] is None) or x[i] is not None and abs(x[i] - cut[k][i]) > 1e-6 for k, x in whole.items()) for i, n in enumerate(names)}
+    assert not {n: c for n, c in differ.items() if c}
+    flat = [o.flat_features(ef.event_features(fills, book, ERA, HOLDOUT), ["log_return"], 200, 50, size=n).collect() for n in (400, 3)]
+    assert len(flat[0]) > 20 and sorted(flat[0]) == sorted(flat[1])
