@@ -177,16 +177,18 @@ def flat_features(events: DataFrame, columns: list[str], length: int, stride: in
 
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_idx")
-        n = (len(pdf) - length) // stride + 1 if len(pdf) >= length else 0
+        n = (len(pdf) - length) // stride + 1
         out: dict = {DAY[0]: [key[0]] * n, DAY[1]: [key[1]] * n, "window_start": key[2] * wide + np.arange(n) * stride}
-        for c in columns if n else ():
+        for c in columns:
             out |= {f"{c}_{k}": v for k, v in kernel.moments(pdf[c].to_numpy(np.float64), length, stride).items()}
         return pd.DataFrame(out, columns=[*DAY, "window_start", *names])
 
     kinds = dict(events.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in DAY), "window_start long", *(f"`{n}` double" for n in names)])
     first = F.greatest(F.expr(f"(event_idx - {length - 1}) div {wide}"), F.lit(0).cast("long"))
-    x = indexed(events.select(*DAY, "ts_ms", *columns)).withColumn("span", F.explode(F.sequence(first, F.expr(f"event_idx div {wide}"))))
+    x = indexed(events.select(*DAY, "ts_ms", *columns)).withColumn("__n", F.count("*").over(Window.partitionBy(*DAY)))
+    fits = F.filter(F.sequence(first, F.expr(f"event_idx div {wide}")), lambda c: c * wide + length <= F.col("__n"))  # a span without a window gives no group
+    x = x.withColumn("span", F.explode(fits)).drop("__n")
     return x.groupBy(*DAY, "span").applyInPandas(of, schema)
 
 
