@@ -35,5 +35,6 @@ def group_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column
         i = number[name]
         parts += [F.max(F.when(holds(i, F.floor(spot(q))), F.col("v"))).alias(f"__lo_{name}"), F.max(F.when(holds(i, F.ceil(spot(q))), F.col("v"))).alias(f"__hi_{name}"), F.max(F.when(F.col("m") == i, spot(q) - F.floor(spot(q)))).alias(f"__f_{name}")]
     out = placed.groupBy(*by).agg(*parts)
-    value = lambda n: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")
+    # one rounding for the product and the sum: an edge that falls onto a value is that value
+    value = lambda n: F.when(F.col(f"__lo_{n}").isNotNull(), F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col(f"__lo_{n}"), 1 - F.col(f"__f_{n}"), F.col(f"__hi_{n}") * F.col(f"__f_{n}")).cast("double"))
     return out.select(*by, *[value(n).alias(n) for n in wanted])

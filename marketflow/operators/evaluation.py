@@ -23,8 +23,9 @@ def above_daily_quantile(rows: DataFrame, by: list[str], score: str, share: floa
 
 def quintiles(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """rows with quintile 1 .. 5 of their cell; 0 where the cell has under 5 rows or its edges coincide."""
-    edges = rows.groupBy(*by).agg(F.percentile(score, F.array(*[F.lit(q / 5) for q in range(6)])).alias("__e"), F.count("*").alias("__n"))
-    flat = (F.col("__n") < 5) | (F.size(F.array_distinct("__e")) < 6)
+    found = group_quantiles(rows, by, {f"__{q}": (F.col(score), q / 5) for q in range(6)}).select(*by, F.array(*[f"__{q}" for q in range(6)]).alias("__e"))
+    edges = rows.groupBy(*by).agg(F.count("*").alias("__n")).join(found, by, "left")
+    flat = (F.col("__n") < 5) | F.col("__e").isNull() | (F.size(F.array_distinct("__e")) < 6)
     group = F.greatest(F.lit(1), F.size(F.filter("__e", lambda e: e < F.col(score))))
     x = rows.join(edges, by).withColumn("quintile", F.when(flat, 0).otherwise(group))
     full = F.size(F.collect_set("quintile").over(Window.partitionBy(*by))) == 5

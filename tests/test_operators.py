@@ -254,3 +254,13 @@ def test_event_features_do_not_hang_on_the_length_of_spans(spark, monkeypatch):
     assert not {n: c for n, c in differ.items() if c}
     flat = [o.flat_features(ef.event_features(fills, book, ERA, HOLDOUT), ["log_return"], 200, 50, size=n).collect() for n in (400, 3)]
     assert len(flat[0]) > 20 and sorted(flat[0]) == sorted(flat[1])
+
+
+def test_quintile_edges_are_rounded_once(spark):
+    """An edge between 1.8516216216216215 and the next double falls onto the former, so the latter lies above it."""
+    values = [0.5272972972972974, 0.5891891891891892, 0.6772972972972973, 1.1032432432432433, 1.6202702702702703, 1.6362162162162162, 1.7143243243243242, 1.8056756756756756, 1.8164864864864865, 1.8516216216216215, 1.8516216216216217, 1.8745945945945945]
+    values += [1.905945945945946, 1.9508108108108106, 2.024054054054054, 2.154864864864865, 2.6672972972972975, 2.9783783783783786, 3.0081081081081082, 3.2105405405405403, 3.3802702702702705, 3.6567567567567565, 3.9481081081081077, 4.294594594594595]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)], "k string, v double")
+    got = {(r.k, r.v): r.quintile for r in ev.quintiles(df, ["k"], "v").collect()}
+    assert [got["a", v] for v in values] == [1] * 5 + [2] * 5 + [3] * 4 + [4] * 5 + [5] * 5
+    assert got["b", None] == 0
