@@ -145,10 +145,7 @@ def stream_bursts(spark, sf_dir):
     span = _span(spark, sf_dir)
     t = _come(a.trades(spark, sf_dir).where(r.is_liquidation(["trade_class"])), span)
     final = replay({"trades": t}, shared(spark), lambda x: st.stream_bursts(x["trades"], "1 hour", LATE))
-    newest = t.agg(F.max("event_ts_ms")).first()[0] or 0
-    # an open session holds no row that ends an hour or more behind the mark, and none of a closed one
-    on_time = accepted(t, t, "event_ts_ms", LATE_MS - H).drop("__slice")
-    return with_open(final, st.stream_bursts(on_time, "1 hour", LATE).where(F.col("end_ms") + H > newest - LATE_MS), ["symbol", "start_ms"])
+    return with_open(final, st.open_bursts(t, H, LATE_MS), ["symbol", "start_ms"])
 
 
 @query("stream_latest", "select symbol, count(*) as n, max(event_ts_ms) as event_ts_ms, arg_max(price, (event_ts_ms, history_id)) as price, arg_max(qty, (event_ts_ms, history_id)) as qty from trades group by symbol", ["trades"], "price qty")

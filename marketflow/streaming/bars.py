@@ -34,6 +34,28 @@ def stream_bursts(trades: DataFrame, gap: str = "30 minutes", late: str = "1 hou
     return out.where("n_trades >= 2").drop("session_window")
 
 
+def open_bursts(arrived: DataFrame, gap_ms: int, late_ms: int, slices: int = 3) -> DataFrame:
+    """The bursts that stream_bursts() leaves open after all slices of arrivals() of liquidations, from tables.
+
+    A slice's watermark closes sessions before its rows come; rows whose own session it has passed are dropped, the others join what is open.
+    """
+    newest = dict(arrived.groupBy("__slice").agg(F.max("event_ts_ms")).collect())  # a row a slice
+    one = F.lit(1).cast("long").alias("n_trades"), "qty", F.col("event_ts_ms").alias("start_ms"), F.col("event_ts_ms").alias("end_ms")
+    held, mark = None, None
+    for k in range(slices + 1):
+        alive = F.lit(True) if mark is None else F.col("end_ms") + gap_ms > mark - late_ms
+        held = held.where(alive) if held is not None else None
+        if k == slices:
+            break
+        come = arrived.where(F.col("__slice") == k).select("symbol", *one).where(alive)
+        held = come if held is None else held.unionByName(come)
+        # a session's own length and the gap are its window's
+        length = F.concat((F.col("end_ms") - F.col("start_ms") + gap_ms).cast("string"), F.lit(" milliseconds"))
+        held = held.withColumn("ts", F.timestamp_millis("start_ms")).groupBy("symbol", F.session_window("ts", length)).agg(F.sum("n_trades").alias("n_trades"), F.sum("qty").alias("qty"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("session_window")
+        mark = max((v for v in (mark, newest.get(k)) if v is not None), default=None)
+    return held.where("n_trades >= 2")
+
+
 def stream_latest(rows: DataFrame, value: list[str], late: str = "1 hour") -> DataFrame:
     """Per symbol: rows so far, and the newest row's values; for complete mode, a row a symbol of state."""
     newest = F.max_by(F.struct("event_ts_ms", *value), F.struct("event_ts_ms", "history_id")).alias("r")

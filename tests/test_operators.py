@@ -20,6 +20,7 @@ from marketflow.operators import window_studies as ws
 from marketflow.sources import manifests as m
 from marketflow.sources import raw
 from marketflow.streaming.asof import stream_asof
+from marketflow.streaming import bars
 from marketflow.streaming.replay import accepted, replay
 
 
@@ -264,3 +265,11 @@ def test_quintile_edges_are_rounded_once(spark):
     got = {(r.k, r.v): r.quintile for r in ev.quintiles(df, ["k"], "v").collect()}
     assert [got["a", v] for v in values] == [1] * 5 + [2] * 5 + [3] * 4 + [4] * 5 + [5] * 5
     assert got["b", None] == 0
+
+
+def test_open_bursts_keep_late_rows_and_leave_closed_ones_apart(spark):
+    """With a gap of 10 and a delay of 100 the second slice finds all up to 100 closed: a late row at 95 is taken, but not joined to the burst that ended at 88."""
+    rows = [(0, 80), (0, 88), (0, 102), (0, 111), (0, 200), (1, 90), (1, 95), (1, 109)]
+    arrived = spark.createDataFrame([("a", t, 1.0, s) for s, t in rows], "symbol string, event_ts_ms long, qty double, __slice int")
+    got = bars.open_bursts(arrived, 10, 100, 2).select("n_trades", "qty", "start_ms", "end_ms").collect()
+    assert [tuple(r) for r in got] == [(4, 4.0, 95, 111)]
