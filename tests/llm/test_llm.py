@@ -301,6 +301,14 @@ def test_quality_rules_base_counts(spark, table, empty):
     assert rules.judge(empty, trusted).count() == 0 and rules.judge(table, trusted.limit(0)).count() == len(texts())
 
 
+def test_quality_threshold_is_that_of_all_trusted_documents(spark):
+    ids = spark.range(10_600).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(52)), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(997)).cast("string")), " "))
+    rows = rules.judge(docs, docs.select("doc_id"), rules.RatioConfig(keep=0.5)).collect()
+    bound = np.quantile([r.score for r in rows if not r.base_failed], 0.5)
+    assert sum(not r.base_failed for r in rows) > 10_500 and all(r.kept == (not r.base_failed and r.score >= bound) for r in rows)
+
+
 def test_mixing_comes_near_its_targets(table, empty):
     rows = mixing.mix(table, mixing.MixConfig(block_words=4, shard_words=300), carry=["text", "source"]).cache()
     assert all(0 <= r.taken <= 2 * r.size for r in rows.collect())
