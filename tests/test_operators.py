@@ -273,3 +273,16 @@ def test_open_bursts_keep_late_rows_and_leave_closed_ones_apart(spark):
     arrived = spark.createDataFrame([("a", t, 1.0, s) for s, t in rows], "symbol string, event_ts_ms long, qty double, __slice int")
     got = bars.open_bursts(arrived, 10, 100, 2).select("n_trades", "qty", "start_ms", "end_ms").collect()
     assert [tuple(r) for r in got] == [(4, 4.0, 95, 111)]
+
+
+def test_replay_works_its_tables_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = spark.range(30).selectExpr("id", "cast(id % 3 as int) as __slice").mapInArrow(counted, "id long, __slice int")
+    out = replay({"t": t}, str(tmp_path), lambda x: x["t"])
+    assert sorted(r.id for r in out.collect()) == list(range(30)) and seen.value == 30
