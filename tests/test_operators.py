@@ -21,6 +21,7 @@ from marketflow.sources import manifests as m
 from marketflow.sources import raw
 from marketflow.streaming.asof import stream_asof
 from marketflow.streaming import bars
+from marketflow.streaming.asof import stream_asof
 from marketflow.streaming.replay import accepted, replay
 
 
@@ -286,3 +287,13 @@ def test_replay_works_its_tables_out_once(spark, tmp_path):
     t = spark.range(30).selectExpr("id", "cast(id % 3 as int) as __slice").mapInArrow(counted, "id long, __slice int")
     out = replay({"t": t}, str(tmp_path), lambda x: x["t"])
     assert sorted(r.id for r in out.collect()) == list(range(30)) and seen.value == 30
+
+
+def test_stream_asof_over_many_cells(spark, tmp_path):
+    """Cells of 10 ms: quotes are carried over cells without any."""
+    t = [(i, 7 * i, i // 20) for i in range(60)]
+    events = spark.createDataFrame([("a", i, at, k) for i, at, k in t], "s string, id long, at long, __slice int")
+    quotes = spark.createDataFrame([("a", i, at - at % 35 + 1, float(i), k) for i, at, k in t if i % 5 == 0], "s string, q long, at long, mid double, __slice int")
+    got = replay({"e": events, "q": quotes}, str(tmp_path), lambda x: stream_asof(x["e"], x["q"], ["s"], "at", ["mid"], "q", "50 milliseconds", 10)).collect()
+    want = {i: max((a for _, a in ((j, 7 * j - 7 * j % 35 + 1) for j in range(0, 60, 5)) if a <= 7 * i), default=None) for i in range(60)}
+    assert len({r.id for r in got}) == len(got) > 40 and all(r.asof_time == want[r.id] for r in got)
