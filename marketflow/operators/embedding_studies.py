@@ -173,7 +173,8 @@ def permuted_cells(rows: DataFrame, key: str, cluster: str, label: str, permutat
     counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0)))  # at most 4,096 rows a replicate
     place = lambda rank: sum((F.when(rank >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     counts = counts.withColumns({"__low": place(F.col("__before")), "__high": place(F.col("__before") + F.col("__m") - 1)})
-    x = x.join(counts.select("replicate", "__c", "__before", "__low", "__high"), ["replicate", "__c"])
+    # 4,096 rows a replicate are many for a broadcast, which would go through the driver's memory
+    x = x.join(counts.select("replicate", "__c", "__before", "__low", "__high").hint("merge"), ["replicate", "__c"])
     whole = x.where("__low = __high").select("replicate", cluster, F.col("__low").alias("__p"))
     cut = x.where("__low <> __high").withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy("replicate", "__c").orderBy("__h", key)) - 1)
     names = F.array(*[F.lit(r[label]) for r in sizes])
@@ -185,7 +186,8 @@ def agreement(rows: DataFrame, key: str, cluster: str, label: str, permutations:
     """One row: ari of clusters and labels, and mean, p95, p99 and maximum of it over permuted labels. Rows without a cluster or a label are left out."""
     x = rows.where(F.col(cluster).isNotNull() & F.col(label).isNotNull())
     real = adjusted_rand(x.groupBy(cluster, label).agg(F.count("*").alias("n")), [], cluster, label, "n")
-    null = adjusted_rand(permuted_cells(x, key, cluster, label, permutations, seed), ["replicate"], cluster, label, "n")
+    cells = written(permuted_cells(x, key, cluster, label, permutations, seed))  # few rows, read three times
+    null = adjusted_rand(cells, ["replicate"], cluster, label, "n")
     stats = null.agg(F.avg("ari").alias("null_mean"), F.percentile("ari", 0.95).alias("null_p95"), F.percentile("ari", 0.99).alias("null_p99"), F.max("ari").alias("null_max"))
     return real.join(F.broadcast(stats))  # a row each
 

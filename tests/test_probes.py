@@ -147,6 +147,14 @@ def test_agreement_and_its_permutations(spark):
     assert {(x.replicate, x.y): x["sum(n)"] for x in found} == {(k, y): n for k in (1, 2, 3) for y, n in Counter(y for *_, y in rows).items()}
 
 
+def test_permuted_cells_are_not_broadcast(spark):
+    df = spark.range(3000).selectExpr("id", "id % 4 as c", "id % 3 as y")
+    x = e.permuted_cells(df, "id", "c", "y", 20, 1)
+    assert sum(r.n for r in x.collect()) == 60_000
+    plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_rank_summary_matches_singular_values(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(5, 1, (300, 3)) @ rng.normal(0, 1, (3, 12)) + rng.normal(0, 1e-3, (300, 12))
