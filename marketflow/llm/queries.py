@@ -43,7 +43,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = token_files.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
     path = token_files.folder(spark)
     token_files.write(documents(spark, sf_dir), path, config)
-    return token_files.digests(token_files.read(spark, path, config.stride))
+    return token_files.digests(token_files.read(spark, path, config.stride, packed=True))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import shared_dir, written
-from marketflow.llm.memo import Memo, word_keys
+from marketflow.llm.memo import Memo, spread, word_keys
 from marketflow.llm.textarrays import raw, slices
 
 #: Classes of code points as the byte-level pattern tells them apart.
@@ -92,23 +92,24 @@ class Encoder:
         """Ids of pre-tokens, one after another, and how many each has. A space and letters can be encoded in a row,
         as each such word's first id, and no other, starts with a space."""
         plain = np.array([w[0] == " " and w[1:].isalpha() for w in words])
-        sizes, parts = np.zeros(len(words), np.int64), {}
+        sizes, begins, parts, end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         rows = np.flatnonzero(plain)
         for i in range(0, len(rows), 2000):
             some = rows[i : i + 2000]
-            ids = np.array(self.library.encode("".join(words[k] for k in some), add_special_tokens=False).ids)
+            ids = np.array(self.library.encode_batch_fast(["".join([words[k] for k in some.tolist()])], add_special_tokens=False)[0].ids)
             begin = np.flatnonzero(self.spaced[ids])
             if len(begin) != len(some):
                 plain[some] = False
                 continue
-            counts = np.diff(np.append(begin, len(ids)))
-            sizes[some] = counts
-            parts.update(zip(some.tolist(), np.split(ids, begin[1:]), strict=True))
+            sizes[some], begins[some] = np.diff(np.append(begin, len(ids))), end + begin
+            parts.append(ids)
+            end += len(ids)
         rest = np.flatnonzero(~plain)
         for k, e in zip(rest.tolist(), self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            parts[k] = np.array(e.ids, np.int64)
-            sizes[k] = len(e.ids)
-        return np.concatenate([parts[k] for k in range(len(words))]) if words else np.zeros(0, np.int64), sizes
+            sizes[k], begins[k] = len(e.ids), end
+            parts.append(np.array(e.ids, np.int64))
+            end += len(e.ids)
+        return spread(np.concatenate(parts) if parts else np.zeros(0, np.int64), begins, sizes), sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -239,17 +240,24 @@ class Decoder:
         self.sizes = lengths.astype(np.int64)
 
     def decode(self, bits: bytes, starts: np.ndarray, n: int, stride: int) -> np.ndarray:
-        """n ids; starts: the bit offset of every stride-th. All strides go in step."""
-        words = np.frombuffer(bits + b"\0" * (8 + -len(bits) % 4), ">u4").astype(np.uint64)
+        """n ids; starts: the bit offset of every stride-th."""
+        return self.decode_all([(bits, starts, n)], stride)[0]
+
+    def decode_all(self, blocks: list[tuple[bytes, np.ndarray, int]], stride: int) -> list[np.ndarray]:
+        """The ids of some blocks (bits, starts, n). All strides of all blocks go in step."""
+        padded = [bits + b"\0" * (8 + -len(bits) % 4) for bits, _, _ in blocks]
+        words = np.frombuffer(b"".join(padded), ">u4").astype(np.uint64)
         wide = (words[:-1] << np.uint64(32)) | words[1:]
-        out = np.zeros((stride, len(starts)), np.uint32)
-        at = starts.astype(np.int64)
+        base = 8 * np.cumsum([0, *map(len, padded)])
+        lanes = np.cumsum([0, *(len(starts) for _, starts, _ in blocks)])
+        at = np.concatenate([starts.astype(np.int64) + base[k] for k, (_, starts, _) in enumerate(blocks)])
+        out = np.zeros((stride, len(at)), np.uint32)
         last = 32 * (len(wide) - 1)
-        for k in range(min(stride, n)):
+        for k in range(min(stride, max(n for _, _, n in blocks))):
             window = (wide[at >> 5] >> (64 - self.top - (at & 31)).astype(np.uint64)).astype(np.int64) & ((1 << self.top) - 1)
             out[k] = self.ids[window]
             at = np.minimum(at + self.sizes[out[k]], last)
-        return out.T.ravel()[:n]
+        return [out[:, lanes[k] : lanes[k + 1]].T.ravel()[:n] for k, (_, _, n) in enumerate(blocks)]
 
 
 def write(docs: DataFrame, path: str, config: TokenConfig) -> None:
@@ -291,8 +299,11 @@ def write(docs: DataFrame, path: str, config: TokenConfig) -> None:
     ordered.mapInArrow(of, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str, stride: int = 512) -> DataFrame:
-    """doc_id, start, ids (array) of every document of a written folder; the codebook has a row an id at most."""
+def read(spark: SparkSession, path: str, stride: int = 512, packed: bool = False, together: int = 1 << 19) -> DataFrame:
+    """doc_id, start, ids (array; packed: binary, little-endian unsigned 32-bit) of every document of a written folder; the codebook has a row an id at most.
+
+    Blocks are decoded together until they hold `together` ids.
+    """
     book = spark.read.parquet(f"{path}/codebook").collect()
     lengths = np.zeros(1 << 16, np.int64)
     for r in book:
@@ -306,21 +317,29 @@ def read(spark: SparkSession, path: str, stride: int = 512) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shared.value
         for batch in batches:
-            for k in range(len(batch)):
-                sizes = batch.column("sizes")[k].values.to_numpy()
-                ids = decoder.decode(batch.column("bits")[k].as_py(), batch.column("offsets")[k].values.to_numpy(), int(sizes.sum()), stride)
-                ends = np.cumsum(sizes)
-                first = batch.column("before")[k].as_py() + batch.column("start")[k].as_py()
-                cut = pa.array(np.append(0, ends).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[k].values, pa.array(first + ends - sizes), pa.ListArray.from_arrays(cut, pa.array(ids.astype(np.int32)))], ["doc_id", "start", "ids"]
-                )
-
-    return blocks.join(F.broadcast(shards), "shard").mapInArrow(of, "doc_id long, start long, ids array<int>")
+            sizes = [v.values.to_numpy() for v in batch.column("sizes")]
+            first = 0
+            while first < len(batch):
+                end, held = first, 0
+                while end < len(batch) and (end == first or held + sizes[end].sum() <= together):
+                    held += int(sizes[end].sum())
+                    end += 1
+                some = [(batch.column("bits")[k].as_py(), batch.column("offsets")[k].values.to_numpy(), int(sizes[k].sum())) for k in range(first, end)]
+                for k, ids in enumerate(decoder.decode_all(some, stride), first):
+                    ends = np.cumsum(sizes[k])
+                    start = batch.column("before")[k].as_py() + batch.column("start")[k].as_py()
+                    cut = np.append(0, ends).astype(np.int32)
+                    lists = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(ids.astype("<u4"))]) if packed else pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(start + ends - sizes[k]), lists], ["doc_id", "start", "ids"])
+                first = end
+
+    return blocks.join(F.broadcast(shards), "shard").mapInArrow(of, f"doc_id long, start long, ids {'binary' if packed else 'array<int>'}")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what read() returns."""
+    if dict(tokens.dtypes)["ids"] == "binary":
+        return tokens.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

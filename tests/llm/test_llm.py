@@ -250,6 +250,28 @@ def test_token_files_round_trip(spark, table, empty):
     assert token_files.read(spark, folder).count() == 0
 
 
+def test_packed_ids_have_the_digests_of_arrays(spark, table, empty):
+    config = token_files.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), block=500, stride=64)
+    folder = token_files.folder(spark)
+    token_files.write(table, folder, config)
+    plain, packed = (token_files.digests(token_files.read(spark, folder, config.stride, **more)) for more in ({}, {"packed": True, "together": 1200}))
+    assert packed.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(packed.collect()) == sorted(plain.collect())
+    folder = token_files.folder(spark)
+    token_files.write(empty, folder, config)
+    assert token_files.digests(token_files.read(spark, folder, packed=True)).count() == 0
+
+
+def test_blocks_decode_together_as_each_by_itself():
+    rng = np.random.default_rng(5)
+    ids = [rng.geometric(0.05, n).clip(0, 90) for n in (1000, 1, 64, 65, 777)]
+    lengths = token_files.code_lengths(np.bincount(np.concatenate(ids), minlength=1 << 16), 18)
+    blocks = [(bits, at[::64], len(x)) for x in ids for bits, at in [token_files.pack(x, token_files.canonical(lengths), lengths)]]
+    own = token_files.Decoder(lengths)
+    for got, block, x in zip(own.decode_all(blocks, 64), blocks, ids, strict=True):
+        assert got.tolist() == own.decode(*block, 64).tolist() == x.tolist()
+
+
 def test_words_with_equal_polynomials_get_their_own_ids():
     word = brute.thue_morse(1024)
     both = [word, word.translate(str.maketrans("ab", "ba")), word + "a", "é" * 300]
