@@ -19,21 +19,19 @@ def anchored(events: DataFrame, book: DataFrame, length: int, stride: int, horiz
     for each horizon h (in events) that the session reaches: horizon, fwd (log return), end_ts, low_ask and high_bid (over the snapshots from anchor_ts to end_ts).
     depth: also bids and asks of the last snapshot at or before the anchor. Anchors without such a snapshot, or whose book lacks a side, are left out.
 
-    events: symbol, session, ts_ms, vwap, one row a time. book: symbol, session, ts_ms, snap_id, bids, asks; of snapshots of one time the greatest snap_id counts as the last.
+    events: symbol, session, ts_ms, vwap, one row a time. book: symbol, session, ts_ms, snap_id, bids, asks, one row a snapshot; of snapshots of one time the greatest snap_id counts as the last.
     """
     bid, ask = best_levels(F.col("bids"), F.col("asks"))
-    carried = F.struct("ts_ms", "snap_id", bid.alias("bid"), ask.alias("ask"), *(["bids", "asks"] if depth else []))
+    names = ["ts_ms", "snap_id", "bid", "ask"]
     e = events.select(*o.DAY, "ts_ms", "vwap")
-    b = book.select(*o.DAY, "ts_ms", carried.alias("snap"))
+    b = book.select(*o.DAY, "ts_ms", F.struct("ts_ms", "snap_id", bid.alias("bid"), ask.alias("ask")).alias("snap"))
     upto = Window.partitionBy(*o.DAY).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, 0)
-    x = e.unionByName(b, allowMissingColumns=True).withColumns({"idx": F.count("vwap").over(upto) - 1, "last": F.max("snap").over(upto)})
+    own = F.col("vwap").isNotNull()
+    x = e.unionByName(b, allowMissingColumns=True).withColumns({"idx": F.count("vwap").over(upto) - 1, "event_ts": F.max(F.when(own, F.col("ts_ms"))).over(upto), "last": F.max("snap").over(upto)}).where("idx >= 0")
     # a row an event: its own, the book it meets, and the best prices from it to the next event and at its very time
-    own = F.when(F.col("vwap").isNotNull(), F.col("ts_ms"))
-    event_ts = F.max(own).over(Window.partitionBy(*o.DAY, "idx"))
-    x = x.withColumn("event_ts", event_ts).where("idx >= 0")
     at = F.col("ts_ms") == F.col("event_ts")
     x = x.groupBy(*o.DAY, "idx").agg(
-        F.max("event_ts").alias("ts"), F.max("vwap").alias("vwap"), F.max(F.when(F.col("vwap").isNotNull(), F.col("last"))).alias("last"),
+        F.max("event_ts").alias("ts"), F.max("vwap").alias("vwap"), *[F.max(F.when(own, F.col(f"last.{c}"))).alias(f"last_{c}") for c in names],
         F.min("snap.ask").alias("low"), F.max("snap.bid").alias("high"), F.min(F.when(at, F.col("snap.ask"))).alias("low_at"), F.max(F.when(at, F.col("snap.bid"))).alias("high_at"),
     )
     w = Window.partitionBy(*o.DAY).orderBy("idx")
@@ -51,8 +49,14 @@ def anchored(events: DataFrame, book: DataFrame, length: int, stride: int, horiz
         )
     first = F.col("idx") - (length - 1)
     x = x.withColumn("r", F.filter(F.array(*parts), lambda s: s.isNotNull())).where((first >= 0) & (first % stride == 0))
-    mid = (F.col("last.bid") + F.col("last.ask")) / 2
-    return x.where(mid > 0).select(*o.DAY, first.alias("window_start"), F.col("ts").alias("anchor_ts"), mid.alias("anchor_mid"), "r", *(["last.bids", "last.asks"] if depth else []))
+    mid = (F.col("last_bid") + F.col("last_ask")) / 2
+    out = [*o.DAY, first.alias("window_start"), F.col("ts").alias("anchor_ts"), mid.alias("anchor_mid"), "r"]
+    x = x.where(mid > 0)
+    if not depth:
+        return x.select(*out)
+    # levels do not go through the windows: only anchors fetch theirs
+    levels = book.select(*o.DAY, F.col("ts_ms").alias("last_ts_ms"), F.col("snap_id").alias("last_snap_id"), "bids", "asks")
+    return x.select(*out, "last_ts_ms", "last_snap_id").join(levels, [*o.DAY, "last_ts_ms", "last_snap_id"]).drop("last_ts_ms", "last_snap_id")
 
 
 def taker_rows(events: DataFrame, book: DataFrame, length: int, stride: int, horizons: list[int], sizes: list[float], fees_bps: float) -> DataFrame:
@@ -90,16 +94,17 @@ def breakeven(expected: Column, fee_bps: float) -> Column:
 def adverse_cells(rows: DataFrame, by: list[str], fee_bps: float) -> DataFrame:
     """by of maker_rows(): windows, fill rates of either side and of any, mean, median and quartiles of the filled sides' gains, the mean and median of both together, the gain
     of always posting both, and the accuracy that breaks even. The two sides of a window filled twice are two samples."""
-    both = F.array("realized_bid_pnl_bps", "realized_ask_pnl_bps")
+    # a row a side, so that the rows, which are dear, are worked out once, and each column's quantiles come from one sorted count
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"realized_{s}_pnl_bps").alias("v")) for s in ("bid", "ask")])
+    x = rows.select(*by, "bid_filled", "ask_filled", F.explode(sides).alias("x")).select(*by, "bid_filled", "ask_filled", "x.side", "x.v")
     rate = lambda c: F.avg(c.cast("double"))
-    aggs = [F.count("*").alias("n_windows"), rate(F.col("bid_filled")).alias("fill_rate_bid"), rate(F.col("ask_filled")).alias("fill_rate_ask"), rate(F.col("bid_filled") | F.col("ask_filled")).alias("fill_rate_either")]
+    aggs = [F.count_if(F.col("side") == "bid").alias("n_windows"), rate(F.col("bid_filled")).alias("fill_rate_bid"), rate(F.col("ask_filled")).alias("fill_rate_ask"), rate(F.col("bid_filled") | F.col("ask_filled")).alias("fill_rate_either")]
     for side in ("bid", "ask"):
-        v = f"realized_{side}_pnl_bps"
-        aggs += [F.avg(v).alias(f"mean_pnl_{side}_filled"), *[F.percentile(v, q).alias(f"{n}_pnl_{side}_filled") for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))]]
-    cells = rows.groupBy(*by).agg(*aggs)
-    pooled = rows.select(*by, F.explode(both).alias("v")).where("v is not null").groupBy(*by).agg(F.avg("v").alias("mean_pnl_either_filled"), F.percentile("v", 0.5).alias("median_pnl_either_filled"))
+        v = F.when(F.col("side") == side, F.col("v"))
+        aggs += [F.avg(v).alias(f"mean_pnl_{side}_filled"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias(f"__{side}")]
+    x = x.groupBy(*by).agg(*aggs, F.avg("v").alias("mean_pnl_either_filled"), F.percentile("v", 0.5).alias("median_pnl_either_filled"))
+    out = x.withColumns({f"{n}_pnl_{side}_filled": F.get(f"__{side}", F.lit(i)) for side in ("bid", "ask") for i, n in enumerate(("median", "q25", "q75"))}).drop("__bid", "__ask")
     gain = lambda side: F.col(f"fill_rate_{side}") * F.coalesce(F.col(f"mean_pnl_{side}_filled"), F.lit(0.0))
-    out = cells.join(pooled, by, "left")
     return out.withColumns({"unconditional_maker_pnl_bps": (gain("bid") + gain("ask")) / 2 - 2 * fee_bps, "model_accuracy_breakeven": breakeven(F.col("mean_pnl_either_filled"), fee_bps)})
 
 

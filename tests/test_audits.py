@@ -125,3 +125,30 @@ def test_partitions_of_a_delta_replace_only_themselves(spark, tmp_path):
     out = store.write_event_features(spark.createDataFrame([("a", 2, 9, 9.0)], rows.schema), str(tmp_path))
     assert sorted((r.symbol, r.session, r.ts_ms, r.v) for r in out.collect() if r.v) == [("a", 1, 5, 1.0), ("a", 2, 9, 9.0)] and out.count() == 3
     assert out.columns == rows.columns and "PartitionFilters: [isnotnull(symbol" in out.where(F.col("symbol") == "a")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_adverse_cells_work_their_rows_out_once(spark):
+    rows = spark.createDataFrame([("a", True, False, 1.0, None), ("a", True, True, 3.0, -2.0), ("a", False, False, None, None)], "symbol string, bid_filled boolean, ask_filled boolean, realized_bid_pnl_bps double, realized_ask_pnl_bps double")
+    x = ec.adverse_cells(rows, ["symbol"], 1.0)
+    r = x.collect()[0]
+    assert (r.n_windows, r.fill_rate_bid, r.fill_rate_ask, r.fill_rate_either) == (3, 2 / 3, 1 / 3, 2 / 3)
+    assert (r.mean_pnl_bid_filled, r.median_pnl_bid_filled, r.q25_pnl_bid_filled, r.q75_pnl_bid_filled) == (2.0, 2.0, 1.5, 2.5)
+    assert (r.mean_pnl_ask_filled, r.median_pnl_ask_filled, r.q25_pnl_ask_filled, r.median_pnl_either_filled) == (-2.0, -2.0, -2.0, 1.0)
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_levels_are_fetched_by_anchors_only(spark):
+    events = spark.createDataFrame([("a", 1, t, 10.0) for t in range(0, 60, 2)], "symbol string, session int, ts_ms long, vwap double")
+    side = lambda p: [{"price": p, "qty": 50.0}]
+    book = spark.createDataFrame([("a", 1, t, 10 * t + i, side(9.0 + i), side(11.0 + i)) for t in range(0, 60, 3) for i in (0, 1)], "symbol string, session int, ts_ms long, snap_id long, bids array<struct<price: double, qty: double>>, asks array<struct<price: double, qty: double>>")
+    x = ec.anchored(events, book, 3, 2, [4], depth=True)
+    assert {(r.bids[0].price, r.asks[0].price, r.anchor_mid) for r in x.collect()} == {(10.0, 12.0, 11.0)}
+    assert "last_snap_id" in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_impacts_of_trades_go_without_joins(spark):
+    from marketflow import registry
+    from marketflow.plans import feature_queries  # noqa: F401
+
+    plan = registry.QUERIES["kyle_lambda_trade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # of orders and lines
