@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketflow.sources.shared import written
+
 
 def hash_order(key: Column, seed: int) -> Column:
     """An order of rows at random by key and seed; every engine has this hash."""
@@ -91,16 +93,21 @@ def shuffled_within(rows: DataFrame, cell: list[str], key: str, label: str, seed
 def random_controls(rows: DataFrame, key: str, value: str, n: int, trials: int, seed: int) -> DataFrame:
     """control_id, sampled_rows, net_pnl_bps: the sum of n rows drawn without replacement, in each trial.
 
-    A row is drawn if its hash in the trial is among the n least. Counts by the hash's first digits, at most 4,096 a trial, say where the n-th lies, so only rows below it go on to be ranked.
+    A row is drawn if its hash in the trial is among the n least. Each hash is made once: rows below a bound that some 4n + 100 of a trial's hashes should lie under are written, and only they are
+    ranked. Should a trial have fewer than n below it, the bound goes up, at last to all rows.
     """
+    size = rows.count()
     x = rows.withColumn("control_id", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), "control_id", F.col(key).cast("string"))))
-    cell = F.conv(F.substring("__h", 1, 3), 16, 10).cast("int")
-    counts = x.groupBy("control_id", cell.alias("__c")).agg(F.count("*").alias("__m"))
-    upto = Window.partitionBy("control_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = counts.withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0))).where(F.col("__before") < n)
-    x = x.withColumn("__c", cell).join(F.broadcast(bounds), ["control_id", "__c"])  # at most 4,096 rows a trial
-    x = x.withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy("control_id", "__c").orderBy("__h", key))).where(F.col("__r") <= n)
-    return x.groupBy("control_id").agg(F.count("*").alias("sampled_rows"), F.sum(value).alias("net_pnl_bps"))
+    x = x.select("control_id", "__h", F.col(key).alias("__k"), F.col(value).alias("__v"))
+    share = (4 * n + 100) / max(size, 1)
+    while True:
+        below = written(x.where(F.substring("__h", 1, 8) < f"{int(share * 2**32):08x}") if share < 1 else x)
+        enough = below.groupBy("control_id").agg(F.count("*").alias("m")).where(F.col("m") >= n).count()  # a number a trial
+        if enough == trials or share >= 1:
+            break
+        share *= 16
+    drawn = below.withColumn("__r", F.row_number().over(Window.partitionBy("control_id").orderBy("__h", "__k"))).where(F.col("__r") <= n)
+    return drawn.groupBy("control_id").agg(F.count("*").alias("sampled_rows"), F.sum("__v").alias("net_pnl_bps"))
 
 
 def session_bucket(ts_ms: Column) -> tuple[Column, Column]:

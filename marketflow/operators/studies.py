@@ -111,9 +111,14 @@ def oos_rows(returns: DataFrame, dates: DataFrame) -> DataFrame:
     return returns.join(dates.select("date").distinct(), "date", "left_semi")
 
 
-def concentration(rows: DataFrame, by: str, column: str) -> DataFrame:
-    """Share of the largest group of a column's values among a key's rows."""
-    n = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("n"))
+def day_cells(returns: DataFrame, sums: list[str]) -> DataFrame:
+    """date, symbol, hour, their rows as n, and the sums of columns. Totals, counts of days and concentrations of any days are sums of these, at most a row for each symbol and hour of a day."""
+    return returns.groupBy("date", "symbol", "hour").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
+
+
+def concentration(rows: DataFrame, by: str, column: str, size: str | None = None) -> DataFrame:
+    """Share of the largest group of a column's values among a key's rows. size: a column that says how many rows a row stands for."""
+    n = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg((F.sum(size) if size else F.count("*")).alias("n"))
     return n.groupBy(by).agg((F.max("n") / F.sum("n")).alias(f"max_{column}_concentration"))
 
 
@@ -140,6 +145,15 @@ def walk_forward_scorecard(returns: DataFrame, dates: DataFrame) -> DataFrame:
     return out.withColumnRenamed("max_date_concentration", "max_day_concentration")
 
 
+def window_totals(cells: DataFrame, dates: DataFrame) -> DataFrame:
+    """Per test window: rows, pnl, baseline, and the largest day's, symbol's and hour's share of rows, as in walk_forward_scorecard(), from day_cells() alone. dates: window, date."""
+    x = cells.join(F.broadcast(dates), "date")  # a row for each window and date
+    out = x.groupBy("window").agg(F.sum("n").alias("test_rows"), F.sum("strategy_return_bps").alias("net_pnl_bps"), F.sum("baseline_return_bps").alias("baseline_pnl_bps"))
+    for column in ("date", "symbol", "hour"):
+        out = out.join(concentration(x, "window", column, "n"), "window", "left")
+    return out.withColumnRenamed("max_date_concentration", "max_day_concentration")
+
+
 def auc(scored: DataFrame, by: str, score: str, label: str) -> DataFrame:
     """Area under the ROC curve per key with shared ranks for ties: counts by score, then running sums of negatives."""
     c = scored.groupBy(by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))

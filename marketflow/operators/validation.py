@@ -41,15 +41,23 @@ def baseline_scorecard(oos: DataFrame, baselines: list[str]) -> DataFrame:
     )
 
 
-def _largest(rows: DataFrame, column: str, name: str) -> DataFrame:
+def baseline_totals(oos: DataFrame, baselines: list[str]) -> DataFrame:
+    """Per baseline column: excess of the strategy over it, as in baseline_scorecard(), from sums. oos: day_cells() of the rows in test windows, with sums of strategy_return_bps and the baselines."""
+    pairs = ", ".join(f"'{c}', cast({c} as double)" for c in baselines)
+    x = oos.selectExpr("strategy_return_bps", f"stack({len(baselines)}, {pairs}) as (baseline_column, v)")
+    return x.groupBy("baseline_column").agg((F.sum("strategy_return_bps") - F.sum("v")).alias("excess_vs_baseline_bps"))
+
+
+def _largest(cells: DataFrame, column: str, name: str) -> DataFrame:
     """One row: the largest share of rows that one value of the column has."""
-    return rows.groupBy(column).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias(name))
+    return cells.groupBy(column).agg(F.sum("n").alias("n")).agg((F.max("n") / F.sum("n")).alias(name))
 
 
 def summary(data: DataFrame, oos: DataFrame, scores: DataFrame, baselines: DataFrame, controls: DataFrame) -> DataFrame:
-    """One row of what the verdict stands on. data: all rows; scores: walk_forward_scorecard(); controls: net_pnl_bps of each random control."""
-    out = data.agg(F.count("*").alias("observations"), F.count_distinct("date").alias("distinct_days"), F.count_distinct("symbol").alias("distinct_symbols"))
-    parts = [oos.agg(F.count("*").alias("unique_oos_rows"), F.count_distinct("date").alias("distinct_oos_days"), F.count_distinct("symbol").alias("distinct_oos_symbols"))]
+    """One row of what the verdict stands on. data, oos: day_cells() of all rows and of those in test windows; scores: window_totals(); baselines: baseline_totals(); controls: net_pnl_bps of each random control."""
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    out = data.agg(rows.alias("observations"), F.count_distinct("date").alias("distinct_days"), F.count_distinct("symbol").alias("distinct_symbols"))
+    parts = [oos.agg(rows.alias("unique_oos_rows"), F.count_distinct("date").alias("distinct_oos_days"), F.count_distinct("symbol").alias("distinct_oos_symbols"))]
     parts += [_largest(oos, c, f"max_oos_{n}_concentration") for c, n in (("date", "day"), ("symbol", "symbol"), ("hour", "hour"))]
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     parts.append(scores.agg(

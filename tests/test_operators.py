@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import gzip
+import hashlib
 import math
 
 import pytest
@@ -16,6 +17,7 @@ from marketflow.operators import folds as fo
 from marketflow.operators import order_events as o
 from marketflow.operators import regime as r
 from marketflow.operators import studies as s
+from marketflow.operators import validation as va
 from marketflow.operators import window_studies as ws
 from marketflow.sources import manifests as m
 from marketflow.sources import raw
@@ -297,3 +299,27 @@ def test_stream_asof_over_many_cells(spark, tmp_path):
     got = replay({"e": events, "q": quotes}, str(tmp_path), lambda x: stream_asof(x["e"], x["q"], ["s"], "at", ["mid"], "q", "50 milliseconds", 10)).collect()
     want = {i: max((a for _, a in ((j, 7 * j - 7 * j % 35 + 1) for j in range(0, 60, 5)) if a <= 7 * i), default=None) for i in range(60)}
     assert len({r.id for r in got}) == len(got) > 40 and all(r.asof_time == want[r.id] for r in got)
+
+
+def test_random_controls_hash_each_row_once(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 1.0).alias("v"))
+    drawn = fo.random_controls(rows, "id", "v", 40, 3, 17)
+    by_hash = lambda t: sorted(range(1000), key=lambda i: hashlib.md5(f"17:{t}:{i}".encode()).hexdigest())
+    assert {r.control_id: (r.sampled_rows, r.net_pnl_bps) for r in drawn.collect()} == {t: (40, float(sum(by_hash(t)[:40]))) for t in (1, 2, 3)}
+    assert "md5" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    few = fo.random_controls(rows.where("id < 7"), "id", "v", 40, 2, 17).collect()
+    assert [(r.sampled_rows, r.net_pnl_bps) for r in few] == [(7, 21.0)] * 2
+    same = fo.random_controls(rows.select(F.lit(1).alias("id"), "v"), "id", "v", 40, 3, 17).collect()  # one hash for all rows of a trial: no bound parts them
+    assert [r.sampled_rows for r in same] == [40] * 3
+    assert fo.random_controls(rows.where("id < 0"), "id", "v", 40, 2, 17).collect() == []
+
+
+def test_totals_of_windows_come_from_the_cells_of_days(spark):
+    rows = spark.range(600).selectExpr("concat('d', 10 + id % 7) as date", "id as event_ts_ms", "id", "concat('s', id % 3) as symbol", "cast(id % 5 as int) as hour", "double(id % 11 - 5) as strategy_return_bps", "double(id % 4) as baseline_return_bps")
+    dates = spark.createDataFrame([(w, f"d{10 + w + k}") for w in (0, 2) for k in range(4)], "window int, date string")
+    cells = s.day_cells(rows, ["strategy_return_bps", "baseline_return_bps"])
+    got, want = s.window_totals(cells, dates), s.walk_forward_scorecard(rows, dates)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() == 2
+    oos = s.day_cells(s.oos_rows(rows, dates), ["strategy_return_bps", "baseline_return_bps"])
+    long = va.baseline_scorecard(s.oos_rows(rows, dates), ["baseline_return_bps"])
+    assert va.baseline_totals(oos, ["baseline_return_bps"]).collect() == long.select("baseline_column", "excess_vs_baseline_bps").collect()
