@@ -3,19 +3,22 @@
 import gzip
 import hashlib
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marketflow.functions.quantiles import group_quantiles
 from marketflow.functions.ranks import mean_rank_share
-from marketflow.functions.running import running
+from marketflow.functions.running import places, running
 from marketflow.operators import asof
 from marketflow.operators import evaluation as ev
 from marketflow.operators import event_features as ef
 from marketflow.operators import folds as fo
 from marketflow.operators import order_events as o
 from marketflow.operators import regime as r
+from marketflow.operators import session_kernel as kernel
 from marketflow.operators import studies as s
 from marketflow.operators import validation as va
 from marketflow.operators import window_studies as ws
@@ -323,3 +326,37 @@ def test_totals_of_windows_come_from_the_cells_of_days(spark):
     oos = s.day_cells(s.oos_rows(rows, dates), ["strategy_return_bps", "baseline_return_bps"])
     long = va.baseline_scorecard(s.oos_rows(rows, dates), ["baseline_return_bps"])
     assert va.baseline_totals(oos, ["baseline_return_bps"]).collect() == long.select("baseline_column", "excess_vs_baseline_bps").collect()
+
+
+def test_places_are_counted_in_cells_of_time(spark):
+    """Times before 0 and cells without rows; a flag that only some rows have; two keys."""
+    rows = [("a", t, i) for i, t in enumerate([-25, -3, 0, 4, 4, 9, 10, 57, 58, 400])] + [("b", 5, 0)]
+    got = places(spark.createDataFrame(rows, "k string, t long, id long"), ["k"], "t", ["t", "id"], {"at": F.lit(True), "even": F.col("id") % 2 == 0}, 10).collect()
+    assert {(r.k, r.id): (r.at, r.even, r.at_n, r.even_n) for r in got} == {("a", i): (i + 1, i // 2 + 1, 10, 5) for i in range(10)} | {("b", 0): (1, 1, 1, 1)}
+
+
+def test_no_window_of_the_features_holds_a_session(spark):
+    """Windows that follow one another each keep their whole group in memory, so groups are cells of time, spans or windows of events."""
+    from marketflow.plans.feature_queries import ERA, HOLDOUT
+    from marketflow.sources import adapters as a
+
+    sf = "/root/testdata/sf0.001"
+    found = ef.event_features(a.fills(spark, sf), a.book(spark, sf), ERA, HOLDOUT, least=50)
+    for x in (found, ef.snapshots(a.book(spark, sf))):
+        assert not re.search(r"windowspecdefinition\(symbol#\d+, session#\d+, ts_ms#\d+L? ASC", x._jdf.queryExecution().optimizedPlan().toString())
+    n = found.groupBy("symbol", "session").agg(F.count("*").alias("n"), F.max("n_events").alias("most"), F.min("event_idx").alias("low"), F.max("event_idx").alias("high"), F.count_distinct("event_idx").alias("each")).collect()
+    assert n and all((r.n, r.low, r.high, r.each) == (r.most, 0, r.most - 1, r.most) for r in n)
+
+
+def test_trades_count_with_the_snapshot_before_them_and_early_ones_with_the_first(spark):
+    """Snapshots of one time, trades at their time, before the first and after the last, over spans of 60."""
+    t = [10 * (i // 2) + 100 for i in range(130)]
+    snaps = [("a", 1, at, i, float(i * i % 17)) for i, at in enumerate(t)] + [("b", 1, 5, 0, 1.0)]
+    trades = [("a", 1, at, float(at * 7 % 11 - 5)) for at in range(3, 900, 4)] + [("c", 1, 1, 1.0)]
+    x = ef.impacts(spark.createDataFrame(snaps, "symbol string, session int, ts_ms long, snap_id long, mid double"), spark.createDataFrame(trades, "symbol string, session int, ts_ms long, signed_notional double"), 50, 60).collect()
+    flow = [0.0] * len(t)
+    for _, _, at, v in trades[:-1]:
+        flow[max(sum(s <= at for s in t) - 1, 0)] += v
+    want = kernel.price_impact(np.array([s[4] for s in snaps[:-1]]), np.cumsum(flow), 50)
+    assert len(x) == len(t) and {r.snap_id: r["__at"] for r in x} == {i: i for i in range(len(t))}
+    assert all(abs(r.kyle_lambda - want[r.snap_id]) < 1e-9 for r in x) and np.count_nonzero(want) > 50
