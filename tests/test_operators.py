@@ -342,7 +342,7 @@ def test_no_window_of_the_features_holds_a_session(spark):
 
     sf = "/root/testdata/sf0.001"
     found = ef.event_features(a.fills(spark, sf), a.book(spark, sf), ERA, HOLDOUT, least=50)
-    for x in (found, o.flat_features(found, ["log_return"], 200, 50), ef.snapshots(a.book(spark, sf))):
+    for x in (found, ef.window_rows(found, 200, 200), o.flat_features(found, ["log_return"], 200, 50), ef.snapshots(a.book(spark, sf))):
         assert not re.search(r"windowspecdefinition\(symbol#\d+, session#\d+, ts_ms#\d+L? ASC", x._jdf.queryExecution().optimizedPlan().toString())
     n = found.groupBy("symbol", "session").agg(F.count("*").alias("n"), F.max("n_events").alias("most"), F.min("event_idx").alias("low"), F.max("event_idx").alias("high"), F.count_distinct("event_idx").alias("each")).collect()
     assert n and all((r.n, r.low, r.high, r.each) == (r.most, 0, r.most - 1, r.most) for r in n)
