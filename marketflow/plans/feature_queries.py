@@ -182,7 +182,7 @@ def window_rows(spark, sf_dir):
 )
 def window_wyckoff(spark, sf_dir):
     """K4: labels of whole windows."""
-    return ef.window_wyckoff(event_table(spark, sf_dir))
+    return ef.window_wyckoff(placed_table(spark, sf_dir))
 
 
 @query("taker_fills", "select symbol, session, count(*) as n from fills where event_type = 'fulfill_taker' group by all", ["fills"])
