@@ -8,7 +8,7 @@ from marketflow.operators import event_features as ef
 from marketflow.operators import order_events as o
 from marketflow.operators import window_studies as ws
 from marketflow.plans import regime_queries, silver_queries  # noqa: F401  their views
-from marketflow.plans.feature_queries import event_table
+from marketflow.plans.feature_queries import event_table, placed_table
 from marketflow.registry import QUERIES, query, view
 from marketflow.sources import adapters as a
 from marketflow.sources import raw
@@ -52,7 +52,7 @@ def flow_imbalance(spark, sf_dir):
 @query("lag_correlation", "select symbol, count(*) as windows, avg(log_return) as log_return_autocorr, avg(log_total_qty) as log_total_qty_autocorr from (select symbol, session, window_start, corr(log_return, r5) as log_return, corr(log_total_qty, q5) as log_total_qty from (select *, lag(log_return, 5) over v as r5, lag(log_total_qty, 5) over v as q5 from wins200 window v as (partition by symbol, session, window_start order by pos)) group by all) group by symbol", ["wins200"], "log_return_autocorr log_total_qty_autocorr")
 def lag_correlation(spark, sf_dir):
     """Correlation of features with themselves five events before."""
-    return ws.lag_correlation(ef.window_rows(event_table(spark, sf_dir), 200, 200), ["symbol"], ["log_return", "log_total_qty"])
+    return ws.lag_correlation(ef.window_rows(placed_table(spark, sf_dir), 200, 200), ["symbol"], ["log_return", "log_total_qty"])
 
 
 @query(
